@@ -7,9 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitrine.llm.packing import pack_documents
 from vitrine.llm.secrets import RULES, secret_findings, spans_text
 from vitrine.llm.sharding import shard_documents
-from vitrine.sources.shared import table
+from vitrine.llm.tokenfile import read_documents, write_token_file
+from vitrine.sources.shared import shared_path, table
+
+
+def vocabulary(name: str) -> str:
+    """A public tokenizer's file; executors have it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces packed into sequences of 1024 tokens."""
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=2, emit="crc32")
 
 
 def _only(kind: int) -> Callable[[Column], Column]:
@@ -21,6 +35,13 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written in bit-packed blocks and read back."""
+    path = shared_path(spark, "tokens")
+    write_token_file(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), end_id=2)
+    return read_documents(spark, path, emit="crc32")
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     found = secret_findings(table(spark, sf_dir, "documents"))
@@ -31,7 +52,9 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_best_fit_packing": op2_best_fit_packing,
         "op6_sharding": op6_sharding,
+        "op7_token_file": op7_token_file,
         "op8_secret_scans": op8_secret_scans,
     }
 
