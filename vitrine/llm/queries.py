@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitrine.llm.linededup import dedup_lines
 from vitrine.llm.packing import pack_documents
 from vitrine.llm.secrets import RULES, secret_findings, spans_text
 from vitrine.llm.sharding import shard_documents
@@ -30,6 +31,12 @@ def _only(kind: int) -> Callable[[Column], Column]:
     return lambda x: F.when(x == kind, x)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that at least 10 documents have."""
+    kept = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1, keep="none")
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one of 24 shards."""
     return shard_documents(table(spark, sf_dir, "documents"), shards=24)
@@ -53,6 +60,7 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_line_dedup": op3_line_dedup,
         "op6_sharding": op6_sharding,
         "op7_token_file": op7_token_file,
         "op8_secret_scans": op8_secret_scans,
