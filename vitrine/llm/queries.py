@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitrine.llm.langid import fit, held_out, predict
 from vitrine.llm.linededup import dedup_lines
 from vitrine.llm.packing import pack_documents
 from vitrine.llm.secrets import RULES, secret_findings, spans_text
@@ -57,6 +58,13 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, spans_text(F.col("spans")).alias("spans")).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit(docs.where(~held_out()))
+    return predict(docs.select("doc_id", "text", held_out().alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_best_fit_packing": op2_best_fit_packing,
@@ -64,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_sharding": op6_sharding,
         "op7_token_file": op7_token_file,
         "op8_secret_scans": op8_secret_scans,
+        "op9_language_id": op9_language_id,
     }
 
 
