@@ -12,6 +12,7 @@ from vitrine.llm.linededup import dedup_lines
 from vitrine.llm.packing import pack_documents
 from vitrine.llm.secrets import RULES, secret_findings, spans_text
 from vitrine.llm.sharding import shard_documents
+from vitrine.llm.simhash import near_duplicates
 from vitrine.llm.tokenfile import read_documents, write_token_file
 from vitrine.sources.shared import shared_path, table
 
@@ -23,6 +24,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document."""
+    found = near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces packed into sequences of 1024 tokens."""
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=2, emit="crc32")
@@ -67,6 +74,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash": op1_simhash,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_line_dedup": op3_line_dedup,
         "op6_sharding": op6_sharding,
