@@ -14,6 +14,7 @@ from vitrine.llm.secrets import RULES, secret_findings, spans_text
 from vitrine.llm.sharding import shard_documents
 from vitrine.llm.simhash import near_duplicates
 from vitrine.llm.tokenfile import read_documents, write_token_file
+from vitrine.llm.warc import read_records, write_warc
 from vitrine.sources.shared import shared_path, table
 
 
@@ -45,6 +46,13 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, written to archives and read back."""
+    path = shared_path(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), path)
+    return read_records(spark, path)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one of 24 shards."""
     return shard_documents(table(spark, sf_dir, "documents"), shards=24)
@@ -77,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": op1_simhash,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_line_dedup": op3_line_dedup,
+        "op4_warc": op4_warc,
         "op6_sharding": op6_sharding,
         "op7_token_file": op7_token_file,
         "op8_secret_scans": op8_secret_scans,
