@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitrine.llm.decontaminate import find_leaks
 from vitrine.llm.langid import fit, held_out, predict
 from vitrine.llm.linededup import dedup_lines
 from vitrine.llm.packing import pack_documents
@@ -53,6 +54,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(spark, path)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with a benchmark item in it, as it is or with other numbers, names or units."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one of 24 shards."""
     return shard_documents(table(spark, sf_dir, "documents"), shards=24)
@@ -86,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_line_dedup": op3_line_dedup,
         "op4_warc": op4_warc,
+        "op5_decontamination": op5_decontamination,
         "op6_sharding": op6_sharding,
         "op7_token_file": op7_token_file,
         "op8_secret_scans": op8_secret_scans,
