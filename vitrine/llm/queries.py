@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitrine.llm.ann import search
 from vitrine.llm.decontaminate import find_leaks
 from vitrine.llm.langid import fit, held_out, predict
 from vitrine.llm.linededup import dedup_lines
@@ -86,6 +87,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", "text", held_out().alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 rows nearest to every twentieth embedding."""
+    return search(table(spark, sf_dir, "embeddings"), queries_every=20, k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -97,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_token_file": op7_token_file,
         "op8_secret_scans": op8_secret_scans,
         "op9_language_id": op9_language_id,
+        "op10_nearest_neighbours": op10_nearest_neighbours,
     }
 
 

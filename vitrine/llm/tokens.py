@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -14,7 +15,7 @@ WHITE = "\t-\r \x85\xa0  -     　"
 LATIN = "A-Za-zÀ-ÖØ-öø-įıĲ-ɏ"
 
 #: Words a worker remembers in each of two generations (about 150 bytes each).
-CACHE_WORDS = 250_000
+CACHE_WORDS = 300_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -49,7 +50,8 @@ class WordEncoder:
         self.letters = byte_letters()
         self.lower = self._whole("Ab") == self._whole("ab")
         self.drops_space = self._whole(" ") == b""
-        self.stretches = re.compile(f"[{WHITE}]*[{LATIN}]+(?=[!-@\\[-`{{-~{WHITE}]|$)|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
+        word, other = f"[{LATIN}]+(?=[!-@\\[-`{{-~{WHITE}]|$)", f"[^{WHITE}]+"
+        self.stretches = re.compile(f"{word}|{other}" if self.drops_space else f"[{WHITE}]*{word}|[{WHITE}]*{other}|[{WHITE}]+").findall
         self.plain = re.compile(f" ?[{LATIN}]+").fullmatch
         if any(self._word(w) != self._whole(w) for w in ("a", " a", "Word", " Straße", " élève", "ñandú")):
             self.plain = lambda w: None
@@ -63,12 +65,23 @@ class WordEncoder:
         if self.lower:
             word = word.lower()
         spelt = word.encode().decode("latin-1").translate(self.letters)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelt)])
+        ids = [t.id for t in self.model.tokenize(spelt)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _cased(self, text: str) -> str:
+        """Lower case at once, where the vocabulary has no other and each letter has one of its own."""
+        if self.lower:
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text
+            return text.lower()
+        return text
 
     def __call__(self, texts: list[str | None], end_id: int | None = None) -> list[bytes]:
         """The ids of each text (null: none), then end_id if there is one."""
         end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
-        split = [self.stretches(x or "") for x in texts]
+        split = [self.stretches(self._cased(x or "")) for x in texts]
         young, old = self.young, self.old
         new = set().union(*split).difference(young)
         for w in new & old.keys():
