@@ -26,7 +26,11 @@ BUCKET_ROWS = 2048
 #: What comparing a candidate costs, where sending a key costs 1.
 VERIFY_COST = 0.01
 #: Numbers of partitions that the planner weighs.
-PARTITIONS = (2, 3, 4, 5, 6)
+PARTITIONS = (2, 3, 4, 5, 6, 7)
+#: Beyond this radius a key with too many fingerprints is split into pairs of blocks, not by further bits: near copies agree in most of those.
+SPLIT_RADIUS = 4
+#: 64-bit words of the sketch that tells how similar two texts are.
+SKETCH_WORDS = 4
 
 _BYTES = np.uint64(0x0101010101010101)
 
@@ -92,6 +96,60 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(of, schema)
 
 
+def sketch_words(hashes: np.ndarray, words: int = SKETCH_WORDS) -> Iterator[np.ndarray]:
+    """`words` arrays of hashes that are unlike each other, mixed from one."""
+    for k in range(words):
+        x = hashes + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) % 2**64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        yield x ^ (x >> np.uint64(31))
+
+
+def sketches(docs: DataFrame, search_words: int = 2, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp, sketch): a SimHash over runs of `search_words` words to search by, and one of 64 x SKETCH_WORDS bits over runs of `words` to compare by.
+
+    Both are taken over distinct runs. Short runs change less from copy to copy, so copies lie within a smaller radius.
+    """
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints: list[np.ndarray] = []
+            sketched: list[np.ndarray] = []
+            parts: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+
+            def flush() -> None:
+                sizes = [np.array([len(x) for x in part], np.int64) for part in parts]
+                short, long = (np.concatenate(part) if part else np.zeros(0, np.uint64) for part in parts)
+                prints.append(majority_bits(short, sizes[0]))
+                sketched.append(np.stack([majority_bits(x, sizes[1]) for x in sketch_words(long)], 1))
+                for part in parts:
+                    part.clear()
+
+            held = 0
+            for text in batch.column(1).to_pylist():
+                for part, n in zip(parts, (search_words, words), strict=True):
+                    part.append(np.unique(np.array(shingle_hashes(text, n), np.uint64)))
+                held += len(parts[1][-1])
+                if held >= HASHES:
+                    flush()
+                    held = 0
+            flush()
+            rows = np.ascontiguousarray(np.concatenate(sketched))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(prints).view(np.int64)), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "fp", "sketch"])
+
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType(), False), T.StructField("sketch", T.BinaryType(), False)])
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(of, schema)
+
+
+def sketch_distance(similarity: float, bits: int = 64 * SKETCH_WORDS, deviations: float = 2.0) -> int:
+    """The differing bits under which texts of this Jaccard similarity or more stay, but for what lies over `deviations` standard deviations off.
+
+    Sets of equal size with similarity J have the cosine 2J / (1 + J); a bit differs with the probability of their angle over pi.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
+
+
 @dataclass(frozen=True)
 class Plan:
     """masks: the bits of each partition; thresholds: most differing bits to probe in it, -1 for none."""
@@ -218,21 +276,25 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[root[linked]], nodes[linked]
 
 
-def hamming_links(prints: DataFrame, radius: int, plan: Plan | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def hamming_links(prints: DataFrame, radius: int, plan: Plan | None = None, bucket_rows: int = BUCKET_ROWS, sketch_radius: int | None = None) -> DataFrame:
     """Links (a, b) that connect just what pairs of `prints` (columns fp, node; distinct) within `radius` bits connect.
 
     Each fingerprint is sent to the key of its bits in every partition with a threshold of 0 or more, and as a guest to the keys within
     the threshold. A key with over `bucket_rows` is split: its fingerprints go to the keys of radius + 1 groups of the bits
-    not used yet, one of which agrees in any pair that is wanted. The bits run out, so every key gets small enough. Tasks
+    not used yet, one of which agrees in any pair that is wanted. The bits run out, so every key gets small enough. Beyond a
+    radius of SPLIT_RADIUS the key is cut into blocks instead, and each pair of blocks meets in a key of its own. Tasks
     compare the rows of a key and return a spanning forest of what is near, so links never outnumber keys.
+
+    With `sketch_radius`, `prints` has a column sketch too (binary), and pairs must also differ in at most so many of its bits.
     """
     plan = plan or plan_search(prints, radius)
     node_type = prints.schema["node"].dataType
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("used", T.LongType()), T.StructField("home", T.BooleanType()), T.StructField("fp", T.LongType()), T.StructField("node", node_type)])
+    extra = [] if sketch_radius is None else ["sketch"]
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("used", T.LongType()), T.StructField("home", T.BooleanType()), T.StructField("fp", T.LongType()), T.StructField("node", node_type), *(prints.schema[c] for c in extra)])
 
-    def batch_of(key, used, home, fp, node) -> pa.RecordBatch:
+    def batch_of(key, used, home, fp, *rest) -> pa.RecordBatch:
         signed = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (key, used)]
-        return pa.RecordBatch.from_arrays([*signed, pa.array(home), pa.array(np.ascontiguousarray(fp).view(np.int64)), node], names=[f.name for f in schema])
+        return pa.RecordBatch.from_arrays([*signed, pa.array(home), pa.array(np.ascontiguousarray(fp).view(np.int64)), *rest], names=[f.name for f in schema])
 
     def key_of(bits: np.ndarray, used: np.ndarray) -> np.ndarray:
         """Keys of different masks may meet by chance; what they hold is compared like any other."""
@@ -247,7 +309,7 @@ def hamming_links(prints: DataFrame, radius: int, plan: Plan | None = None, buck
                 used = np.full(len(fp), mask, np.uint64)
                 for k in range(threshold + 1):
                     for flip in combinations(own, k):
-                        yield batch_of(key_of((fp & used) ^ np.uint64(sum(flip)), used), used, np.full(len(fp), k == 0), fp, batch.column(1))
+                        yield batch_of(key_of((fp & used) ^ np.uint64(sum(flip)), used), used, np.full(len(fp), k == 0), fp, *batch.columns[1:])
 
     def further_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,7 +320,7 @@ def hamming_links(prints: DataFrame, radius: int, plan: Plan | None = None, buck
                 free = [b for b in range(BITS) if not int(mask) >> b & 1]
                 for k in range(radius + 1):
                     more = np.uint64(sum(1 << b for b in free[k :: radius + 1]))
-                    yield batch_of(key_of(fp[at] & more, key[at] ^ more), used[at] | more, home[at], fp[at], batch.column(4).take(pa.array(at)))
+                    yield batch_of(key_of(fp[at] & more, key[at] ^ more), used[at] | more, home[at], fp[at], *(c.take(pa.array(at)) for c in batch.columns[4:]))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches come sorted by key; the last key's rows of a batch wait for the next."""
@@ -266,11 +328,14 @@ def hamming_links(prints: DataFrame, radius: int, plan: Plan | None = None, buck
         def links(x: pa.Table) -> pa.RecordBatch:
             key, home, fp = (x.column(c).to_numpy() for c in ("key", "home", "fp"))
             node, fp = x.column("node").to_numpy(), fp.view(np.uint64)
+            sketch = np.frombuffer(b"".join(x.column("sketch").to_pylist()), np.uint64).reshape(len(fp), -1) if extra else None
             a, b = [], []
             at = np.arange(len(key) - 1)
             step = 1
             while len(at := at[at + step < len(key)]) and len(at := at[key[at] == key[at + step]]):
                 hit = at[(np.bitwise_count(fp[at] ^ fp[at + step]) <= radius) & (home[at] | home[at + step])]
+                if extra:
+                    hit = hit[np.bitwise_count(sketch[hit] ^ sketch[hit + step]).sum(1, dtype=np.int64) <= sketch_radius]
                 a.append(node[hit])
                 b.append(node[hit + step])
                 step += 1
@@ -295,9 +360,25 @@ def hamming_links(prints: DataFrame, radius: int, plan: Plan | None = None, buck
         if held:
             yield links(pa.concat_tables(held))
 
-    keys = prints.select("fp", "node").where("node IS NOT NULL").mapInArrow(first_keys, schema)
+    def block_pairs(keys: DataFrame) -> DataFrame:
+        """Every row `blocks` times: once for each block that its own meets."""
+        own = F.pmod(F.xxhash64("fp", "node"), F.col("blocks"))
+        met = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        told = keys.withColumn("own", own).withColumn("met", met)
+        return told.withColumn("key", F.xxhash64("key", F.least("own", "met"), F.greatest("own", "met"))).select(schema.names)
+
+    keys = prints.select("fp", "node", *extra).where("node IS NOT NULL").mapInArrow(first_keys, schema)
     small = []
     while True:
+        if radius > SPLIT_RADIUS:
+            sizes = keys.groupBy("key").count().where(F.col("count") > 2 * bucket_rows)
+            hot = materialize(sizes.select("key", F.ceil(F.col("count") / bucket_rows).alias("blocks")), "hot")
+            if hot.isEmpty():
+                small.append(keys)
+            else:
+                told = keys.join(hot, "key", "left")
+                small += [told.where("blocks IS NULL").select(schema.names), block_pairs(told.where("blocks IS NOT NULL"))]
+            break
         hot = materialize(keys.where(F.bit_count("used") < BITS - int(math.log2(bucket_rows))).groupBy("key").count().where(F.col("count") > bucket_rows).select("key", F.lit(True).alias("hot")), "hot")
         if hot.isEmpty():
             small.append(keys)
@@ -326,3 +407,19 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: st
     roots = components(links)
     known = materialize(nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id")), "components")
     return prints.join(known, "fp").select("doc_id", "fp", "component_id")
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, search_words: int = 2, radius: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) for every row of `docs`: texts whose runs of `words` words have about this Jaccard similarity or more are linked.
+
+    Candidates are found within `radius` bits of a SimHash over shorter runs, by the pigeonhole search, and compared by the
+    differing bits of a longer sketch over runs of `words` (see sketch_distance()); both are estimates, so pairs close to the
+    similarity may fall to either side. component_id is the smallest id reachable. Nulls and texts without a word are linked with each other; a row
+    without an id gets the component of the others with its sketch, or null.
+    """
+    prints = materialize(sketches(docs, search_words, words, id_col, text_col), "sketches")
+    nodes = materialize(prints.groupBy("fp", "sketch").agg(F.min("doc_id").alias("node")), "nodes")
+    links = materialize(hamming_links(nodes, radius, sketch_radius=sketch_distance(similarity)), "links")
+    roots = components(links)
+    known = materialize(nodes.join(roots, "node", "left").select("fp", "sketch", F.coalesce("root", "node").alias("component_id")), "components")
+    return prints.join(known, ["fp", "sketch"]).select("doc_id", "component_id")
