@@ -119,9 +119,9 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", tra
         is_gram = own["gram"] >= 0
         x[own.loc[is_gram, "gram"], k] += own.loc[is_gram, "n"]
         prior[k] += own.loc[~is_gram, "n"].sum()
-    by_size = x.reshape(len(SIZES), -1, len(languages))
+    by_size = x.reshape(len(SIZES), 1 << BUCKET_BITS, len(languages))
     log_p = np.log(by_size / by_size.sum(1, keepdims=True))
-    log_p -= log_p.mean(2, keepdims=True)
+    log_p -= log_p.mean(2, keepdims=True) if languages else 0
     return Model(languages, log_p.astype("f4"), np.log(prior / prior.sum()))
 
 

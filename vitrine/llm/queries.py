@@ -108,4 +108,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can tell the same rows; the others are held against brute force in the tests."""
+    return {"op3_line_dedup": OP3_SQL, "op4_warc": OP4_SQL}
+
+
+OP3_SQL = r"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM split),
+keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+repeated AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+marked AS (SELECT k.*, r.key IS NOT NULL AS gone FROM keyed k LEFT JOIN repeated r ON k.key = r.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""
+
+OP4_SQL = """
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+firsts AS (SELECT html, min(page_id) AS first FROM payloads WHERE n >= 100 GROUP BY html)
+SELECT page_id, n AS payload_bytes, sha256(p.html) AS payload_digest,
+    CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, nullif(first, page_id) AS refers_to
+FROM payloads p LEFT JOIN firsts f ON p.html = f.html AND n >= 100"""
