@@ -142,7 +142,7 @@ def ensure_folders(catalog: Catalog, paths: DataFrame) -> Catalog:
 
 def upsert_folder(catalog: Catalog, path: str, name: str, parent_id: int | None = None, is_root: bool = False) -> Catalog:
     """A folder at `path`: a new row, or the known one with its new parent. A root stays one; what becomes a root loses its parent."""
-    path = path.rstrip("/")
+    path = path.rstrip("/") or "/"
     folders = catalog.folders
     one = catalog.spark.createDataFrame([(path,)], "path string")
     here = F.col("path") == path
@@ -158,7 +158,7 @@ def upsert_folder(catalog: Catalog, path: str, name: str, parent_id: int | None
 
 def adopt_roots(catalog: Catalog, parent_id: int, parent_path: str) -> Catalog:
     """Roots below `parent_path` become children of `parent_id`."""
-    below = F.col("is_root") & F.col("path").startswith(parent_path.rstrip("/") + "/")
+    below = F.col("is_root") & (F.col("id") != parent_id) & F.col("path").startswith(parent_path.rstrip("/") + "/")
     return catalog.put(folders=update(catalog.folders, below, {"parent_id": parent_id, "is_root": False}))
 
 

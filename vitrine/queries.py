@@ -556,7 +556,7 @@ def wr9_rename_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writes.rename_folder(star_catalog(spark, sf_dir), "/ASIA", "/Orient").folders.select("id", "name", "path")
 
 
-@query("wr10_adopt", "SELECT id, CASE WHEN is_root THEN 1 ELSE parent_id END AS parent_id, false AS is_root FROM folders WHERE id < 1000")
+@query("wr10_adopt", "SELECT id, CASE WHEN is_root AND id > 1 THEN 1 ELSE parent_id END AS parent_id, id = 1 AS is_root FROM folders WHERE id < 1000")
 def wr10_adopt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writes.adopt_roots(star_catalog(spark, sf_dir), 1, "").folders.where("id < 1000").select("id", "parent_id", "is_root")
 
@@ -594,7 +594,7 @@ def wr15_delete_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.tags.select("id", "parent_id").crossJoin(F.broadcast(c.image_tags.agg(F.count(F.lit(1)).alias("links"))))  # one row
 
 
-@query("wr17_move_tag", "SELECT id, CASE WHEN n IS NULL THEN order_index ELSE (n - 1) * 100 END AS order_index, CASE WHEN id = 25 THEN 1 ELSE parent_id END AS parent_id FROM (SELECT t.*, n FROM tags t LEFT JOIN (SELECT id, row_number() OVER (ORDER BY CASE WHEN id = 25 THEN pivot ELSE own END) AS n FROM (SELECT id, lpad(CAST(order_index AS VARCHAR), 5, '0') || name AS own, (SELECT lpad(CAST(order_index AS VARCHAR), 5, '0') || name || '!' FROM tags WHERE id = 4) AS pivot FROM tags WHERE parent_id = 1 OR id = 25)) r USING (id))")
+@query("wr17_move_tag", "SELECT id, CASE WHEN n IS NULL THEN order_index ELSE (n - 1) * 100 END AS order_index, CASE WHEN id = 25 THEN 1 ELSE parent_id END AS parent_id FROM (SELECT t.*, n FROM tags t LEFT JOIN (SELECT id, row_number() OVER (ORDER BY CASE WHEN id = 25 THEN spot ELSE own END) AS n FROM (SELECT id, lpad(CAST(order_index AS VARCHAR), 5, '0') || name AS own, (SELECT lpad(CAST(order_index AS VARCHAR), 5, '0') || name || '!' FROM tags WHERE id = 4) AS spot FROM tags WHERE parent_id = 1 OR id = 25)) r USING (id))")
 def wr17_move_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writes.move_tag(star_catalog(spark, sf_dir), 25, 4, "after").tags.select("id", "order_index", "parent_id")
 

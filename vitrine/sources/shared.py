@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +45,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = shared_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the session's workers, unless they find it themselves: in the driver's working folder or on PYTHONPATH."""
+    root = Path(__file__).resolve().parents[2]
+    context = spark.sparkContext
+    if Path.cwd() == root or str(root) in os.environ.get("PYTHONPATH", "").split(":") or getattr(context, "_vitrine_shipped", False):
+        return
+    package = shutil.make_archive(f"{tempfile.mkdtemp()}/vitrine-package", "zip", root, "vitrine")
+    context.addPyFile(package)  # the driver serves it
+    context._vitrine_shipped = True
