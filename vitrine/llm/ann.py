@@ -18,11 +18,13 @@ TRAIN_ROWS = 20_000
 #: Vectors of the sample that bound each query's last neighbour from below.
 BOUND_ROWS = 4_096
 #: Queries of the sample that the number of probed lists is chosen on, and the share of their true neighbours those must hold.
-CALIBRATION_QUERIES, COVERAGE = 400, 0.98
+CALIBRATION_QUERIES, COVERAGE = 1_000, 0.995
 #: Dimensions of a product quantiser's part, and centroids of each.
 PART_DIMS, PART_CENTROIDS = 4, 256
-#: Rows of a list that are searched at a time, and how many of them are reranked for each query.
+#: Rows of a list that are searched at a time, and how many of them at least are reranked for each query.
 BLOCK_ROWS, RERANK = 1_024, 96
+#: Standard deviations of a quantised score that a row may lie under the last of the best and still be reranked.
+SLACK = 4.0
 #: The most lists, and the rows under which there is just one.
 MOST_LISTS, ONE_LIST_ROWS = 2_048, 2_000
 
@@ -66,6 +68,11 @@ class Index:
         left = x - self.centroids[own]
         return own, np.stack([nearest(left[:, c], b) for c, b in zip(self.cuts, self.codebooks, strict=True)], 1).astype(np.uint8)
 
+    def errors(self, x: np.ndarray, own: int, codes: np.ndarray) -> np.ndarray:
+        """How far each row of list `own` lies from what its codes tell."""
+        told = np.concatenate([b[codes[:, k]] for k, b in enumerate(self.codebooks)], 1)
+        return np.sqrt(((x - self.centroids[own] - told) ** 2).sum(1))
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """(queries, parts, centroids): inner products of the queries' parts and the codebooks."""
         out = np.zeros((len(q), len(self.codebooks), PART_CENTROIDS), np.float32)
@@ -130,7 +137,7 @@ def search(table: DataFrame, queries_every: int = 20, k: int = 20, id_col: str =
     usable()) take no part; of an id with several vectors, the one with the smallest bytes asks, and the nearest one is found. With at most `k` candidates all are found; an empty table gives none.
 
     Every row is in the index. A list is searched in blocks of about BLOCK_ROWS rows, each with the queries that probe it: asymmetric distance
-    tables choose RERANK distinct vectors a query, which are ranked by their own values. What is below a query's `k` best of
+    tables choose RERANK distinct vectors a query, and all that could be among its best for the quantiser's error; these are ranked by their own values. What is below a query's `k` best of
     a fixed sample of the rows isn't passed on; those `k` are found too.
     """
     spark = table.sparkSession
@@ -211,16 +218,21 @@ def search(table: DataFrame, queries_every: int = 20, k: int = 20, id_col: str =
         near = np.zeros((len(q), len(x)), np.float32)
         for part, table_ in enumerate(np.moveaxis(own.tables(q), 1, 0)):
             near += table_[:, codes[:, part]]
-        kept = min(RERANK, len(x))
-        best = np.argpartition(-near, kept - 1, axis=1)[:, :kept]
+        kept, last = min(RERANK, len(x)), min(k, len(x)) - 1
+        least = np.partition(-near, kept - 1, axis=1)[:, kept - 1]
+        # a score is off by about the query's length times the row's error, over the root of the dimensions
+        slack = SLACK / np.sqrt(dims) * own.errors(x, int(held["list"].iloc[0]), codes)
         found = []
         for i, (query_id, bound) in enumerate(zip(asking["query_id"], asking["bound"], strict=True)):
-            score = (x[best[i]] * q[i]).sum(1)
+            width = slack * np.sqrt((q[i] ** 2).sum())
+            low = np.partition(near[i] - width, len(x) - 1 - last)[len(x) - 1 - last]
+            best = np.flatnonzero((near[i] >= -least[i]) | (near[i] + width >= low))
+            score = (x[best] * q[i]).sum(1)
             good = np.flatnonzero(score >= bound)
             good = good[np.argsort(-score[good], kind="stable")]
             n, own_ids, own_scores = 0, [], []
             for g in good:
-                v = best[i][g]
+                v = best[g]
                 if n > k and score[g] < own_scores[-1][0]:
                     break
                 rows_ = ids[copies[starts[v] : min(starts[v + 1], starts[v] + k + 1)]]
