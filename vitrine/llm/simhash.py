@@ -141,7 +141,7 @@ def sketches(docs: DataFrame, search_words: int = 2, words: int = 5, id_col: str
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(of, schema)
 
 
-def sketch_distance(similarity: float, bits: int = 64 * SKETCH_WORDS, deviations: float = 2.0) -> int:
+def sketch_distance(similarity: float, bits: int = 64 * SKETCH_WORDS, deviations: float = 1.5) -> int:
     """The differing bits under which texts of this Jaccard similarity or more stay, but for what lies over `deviations` standard deviations off.
 
     Sets of equal size with similarity J have the cosine 2J / (1 + J); a bit differs with the probability of their angle over pi.
