@@ -299,13 +299,14 @@ def src4_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.detect(named, formats.registry(spark), content_col=None).select("id", "format_name", "category", "playback")
 
 
-# joins and statistics
+# Joins and statistics. From here on, remainders of ids make up what has changed (files on disk, events, changes to apply) as the star
+# schema has no such tables; the catalog's tables that they meet are whole.
 
 
-@query("jn2_tags_of_image", "SELECT image_id, t.id, name, row_number() OVER (PARTITION BY image_id ORDER BY order_index, name) AS place FROM tags t JOIN image_tags ON t.id = tag_id WHERE image_id IN (1, 42, 99)")
-def jn2_tags_of_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("jn2_tags_of_images", "SELECT image_id, t.id, name, row_number() OVER (PARTITION BY image_id ORDER BY order_index, name) AS place FROM tags t JOIN image_tags ON t.id = tag_id")
+def jn2_tags_of_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = star_catalog(spark, sf_dir)
-    held = c.image_tags.where(F.col("image_id").isin(1, 42, 99)).join(c.tags.withColumnRenamed("id", "tag_id"), "tag_id")
+    held = c.image_tags.join(c.tags.withColumnRenamed("id", "tag_id"), "tag_id")
     return held.select("image_id", F.col("tag_id").alias("id"), "name", F.row_number().over(Window.partitionBy("image_id").orderBy("order_index", "name")).alias("place"))
 
 
@@ -518,15 +519,15 @@ def wr1_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.withColumn("id", F.when(~F.col("is_new"), F.col("id"))).select("path", "id", "old_folder_id", "is_new")
 
 
-@query("wr2_rating_notes", "SELECT id, CASE WHEN id = 5 THEN 1 ELSE rating END AS rating, CASE WHEN id = 6 THEN 'seen' ELSE notes END AS notes FROM images WHERE id < 1000")
+@query("wr2_rating_notes", "SELECT id, CASE WHEN id = 5 THEN 1 ELSE rating END AS rating, CASE WHEN id = 6 THEN 'seen' ELSE notes END AS notes FROM images")
 def wr2_rating_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return writes.set_notes(writes.set_rating(star_catalog(spark, sf_dir), 5, 1), 6, "seen").images.where("id < 1000").select("id", "rating", "notes")
+    return writes.set_notes(writes.set_rating(star_catalog(spark, sf_dir), 5, 1), 6, "seen").images.select("id", "rating", "notes")
 
 
-@query("wr3_thumbnails", "SELECT id, CASE id WHEN 7 THEN 't' WHEN 8 THEN NULL ELSE thumbnail_path END AS thumbnail_path, CASE WHEN id = 9 THEN thumbnail_attempts + 1 ELSE thumbnail_attempts END AS thumbnail_attempts, CASE WHEN id = 9 THEN 'bad' END AS thumbnail_last_error FROM images WHERE id < 1000")
+@query("wr3_thumbnails", "SELECT id, CASE id WHEN 7 THEN 't' WHEN 8 THEN NULL ELSE thumbnail_path END AS thumbnail_path, CASE WHEN id = 9 THEN thumbnail_attempts + 1 ELSE thumbnail_attempts END AS thumbnail_attempts, CASE WHEN id = 9 THEN 'bad' END AS thumbnail_last_error FROM images")
 def wr3_thumbnails(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = writes.set_thumbnail(writes.set_thumbnail(star_catalog(spark, sf_dir), 7, "t"), 8, None)
-    return writes.thumbnail_failed(c, 9, "bad").images.where("id < 1000").select("id", "thumbnail_path", "thumbnail_attempts", "thumbnail_last_error")
+    return writes.thumbnail_failed(c, 9, "bad").images.select("id", "thumbnail_path", "thumbnail_attempts", "thumbnail_last_error")
 
 
 @query("wr4_delete_context", "SELECT path, i.id, folder_id, coalesce(string_agg(CAST(tag_id AS VARCHAR), ',' ORDER BY tag_id), '') AS tag_ids FROM images i LEFT JOIN image_tags ON i.id = image_id WHERE i.id % 100 = 9 GROUP BY path, i.id, folder_id")
@@ -556,9 +557,9 @@ def wr9_rename_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writes.rename_folder(star_catalog(spark, sf_dir), "/ASIA", "/Orient").folders.select("id", "name", "path")
 
 
-@query("wr10_adopt", "SELECT id, CASE WHEN is_root AND id > 1 THEN 1 ELSE parent_id END AS parent_id, id = 1 AS is_root FROM folders WHERE id < 1000")
+@query("wr10_adopt", "SELECT id, CASE WHEN is_root AND id > 1 THEN 1 ELSE parent_id END AS parent_id, id = 1 AS is_root FROM folders")
 def wr10_adopt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return writes.adopt_roots(star_catalog(spark, sf_dir), 1, "").folders.where("id < 1000").select("id", "parent_id", "is_root")
+    return writes.adopt_roots(star_catalog(spark, sf_dir), 1, "").folders.select("id", "parent_id", "is_root")
 
 
 @query("wr11_nearest_ancestor", "SELECT f.path || '/deep/er' AS path, f.id AS parent_id FROM folders f UNION ALL SELECT '/nowhere/at/all', NULL")
