@@ -18,6 +18,7 @@ from vitrine.sources import files, formats
 from vitrine.sources.catalog import Catalog, star_catalog
 from vitrine.sources.shared import shared_path, table
 from vitrine.streaming import changes, retries
+from vitrine.streaming.apply import apply_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -666,6 +667,66 @@ def sc24_icons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return star_catalog(spark, sf_dir).images.select("id", media.icon_category(F.col("format")).alias("category"), media.icon_color(F.col("format")).alias("color"))
 
 
+@query("sc10_seconds_apart", "SELECT id, CAST(floor(abs(epoch_us(added_at) - epoch_us(modified_at)) / 1000000) AS BIGINT) AS seconds FROM images WHERE added_at IS NOT NULL")
+def sc10_seconds_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cat(spark, sf_dir).images.where("added_at IS NOT NULL").select("id", text.seconds_apart(F.col("added_at"), F.col("modified_at")).cast("long").alias("seconds"))
+
+
+@query("sc14_dates", "SELECT id, strftime(created_at, '%d/%m/%Y') AS day, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS plain, strftime(modified_at, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS rfc FROM images")
+def sc14_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, m = F.col("created_at"), F.col("modified_at")
+    return star_catalog(spark, sf_dir).images.select("id", F.date_format(c, "dd/MM/yyyy").alias("day"), text.plain_text(c).alias("plain"), text.rfc3339_text(m).alias("rfc"))
+
+
+@query("sc15_to_bytes", "SELECT p_partkey AS id, CAST(floor(p_retailprice * 1024 + 0.5) AS BIGINT) AS kb, CAST(floor(p_retailprice * 1048576 + 0.5) AS BIGINT) AS mb FROM part")
+def sc15_to_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    price = F.col("p_retailprice")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), media.to_bytes(price, "KB").alias("kb"), media.to_bytes(price, "MB").alias("mb"))
+
+
+EXTENSIONS = "['mp4', 'MKV', 'ogg', 'txt', 'mp3', 'swf']"
+
+
+@query("sc20_playback", f"SELECT o_orderkey AS id, e NOT IN ('mp4', 'mp3') AS transcoded, CASE WHEN e IN ('ogg', 'mp3') THEN 'Audio' WHEN e = 'txt' THEN 'Unknown' ELSE 'Video' END AS media_type FROM (SELECT o_orderkey, lower({EXTENSIONS}[o_orderkey % 6 + 1]) AS e FROM orders)")
+def sc20_playback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.element_at(F.array(*map(F.lit, ("mp4", "MKV", "ogg", "txt", "mp3", "swf"))), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    named = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("/v/a."), e).alias("path"))
+    found = formats.detect(named, formats.registry(spark), content_col=None)
+    kind = F.when(F.col("category").isin("Audio", "Video"), F.col("category")).otherwise("Unknown")
+    return found.select("id", (~F.coalesce(F.col("playback") == "Native", F.lit(False))).alias("transcoded"), kind.alias("media_type"))
+
+
+@query("sc23_segment_paths", "SELECT id, path AS file, id AS segment FROM folders")
+def sc23_segment_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    address = F.concat(media.url_encode(F.col("path")), F.lit("/"), F.col("id").cast("string"), F.lit(".ts"))
+    return star_catalog(spark, sf_dir).folders.select("id", media.segment_of(address).alias("s")).select("id", "s.file", "s.segment")
+
+
+@query("srt12_roots_sorted", "SELECT id, name, row_number() OVER (ORDER BY name, id) - 1 AS place FROM folders WHERE is_root OR parent_id IS NULL")
+def srt12_roots_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = star_catalog(spark, sf_dir)
+    return numbered(c.folders.where(F.col("is_root") | F.col("parent_id").isNull()).select("id", "name"), ["name", "id"])
+
+
+@query("wr6_upsert_folder", "SELECT id, parent_id, path, is_root FROM folders WHERE id <> 101 UNION ALL SELECT id, NULL, path, true FROM folders WHERE id = 101 UNION ALL SELECT (SELECT max(id) + 1 FROM folders), 102, '/ASIA/new', false")
+def wr6_upsert_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = star_catalog(spark, sf_dir)
+    path = c.folders.where("id = 101").first()["path"]
+    c = writes.upsert_folder(c, path.lower(), "other", is_root=True)
+    return writes.upsert_folder(c, "/ASIA/new/", "new", parent_id=102).folders.select("id", "parent_id", "path", "is_root")
+
+
+@query("wr13_create_tag", "SELECT id, name, parent_id FROM tags UNION ALL SELECT (SELECT max(id) + 1 FROM tags), 'brand new', 1")
+def wr13_create_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return writes.create_tag(star_catalog(spark, sf_dir), "brand new", 1).tags.select("id", "name", "parent_id")
+
+
+@query("wr16_unassign", "SELECT image_id, tag_id FROM image_tags WHERE NOT (image_id = 42 AND tag_id = (SELECT min(tag_id) FROM image_tags WHERE image_id = 42))")
+def wr16_unassign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = star_catalog(spark, sf_dir)
+    return writes.unassign_tag(c, 42, c.image_tags.where("image_id = 42").agg(F.min("tag_id")).first()[0]).image_tags
+
+
 # streams
 
 
@@ -705,6 +766,19 @@ def st5_rename_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.pair_untracked(gone.unionByName(new), images).where("op = 'rename'").select("path", "to_path")
 
 
+@query(
+    "st6_apply_batch",
+    """SELECT 'updated' AS op, id AS image_id, nullif(folder_id, 0) AS old_folder_id FROM images WHERE id % 40 = 1 AND width IS NOT NULL AND height IS NOT NULL AND format IS NOT NULL
+    UNION ALL SELECT 'removed', id, NULL FROM images WHERE id % 40 = 3 UNION ALL SELECT 'updated', id, folder_id FROM images WHERE id % 40 = 5""",
+)
+def st6_apply_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Renames, removals and rewritten files of one batch; the folders of the paths are new, so each rewritten or renamed image changes folder."""
+    c = star_catalog(spark, sf_dir)
+    kind = F.when(F.col("id") % 40 == 1, "rename").when(F.col("id") % 40 == 3, "remove").otherwise("add")
+    ops = c.images.where("id % 40 IN (1, 3, 5)").select(kind.alias("op"), "path", F.when(kind == "rename", F.concat(F.lit("/renamed/"), "id")).alias("to_path"), F.lit(False).alias("is_dir"))
+    return apply_batch(c, ops, c.images.where("id % 40 = 5"), c.images).changes.select("op", "image_id", "old_folder_id")
+
+
 @query("st7_due_removals", "SELECT path FROM images WHERE id % 10 = 1 AND id % 4 > 0")
 def st7_due_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = star_catalog(spark, sf_dir).images
@@ -732,6 +806,17 @@ def st10_next_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retries.next_batch(star_catalog(spark, sf_dir).images, priority=[102, 150, 12])
 
 
+@query(
+    "st16_sessions",
+    """SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM
+    (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM
+    (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, run""",
+)
+def st16_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = changes.sessions(table(spark, sf_dir, "events"), "user_id", idle="30 minutes")
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
+
+
 @query("st17_expired", "SELECT path FROM images WHERE TIMESTAMP '1998-01-01 00:00:00' - modified_at > INTERVAL 30 DAY")
 def st17_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.expired(_cat(spark, sf_dir).images, "1998-01-01 00:00:00").select("path")

@@ -147,3 +147,9 @@ def watch(events: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int],
             handle(df, batch_id)
 
     return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": TRIGGER})).start()
+
+
+def sessions(events: DataFrame, key: str, at: str = "ts", idle: str = "60 seconds") -> DataFrame:
+    """(key, session_start, session_end, n): runs of a key's events that are at most `idle` apart; a session ends `idle` after its last."""
+    found = events.groupBy(key, F.session_window(at, idle).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return found.select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
