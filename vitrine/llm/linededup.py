@@ -16,7 +16,7 @@ from vitrine.sources.shared import materialize
 
 #: Bits of a slice of the filters: what one merging task holds at a time, twice.
 SLICE_BITS = 1 << 19
-#: Most bits of a whole filter, which executors get by broadcast (64 MB). Beyond it more lines are suspected, and shuffle; results stay the same.
+#: Most bits of a whole filter (64 MB; a task fills two), which executors get by broadcast. Beyond it more lines are suspected, and shuffle; results stay the same.
 FILTER_BITS = 1 << 29
 #: Repeated lines whose keys take at most so many bytes are broadcast; beyond, they meet the documents in a join.
 BROADCAST_BYTES = 32 << 20
@@ -34,6 +34,16 @@ def _bits(keys: list[bytes], size: int) -> np.ndarray:
     return np.stack([h & mask, (h >> np.uint64(32)) & mask], 1).astype(np.int64)
 
 
+def _held(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether `bits` (packed, highest first) has all positions of each row of `at`."""
+    return ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(1)
+
+
+def _put(bits: np.ndarray, at: np.ndarray) -> None:
+    at = at.ravel()
+    np.bitwise_or.at(bits, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
+
+
 def filter_size(lines: int, most: int = FILTER_BITS) -> int:
     """A power of two with 8 bits or more a line, between one slice and `most`."""
     size = SLICE_BITS
@@ -51,19 +61,19 @@ def twice_seen(docs: DataFrame, text_col: str, size: int) -> bytes:
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(size, bool), np.zeros(size, bool)
+        once, twice = np.zeros(size // 8, np.uint8), np.zeros(size // 8, np.uint8)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 keys = set(map(line_key, (text or "").encode().split(b"\n"))) - {b""}
                 if not keys:
                     continue
                 at = _bits(list(keys), size)
-                twice[at[once[at].all(1)].ravel()] = True
-                once[at.ravel()] = True
+                _put(twice, at[_held(once, at)])
+                _put(once, at)
         for k in range(size // SLICE_BITS):
-            part = slice(k * SLICE_BITS, (k + 1) * SLICE_BITS)
+            part = slice(k * SLICE_BITS // 8, (k + 1) * SLICE_BITS // 8)
             if once[part].any():
-                both = [zlib.compress(np.packbits(x[part]).tobytes(), 1) for x in (once, twice)]
+                both = [zlib.compress(x[part].tobytes(), 1) for x in (once, twice)]
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x], pa.binary()) for x in both)], names=["slice", "once", "twice"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +130,7 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int, m
                     continue
                 keys = list(first)
                 at = _bits(keys, size)
-                for j in np.flatnonzero(((held[at >> 3] >> (7 - (at & 7))) & 1).all(1)):
+                for j in np.flatnonzero(_held(held, at)):
                     if min_chars <= 1 or len(keys[j].decode()) >= min_chars:
                         found.append(keys[j])
                         docs_at.append(k)
