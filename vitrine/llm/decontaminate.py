@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vitrine.llm.tokens import runs_of, text_lengths
+
 #: Words of a window.
 WINDOW = 5
 #: Least share of an item's windows that a document must have.
@@ -18,8 +20,8 @@ SIMILARITY = 0.8
 #: Benchmark text that is indexed and broadcast at a time; a larger benchmark takes a pass over the documents for each such block.
 BLOCK_BYTES = 16 << 20
 #: Words a task handles at a time, and remembers.
-RUN_WORDS = 1 << 18
-CACHE_WORDS = 300_000
+RUN_WORDS = 1 << 17
+CACHE_WORDS = 100_000
 
 # Units that may follow a number.
 UNITS = frozenset("mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g gram grams kg lb lbs oz ounce ounces t ton tons ml l liter liters litre litres gal gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years mph kmh kph hz khz mhz ghz w kw v a j kj cal kcal c f k % percent $ usd dollar dollars eur euro euros gbp pound pounds cent cents".split())
@@ -188,10 +190,10 @@ def matches(texts: list[str | None], index: Index, words: Words, window: int, si
             yield text, own, fit, changed
 
 
-def _runs(texts: list[str | None]) -> Iterator[slice]:
-    from vitrine.llm.tokens import runs_of
-
-    return runs_of([len(x or "") // 5 for x in texts], RUN_WORDS)
+def _runs(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """(first row, texts) of stretches with about RUN_WORDS words."""
+    for run in runs_of([n // 5 for n in text_lengths(texts)], RUN_WORDS):
+        yield run.start, texts.slice(run.start, run.stop - run.start).to_pylist()
 
 
 def blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> Iterator[Index]:
@@ -221,8 +223,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, simi
             own = shared.value
             words = Words(own.vocabulary)
             for batch in batches:
-                texts = batch.column(1).to_pylist()
-                rows = [(run.start + k, own.items[i], int(own.windows[i]), n, changed) for run in _runs(texts) for k, i, n, changed in matches(texts[run], own, words, window, similarity)]
+                rows = [(start + k, own.items[i], int(own.windows[i]), n, changed) for start, texts in _runs(batch.column(1)) for k, i, n, changed in matches(texts, own, words, window, similarity)]
                 at, *rest = zip(*rows, strict=True) if rows else ((),) * 5
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(x, t) for x, t in zip(rest, (None if rows else pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True))], names=[f.name for f in schema])
 
@@ -241,11 +242,10 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, simi
             own = shared.value
             words = Words(own.vocabulary)
             for batch in batches:
-                texts = batch.column(text_at).to_pylist()
-                kept = np.ones(len(texts), bool)
-                for run in _runs(texts):
-                    for k, *_ in matches(texts[run], own, words, window, similarity):
-                        kept[run.start + k] = False
+                kept = np.ones(len(batch), bool)
+                for start, texts in _runs(batch.column(text_at)):
+                    for k, *_ in matches(texts, own, words, window, similarity):
+                        kept[start + k] = False
                 yield batch.filter(pa.array(kept))
 
         docs = docs.mapInArrow(clean, docs.schema)

@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitrine.llm.tokens import encoder, runs_of
+from vitrine.llm.tokens import encoder, runs_of, text_lengths
 from vitrine.sources.shared import materialize
 
 #: Pieces of one length are numbered in so many parts by hash, so that no length passes through one task.
 RANK_PARTS = 256
 #: Characters of text that a task encodes at a time; a longer text is encoded alone.
-ENCODE_CHARS = 2_000_000
+ENCODE_CHARS = 1_000_000
 
 
 def cut(ids: int, capacity: int) -> list[tuple[int, int]]:
@@ -41,10 +41,9 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in runs_of([len(x or "") for x in texts], ENCODE_CHARS):
+            for part in runs_of(text_lengths(batch.column(1)), ENCODE_CHARS):
                 rows, kept, held = [], [], []
-                for k, ids in enumerate(encode(texts[part], end_id)):
+                for k, ids in enumerate(encode(batch.column(1).slice(part.start, part.stop - part.start).to_pylist(), end_id)):
                     for n, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                         own = ids[4 * start : 4 * (start + length)]
                         rows.append((k, n, start, length))

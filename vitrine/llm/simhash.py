@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
                 hashes.clear()
                 sizes.clear()
 
-            for text in batch.column(1).to_pylist():
+            for text in (x.as_py() for x in batch.column(1)):
                 h = np.array(shingle_hashes(text, words), np.uint64)
                 hashes.append(h)
                 sizes.append(len(h))
@@ -126,7 +126,7 @@ def sketches(docs: DataFrame, search_words: int = 2, words: int = 5, id_col: str
                     part.clear()
 
             held = 0
-            for text in batch.column(1).to_pylist():
+            for text in (x.as_py() for x in batch.column(1)):
                 for part, n in zip(parts, (search_words, words), strict=True):
                     part.append(np.unique(np.array(shingle_hashes(text, n), np.uint64)))
                 held += len(parts[1][-1])

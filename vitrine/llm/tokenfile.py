@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitrine.llm.packing import ENCODE_CHARS
-from vitrine.llm.tokens import encoder, runs_of
+from vitrine.llm.tokens import encoder, runs_of, text_lengths
 
 #: Ids of a block; a longer document is cut into blocks of its own.
 BLOCK_IDS = 65_536
@@ -84,9 +84,9 @@ def write_token_file(docs: DataFrame, path: str, vocabulary: str, end_id: int =
             return pa.RecordBatch.from_pylist([row], schema)
 
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for run in runs_of([len(x or "") for x in texts], ENCODE_CHARS):
-                for name, ids in zip(names[run], encode(texts[run], end_id), strict=True):
+            names = batch.column(0).to_pylist()
+            for run in runs_of(text_lengths(batch.column(1)), ENCODE_CHARS):
+                for name, ids in zip(names[run], encode(batch.column(1).slice(run.start, run.stop - run.start).to_pylist(), end_id), strict=True):
                     n = len(ids) // 4
                     if held and held_ids + n > block_ids:
                         yield block(b"".join(held), doc_starts, doc_ids, None)

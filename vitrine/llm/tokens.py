@@ -7,6 +7,8 @@ import struct
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # The characters of Unicode's White_Space property.
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -15,7 +17,7 @@ WHITE = "\t-\r \x85\xa0  -     　"
 LATIN = "A-Za-zÀ-ÖØ-öø-įıĲ-ɏ"
 
 #: Words a worker remembers in each of two generations (about 150 bytes each).
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -100,6 +102,11 @@ def encoder(vocabulary: str) -> WordEncoder:
     return WordEncoder(vocabulary)
 
 
+def text_lengths(texts: pa.Array) -> list[int]:
+    """Characters of each text (null: none), without making them Python's."""
+    return pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
+
+
 def runs_of(lengths: list[int], most: int):
     """Slices of consecutive texts with at most `most` characters together, one text at least."""
     begin, held = 0, 0
