@@ -13,9 +13,9 @@ CHANGES = "op string, image_id long, folder_id long, old_folder_id long, tag_ids
 
 def totals(catalog: Catalog) -> DataFrame:
     """(total_images, untagged_images)."""
-    tagged = catalog.image_tags.select(F.col("image_id").alias("id"))
-    untagged = catalog.images.join(tagged, "id", "left_anti").agg(F.count(F.lit(1)).alias("untagged_images"))
-    return catalog.images.agg(F.count(F.lit(1)).alias("total_images")).crossJoin(untagged)  # one row each
+    tagged = catalog.image_tags.select(F.col("image_id").alias("id")).distinct().withColumn("tagged", F.lit(True))
+    met = catalog.images.select("id").join(tagged, "id", "left")
+    return met.agg(F.count(F.lit(1)).alias("total_images"), F.count_if(F.col("tagged").isNull()).alias("untagged_images"))
 
 
 def tag_counts(catalog: Catalog) -> DataFrame:

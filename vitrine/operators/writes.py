@@ -31,10 +31,10 @@ def with_ids(rows: DataFrame, table: DataFrame, order: list[str], id_col: str =
     parted = rows.withColumn("id_part", part)
     before = Window.orderBy("id_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parted.groupBy("id_part").count().select("id_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("id_start"))
-    last = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id_last"))
+    last = table.agg(F.max("id")).first()[0] or 0
     nth = F.row_number().over(Window.partitionBy("id_part").orderBy(*order))
-    met = parted.withColumn("nth", nth).join(F.broadcast(starts), "id_part").crossJoin(F.broadcast(last))  # ID_PARTS rows, and one
-    return met.withColumn(id_col, F.col("id_last") + F.col("id_start") + F.col("nth")).drop("id_part", "id_start", "id_last", "nth")
+    met = parted.withColumn("nth", nth).join(F.broadcast(starts), "id_part")  # ID_PARTS rows
+    return met.withColumn(id_col, F.lit(last).cast("long") + F.col("id_start") + F.col("nth")).drop("id_part", "id_start", "nth")
 
 
 def _fit(rows: DataFrame, table: str) -> DataFrame:

@@ -590,10 +590,11 @@ def wr14_update_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writes.update_tag(star_catalog(spark, sf_dir), 12, name="Twelve", parent_id=0, order_index=70).tags.drop("color")
 
 
-@query("wr15_delete_tag", "SELECT t.id, nullif(parent_id, 1) AS parent_id, (SELECT count(*) FROM image_tags WHERE tag_id <> 1) AS links FROM tags t WHERE t.id <> 1")
+@query("wr15_delete_tag", "SELECT t.id, nullif(parent_id, 1) AS parent_id, CAST(NULL AS BIGINT) AS links FROM tags t WHERE t.id <> 1 UNION ALL SELECT tag_id, NULL, count(*) FROM image_tags WHERE tag_id <> 1 GROUP BY tag_id")
 def wr15_delete_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = writes.delete_tag(star_catalog(spark, sf_dir), 1)
-    return c.tags.select("id", "parent_id").crossJoin(F.broadcast(c.image_tags.agg(F.count(F.lit(1)).alias("links"))))  # one row
+    none = F.lit(None).cast("long")
+    return c.tags.select("id", "parent_id", none.alias("links")).unionByName(stats.tag_counts(c).select(F.col("tag_id").alias("id"), none.alias("parent_id"), F.col("count").alias("links")))
 
 
 @query("wr17_move_tag", "SELECT id, CASE WHEN n IS NULL THEN order_index ELSE (n - 1) * 100 END AS order_index, CASE WHEN id = 25 THEN 1 ELSE parent_id END AS parent_id FROM (SELECT t.*, n FROM tags t LEFT JOIN (SELECT id, row_number() OVER (ORDER BY CASE WHEN id = 25 THEN spot ELSE own END) AS n FROM (SELECT id, lpad(CAST(order_index AS VARCHAR), 5, '0') || name AS own, (SELECT lpad(CAST(order_index AS VARCHAR), 5, '0') || name || '!' FROM tags WHERE id = 4) AS spot FROM tags WHERE parent_id = 1 OR id = 25)) r USING (id))")
