@@ -94,6 +94,10 @@ def test_language_on_held_out_rows(labelled):
     assert all(0 <= r.score <= 1 for r in told)
 
 
+def test_letters():
+    assert all(map(langid.has_letter, ("a", "1é", "  中", "ª", "ÿ"))) and not any(map(langid.has_letter, ("", "12 _-", "²½Ⅷ", "😀", "\u0301")))
+
+
 def test_scores_are_multinomial(labelled):
     """Against the sum over n-grams by hand, text by text; batches and pieces change nothing."""
     import numpy as np

@@ -23,12 +23,16 @@ BATCH_BYTES = 1 << 20
 #: The prediction for texts without a letter.
 UNKNOWN = "und"
 
-_letter = re.compile(r"[^\W\d_]").search
+_ascii_letter = re.compile("[A-Za-z]").search
 
 # every ASCII byte but letters becomes a space, letters are lower-cased, bytes of other characters stay
 _FOLD = bytes(ord(chr(b).lower()) if b > 127 or chr(b).isalpha() else 32 for b in range(128)) + bytes(range(128, 256))
 
 
+def has_letter(text: str) -> bool:
+    return bool(_ascii_letter(text)) or any(map(str.isalpha, text))
+
+
 def fold(text: bytes) -> np.ndarray:
     """Folded bytes with runs of spaces as one, and a space at either end."""
     x = np.frombuffer((b" " + text + b" ").translate(_FOLD), np.uint8)
@@ -101,7 +105,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", tra
         for batch in batches:
             by: dict[str, list[bytes]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if _letter(text):
+                if has_letter(text):
                     by.setdefault(lang, []).append(text.encode())
             for lang, texts in by.items():
                 sums[lang] = sums.get(lang, 0) + counts_of(texts)
@@ -151,7 +155,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         known = shared.value
         for batch in batches:
             texts = batch.column(text_at).to_pylist()
-            wanted = [k for k, x in enumerate(texts) if x and _letter(x)] if known.languages else []
+            wanted = [k for k, x in enumerate(texts) if x and has_letter(x)] if known.languages else []
             joint = np.tile(known.prior, (len(texts), 1))
             part, owners, held = [], [], 0
 
