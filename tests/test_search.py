@@ -90,6 +90,31 @@ def test_criteria(catalog, criterion, want):
     assert found(catalog, criterion) == sorted(want)
 
 
+@pytest.mark.parametrize(
+    ("criterion", "want"),
+    [
+        (("created_at", "after", "2024-01-02"), [5, 7, 8]),
+        (("created_at", "after", "2024-01-02 12:00:00"), [5, 7, 8]),
+        (("created_at", "before", "2024-01-02"), [1, 2, 6]),
+        (("added_at", "on", "2024-01-05"), [1, 4, 6]),
+        (("modified_at", "between", ["2024-01-01", "2024-01-05"]), [1, 2, 6]),
+        (("modified_at", "between", "2024-01-01"), []),
+        (("modified_at", "before", "soon"), []),
+    ],
+)
+def test_typed_times(catalog, criterion, want):
+    tree = Group("and", (Criterion(*criterion),))
+    df = catalog.images.where(condition(tree, catalog, typed_times=True))
+    assert ids(df) == want
+
+
+def test_filters_reach_the_scan(catalog):
+    stored = catalog.materialized()
+    tree = to_json(Group("and", (Criterion("size", "gt", 5), Criterion("created_at", "after", "2024-01-02"))))
+    plan = LibraryQuery(advanced_query=tree, typed_times=True).count(stored)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(size,5)" in plan and "GreaterThanOrEqual(created_at" in plan and "notes" not in plan.split("ReadSchema")[1]
+
+
 def test_groups(catalog):
     a, b = ("rating", "gte", 3), ("format", "contains", "png")
     assert found(catalog, a, b) == [] and found(catalog, a, b, operator="or") == [1, 4, 5, 6, 7]

@@ -144,6 +144,28 @@ def _on_time(key: str, operator: str, value: Any) -> Column:
     return at == "1"
 
 
+def _on_typed_time(key: str, operator: str, value: Any) -> Column:
+    """Times compare as times: a bare day means all of it, so `after` starts with the next day and ranges hold their last day. Reaches the scan."""
+    at = F.col(key)
+
+    def span(x: Any) -> tuple[Column, Column]:
+        text = x if isinstance(x, str) else ""
+        first = F.try_to_timestamp(F.lit(text))
+        return first, first + F.expr("INTERVAL 1 DAY" if len(text) == 10 else "INTERVAL 1 MICROSECOND")
+
+    match operator:
+        case "before":
+            return at < span(value)[0]
+        case "after":
+            return at >= span(value)[1]
+        case "on":
+            first, end = span(value)
+            return (at >= first) & (at < end)
+        case "between" if pair := _pair(value):
+            return (at >= span(pair[0])[0]) & (at < span(pair[1])[1])
+    return F.lit(False)
+
+
 def _on_tags(catalog: Catalog, operator: str, value: Any) -> Column:
     if isinstance(value, str):
         digits = value[1:] if value[:1] in ("+", "-") else value
@@ -166,21 +188,24 @@ def _on_folder(catalog: Catalog, operator: str, value: Any) -> Column:
     return F.lit(True)
 
 
-def condition(tree: Group | Criterion, catalog: Catalog) -> Column:
-    """The tree as a column over the catalog's images. Unknown keys, and unknown operators on text, tags and folders, hold for every row."""
+def condition(tree: Group | Criterion, catalog: Catalog, typed_times: bool = False) -> Column:
+    """The tree as a column over the catalog's images. Unknown keys, and unknown operators on text, tags and folders, hold for every row.
+
+    Times compare as text, or with `typed_times` as times.
+    """
     if isinstance(tree, Criterion):
         if tree.key in ("filename", "notes", "format"):
             return _on_text(tree.key, tree.operator, tree.value)
         if tree.key in ("size", "width", "height", "rating"):
             return _on_number(tree.key, tree.operator, tree.value)
         if tree.key in ("added_at", "created_at", "modified_at"):
-            return _on_time(tree.key, tree.operator, tree.value)
+            return (_on_typed_time if typed_times else _on_time)(tree.key, tree.operator, tree.value)
         if tree.key == "tags":
             return _on_tags(catalog, tree.operator, tree.value)
         if tree.key == "folder":
             return _on_folder(catalog, tree.operator, tree.value)
         return F.lit(True)
-    parts = [condition(x, catalog) for x in tree.items]
+    parts = [condition(x, catalog, typed_times) for x in tree.items]
     if not parts:
         return F.lit(True)
     found = parts[0]

@@ -20,7 +20,7 @@ PAGE, SORT = 100, ("modified_at", "desc")
 
 @dataclass(frozen=True)
 class LibraryQuery:
-    """A search. limit and offset page the sorted rows; a negative limit is none, a negative offset is 0."""
+    """A search. limit and offset page the sorted rows; a negative limit is none, a negative offset is 0. typed_times: see condition()."""
 
     tag_ids: tuple[int, ...] = ()
     match_all: bool = False
@@ -33,13 +33,14 @@ class LibraryQuery:
     search_query: str | None = None
     limit: int = -1
     offset: int = 0
+    typed_times: bool = False
 
     def matching(self, catalog: Catalog) -> DataFrame:
         """The images that match, all columns, in no order. Each is in the result once."""
         found = catalog.images
         tree = parse(self.advanced_query)
         if tree:
-            found = found.where(condition(tree, catalog))
+            found = found.where(condition(tree, catalog, self.typed_times))
         if self.search_query:
             pattern = f"%{self.search_query}%"
             found = found.where(like_nocase(F.col("filename"), pattern) | like_nocase(F.col("notes"), pattern))

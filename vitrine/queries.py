@@ -137,6 +137,7 @@ matching("flt21_before_after", f"{RFC.format('i.created_at')} < '1995-03-01' OR
 matching("flt22_on", f"{RFC.format('i.modified_at')} LIKE '1997-05-2%'", crit("modified_at", "on", "1997-05-2"))
 matching("flt23_date_between_rfc", f"{RFC.format('i.created_at')} BETWEEN '1996-01-01' AND '1996-02-10 23:59:59'", crit("created_at", "between", ["1996-01-01", "1996-02-10"]))
 matching("flt23_date_between_plain", f"{PLAIN.format('i.added_at')} BETWEEN '1996-01-01' AND '1996-02-10 23:59:59'", crit("added_at", "between", ["1996-01-01", "1996-02-10"]))
+matching("flt23_date_between_typed", "i.created_at >= '1996-01-01' AND i.created_at < '1996-02-11' OR i.modified_at >= '1998-06-02'", either(crit("created_at", "between", ["1996-01-01", "1996-02-10"]), crit("modified_at", "after", "1998-06-01")), typed_times=True)
 matching("flt24_date_unknown", "i.rating = 5", either(crit("added_at", "near", "1996-01-01"), crit("rating", "eq", 5)))
 matching("flt25_tags_contains", "i.id IN (SELECT image_id FROM image_tags WHERE tag_id = 7)", crit("tags", "contains_any", "7"))
 matching("flt26_tags_not_contains", "i.id NOT IN (SELECT image_id FROM image_tags WHERE tag_id = 7)", crit("tags", "not_contains", 7))
