@@ -598,9 +598,9 @@ def wr15_delete_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.tags.select("id", "parent_id", none.alias("links")).unionByName(stats.tag_counts(c).select(F.col("tag_id").alias("id"), none.alias("parent_id"), F.col("count").alias("links")))
 
 
-@query("wr17_move_tag", "SELECT id, CASE WHEN n IS NULL THEN order_index ELSE (n - 1) * 100 END AS order_index, CASE WHEN id = 25 THEN 1 ELSE parent_id END AS parent_id FROM (SELECT t.*, n FROM tags t LEFT JOIN (SELECT id, row_number() OVER (ORDER BY CASE WHEN id = 25 THEN spot ELSE own END) AS n FROM (SELECT id, lpad(CAST(order_index AS VARCHAR), 5, '0') || name AS own, (SELECT lpad(CAST(order_index AS VARCHAR), 5, '0') || name || '!' FROM tags WHERE id = 4) AS spot FROM tags WHERE parent_id = 1 OR id = 25)) r USING (id))")
+@query("wr17_move_tag", "SELECT id, CASE WHEN n IS NULL THEN order_index ELSE (n - 1) * 100 END AS order_index, CASE WHEN id = 9 THEN 1 ELSE parent_id END AS parent_id FROM (SELECT t.*, n FROM tags t LEFT JOIN (SELECT id, row_number() OVER (ORDER BY CASE WHEN id = 9 THEN spot ELSE own END) AS n FROM (SELECT id, lpad(CAST(order_index AS VARCHAR), 5, '0') || name AS own, (SELECT lpad(CAST(order_index AS VARCHAR), 5, '0') || name || '!' FROM tags WHERE id = 4) AS spot FROM tags WHERE parent_id = 1 OR id = 9)) r USING (id))")
 def wr17_move_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return writes.move_tag(star_catalog(spark, sf_dir), 25, 4, "after").tags.select("id", "order_index", "parent_id")
+    return writes.move_tag(star_catalog(spark, sf_dir), 9, 4, "after").tags.select("id", "order_index", "parent_id")
 
 
 # scalars
