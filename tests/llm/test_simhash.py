@@ -2,12 +2,13 @@ from __future__ import annotations
 
 import random
 import re
+from itertools import combinations
 
 import numpy as np
 import pytest
 import xxhash
 
-from vitrine.llm.simhash import Plan, allocate, hamming_links, majority_bits, near_copies, near_duplicates, plan_search, sketch_distance
+from vitrine.llm.simhash import Plan, allocate, hamming_links, majority_bits, near_copies, near_duplicates, plan_search, shingle_hashes, sketch_distance
 from vitrine.llm.components import components
 
 
@@ -127,3 +128,37 @@ def test_near_copies_by_similarity(spark):
 
 def test_sketch_distance_grows_as_similarity_falls():
     assert 0 == sketch_distance(1.0) < sketch_distance(0.9) < sketch_distance(0.8) < 64
+
+
+def test_near_copies_are_all_that_brute_force_finds(spark, docs):
+    """Copies with an added or replaced block, at similarities around the limit, where one SimHash of short runs lost up to two fifths."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(30_000)}"
+    passage = [word() for _ in range(60)]
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    for k in range(60):
+        base = [word() for _ in range(rng.randint(60, 400))] + (passage if k % 3 == 0 else [])
+        part = round(len(base) * rng.uniform(0.08, 0.3))
+        block = [word() for _ in range(part)]
+        for w in (base, base + block, block + base, base[: len(base) // 2] + block + base[len(base) // 2 + part // 2 :]):
+            rows.append((10_000 + len(rows), " ".join(w)))
+    rng.shuffle(rows)
+    found = [set(shingle_hashes(t, 5)) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in combinations(range(len(rows)), 2):
+        x, y = found[a], found[b]
+        if rows[a][0] is not None and rows[b][0] is not None and (x == y or len(x & y) >= 0.8 * len(x | y)):
+            root[top(b)] = top(a)
+    least: dict[int, int] = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[top(k)] = min(i, least.get(top(k), i))
+    want = sorted((i, least[top(k)]) for k, (i, _) in enumerate(rows) if i is not None)
+    got = near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted((r.doc_id, r.component_id) for r in got.collect() if r.doc_id is not None) == want

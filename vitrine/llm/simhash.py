@@ -29,6 +29,8 @@ VERIFY_COST = 0.01
 PARTITIONS = (2, 3, 4, 5, 6, 7)
 #: Beyond this radius a key with too many fingerprints is split into pairs of blocks, not by further bits: near copies agree in most of those.
 SPLIT_RADIUS = 4
+#: Texts that tell which runs are common, and how many of those are remembered.
+SAMPLE_ROWS, COMMON_RUNS = 10_000, 100_000
 #: 64-bit words of the sketch that tells how similar two texts are.
 SKETCH_WORDS = 4
 
@@ -96,51 +98,6 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(of, schema)
 
 
-def sketch_words(hashes: np.ndarray, words: int = SKETCH_WORDS) -> Iterator[np.ndarray]:
-    """`words` arrays of hashes that are unlike each other, mixed from one."""
-    for k in range(words):
-        x = hashes + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) % 2**64)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        yield x ^ (x >> np.uint64(31))
-
-
-def sketches(docs: DataFrame, search_words: int = 2, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, sketch): a SimHash over runs of `search_words` words to search by, and one of 64 x SKETCH_WORDS bits over runs of `words` to compare by.
-
-    Both are taken over distinct runs. Short runs change less from copy to copy, so copies lie within a smaller radius.
-    """
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints: list[np.ndarray] = []
-            sketched: list[np.ndarray] = []
-            parts: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
-
-            def flush() -> None:
-                sizes = [np.array([len(x) for x in part], np.int64) for part in parts]
-                short, long = (np.concatenate(part) if part else np.zeros(0, np.uint64) for part in parts)
-                prints.append(majority_bits(short, sizes[0]))
-                sketched.append(np.stack([majority_bits(x, sizes[1]) for x in sketch_words(long)], 1))
-                for part in parts:
-                    part.clear()
-
-            held = 0
-            for text in (x.as_py() for x in batch.column(1)):
-                for part, n in zip(parts, (search_words, words), strict=True):
-                    part.append(np.unique(np.array(shingle_hashes(text, n), np.uint64)))
-                held += len(parts[1][-1])
-                if held >= HASHES:
-                    flush()
-                    held = 0
-            flush()
-            rows = np.ascontiguousarray(np.concatenate(sketched))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(prints).view(np.int64)), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "fp", "sketch"])
-
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType(), False), T.StructField("sketch", T.BinaryType(), False)])
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(of, schema)
-
-
 def sketch_distance(similarity: float, bits: int = 64 * SKETCH_WORDS, deviations: float = 1.5) -> int:
     """The differing bits under which texts of this Jaccard similarity or more stay, but for what lies over `deviations` standard deviations off.
 
@@ -409,17 +366,168 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: st
     return prints.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, search_words: int = 2, radius: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) for every row of `docs`: texts whose runs of `words` words have about this Jaccard similarity or more are linked.
+def least_shared(n: int | np.ndarray, similarity: float) -> np.ndarray:
+    """The least runs that a set of `n` shares with any set of this Jaccard similarity or more."""
+    return np.ceil(similarity * n - 1e-9).astype(np.int64)
 
-    Candidates are found within `radius` bits of a SimHash over shorter runs, by the pigeonhole search, and compared by the
-    differing bits of a longer sketch over runs of `words` (see sketch_distance()); both are estimates, so pairs close to the
-    similarity may fall to either side. component_id is the smallest id reachable. Nulls and texts without a word are linked with each other; a row
-    without an id gets the component of the others with its sketch, or null.
+
+def alike(n_a: np.ndarray, at_a: np.ndarray, n_b: np.ndarray, at_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes can have the similarity if the first run that they share lies at these places in their orders."""
+    wanted = np.ceil(similarity / (1 + similarity) * (n_a + n_b) - 1e-9)
+    return np.minimum(n_a - at_a, n_b - at_b) >= wanted
+
+
+def common_runs(docs: DataFrame, words: int, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, count), by hash, of the COMMON_RUNS most frequent runs that come at least thrice in about SAMPLE_ROWS texts, chosen by their hash."""
+    share = SAMPLE_ROWS / max(docs.count(), 1)
+    texts = docs.select(F.col(text_col).alias("text")).where(F.shiftrightunsigned(F.xxhash64("text"), 32) < F.lit(int(min(share, 1) * 2**32))).distinct()
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.array(shingle_hashes(text.as_py(), words), np.uint64)).view(np.int64))], names=["run"])
+
+    counts = texts.mapInArrow(of, "run long").groupBy("run").count().where("count >= 3").orderBy(F.desc("count"), "run").limit(COMMON_RUNS).toPandas()
+    runs, n = counts["run"].to_numpy(np.int64).view(np.uint64), counts["count"].to_numpy(np.int64)
+    order = np.argsort(runs)
+    return runs[order], n[order]
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) for every row of `docs`: texts whose sets of runs of `words` words have this Jaccard similarity or more are linked.
+
+    Runs have one order: what is rare in a sample before what is common, then by hash. Sets of n runs that are similar enough share one
+    of their first n - least_shared(n) + 1 in any such order, so a join on these finds all candidates, and sizes and places leave few of them. All that are needed are
+    decided on their whole sets: first each row of a key with the next by size, then, as groups of copies are connected by
+    now, only pairs of different components. Runs and sets are told by 64-bit hashes; nothing else is estimated. component_id is the
+    smallest id reachable. Nulls and texts without a word are linked with each other; a row without an id gets the component of the others with its runs, or null.
     """
-    prints = materialize(sketches(docs, search_words, words, id_col, text_col), "sketches")
-    nodes = materialize(prints.groupBy("fp", "sketch").agg(F.min("doc_id").alias("node")), "nodes")
-    links = materialize(hamming_links(nodes, radius, sketch_radius=sketch_distance(similarity)), "links")
-    roots = components(links)
-    known = materialize(nodes.join(roots, "node", "left").select("fp", "sketch", F.coalesce("root", "node").alias("component_id")), "components")
-    return prints.join(known, ["fp", "sketch"]).select("doc_id", "component_id")
+    spark = docs.sparkSession
+    common = spark.sparkContext.broadcast(common_runs(docs, words, text_col))
+
+    def ordered(text: str | None) -> np.ndarray:
+        return np.unique(np.array(shingle_hashes(text, words), np.uint64))
+
+    def node_of(runs: np.ndarray) -> int:
+        return xxhash.xxh3_64_intdigest(runs.tobytes(), SEED) - 2**63
+
+    def first_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, count = common.value
+        for batch in batches:
+            node, size, first = [], [], []
+            for text in batch.column(1):
+                runs = ordered(text.as_py())
+                kept = len(runs) - int(least_shared(len(runs), similarity)) + 1 if len(runs) else 0
+                if len(known) and len(runs):
+                    at = np.minimum(np.searchsorted(known, runs), len(known) - 1)
+                    frequent = np.where(known[at] == runs, count[at], 0)
+                    first.append(runs[np.argsort(frequent, kind="stable")[:kept]].tobytes())
+                else:
+                    first.append(runs[:kept].tobytes())
+                node.append(node_of(runs))
+                size.append(len(runs))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(first, pa.binary())], names=["doc_id", "text_key", "node", "n", "first"])
+
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = batch.column(2).to_pylist()
+            sizes = np.array([len(x) // 8 for x in first], np.int64)
+            at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            node, n = (np.repeat(batch.column(c).to_numpy(), sizes) for c in (0, 1))
+            runs = np.frombuffer(b"".join(first), np.int64)
+            for k in range(0, len(runs), HASHES):
+                own = slice(k, k + HASHES)
+                yield pa.RecordBatch.from_arrays([pa.array(runs[own]), pa.array(node[own]), pa.array(n[own].astype(np.int32)), pa.array(at[own].astype(np.int32))], names=["run", "node", "n", "at"])
+
+    def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Tables of whole keys, from batches sorted by key: the last key's rows of a batch wait for the next."""
+        held: list[pa.Table] = []
+        for batch in batches:
+            new = pa.Table.from_batches([batch])
+            runs = new.column("run").to_numpy()
+            if not len(runs):
+                continue
+            if held and held[-1].column("run")[-1].as_py() != runs[0]:
+                yield pa.concat_tables(held)
+                held = []
+            cut = int(np.flatnonzero(runs == runs[-1])[0])
+            if cut:
+                yield pa.concat_tables([*held, new.slice(0, cut)])
+                held = [new.slice(cut)]
+            else:
+                held.append(new)
+        if held:
+            yield pa.concat_tables(held)
+
+    def met_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of keys with several, each with the next one's node if the two may be near copies."""
+        for x in whole_keys(batches):
+            run, node, n, at = (x.column(c).to_numpy() for c in ("run", "node", "n", "at"))
+            same = run[1:] == run[:-1]
+            next_ = np.append(same & alike(n[:-1], at[:-1], n[1:], at[1:], similarity), False)
+            kept = np.append(same, False) | np.append(False, same)
+            then = pa.array(np.append(node[1:], 0)[kept], mask=~next_[kept])
+            yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in (run, node, n, at)] + [then], names=["run", "node", "n", "at", "next"])
+
+    def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of a key's rows that lie in different components and may be near copies. Rows come sorted by key and component."""
+        for x in whole_keys(batches):
+            run, root, node, n, at = (x.column(c).to_numpy() for c in ("run", "root", "node", "n", "at"))
+            ends = np.append(np.flatnonzero(run[1:] != run[:-1]) + 1, len(run))
+            end = ends[np.searchsorted(ends, np.arange(len(run)), side="right")]
+            turns = np.append(np.flatnonzero((run[1:] != run[:-1]) | (root[1:] != root[:-1])) + 1, len(run))
+            other = turns[np.searchsorted(turns, np.arange(len(run)), side="right")]
+            left = np.arange(len(run))
+            while len(left := left[other[left] < end[left]]):
+                right = other[left]
+                hit = alike(n[left], at[left], n[right], at[right], similarity)
+                a, b = node[left[hit]], node[right[hit]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                other[left] += 1
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, np.ndarray] = {}
+
+        def runs_of_node(node: int, text: pa.Scalar) -> np.ndarray:
+            if node not in sets:
+                if len(sets) >= 256:
+                    sets.clear()
+                sets[node] = ordered(text.as_py())
+            return sets[node]
+
+        for batch in batches:
+            kept = np.zeros(len(batch), bool)
+            for k, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                x, y = runs_of_node(a, batch.column(2)[k]), runs_of_node(b, batch.column(3)[k])
+                both = np.sort(np.concatenate([x, y]), kind="stable")
+                shared = int((both[1:] == both[:-1]).sum())
+                kept[k] = shared >= similarity * (len(x) + len(y) - shared) - 1e-9
+            yield batch.select([0, 1]).filter(pa.array(kept))
+
+    def decided(pairs: DataFrame) -> DataFrame:
+        """The pairs that are similar enough by their whole sets, which are made again from the texts of these nodes alone."""
+        ends = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends")
+        wanted = materialize(nodes.join(ends, "node", "left_semi").select("node", F.col("least").alias("doc_id"), "text_key"), "wanted")
+        texts = materialize(keyed.join(wanted, ["doc_id", "text_key"]).select("node", "text"), "texts")
+        if texts.count() > ends.count():  # rows with the same id and text
+            texts = materialize(texts.dropDuplicates(["node"]), "texts")
+        told = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+        return materialize(told.select("a", "b", "text_a", "text_b").mapInArrow(similar, "a long, b long"), "links")
+
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
+    id_type = docs.schema[id_col].dataType
+    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("text_key", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("first", T.BinaryType())])
+    prints = materialize(keyed.mapInArrow(first_runs, schema), "prints")
+    nodes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min_by("text_key", "doc_id").alias("text_key")), "nodes")
+    firsts = prints.where("doc_id IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("first").alias("first"))
+    keys = firsts.select("node", "n", "first").mapInArrow(keys_of, "run long, node long, n int, at int")
+    met = materialize(keys.repartition("run").sortWithinPartitions("run", "n", "node").mapInArrow(met_rows, "run long, node long, n int, at int, next long"), "met")
+    chained = materialize(met.where("next IS NOT NULL").select(F.least("node", "next").alias("a"), F.greatest("node", "next").alias("b")).distinct(), "pairs")
+    links = decided(chained)
+    placed = met.join(components(links), "node", "left").select("run", "node", "n", "at", F.coalesce("root", "node").alias("root"))
+    crossed = placed.repartition("run").sortWithinPartitions("run", "root", "node").mapInArrow(crossing, "a long, b long").distinct()
+    more = decided(materialize(crossed.join(chained, ["a", "b"], "left_anti"), "pairs"))
+    roots = components(links.unionByName(more))
+    placed = materialize(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "roots")
+    known = materialize(placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id"), "components")
+    return prints.join(known, "node").select("doc_id", "component_id")
