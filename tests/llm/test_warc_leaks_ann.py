@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 
+from vitrine.llm import ann
 from vitrine.llm.ann import search, usable
 from vitrine.llm.decontaminate import drop_leaks, find_leaks
 from vitrine.llm.warc import END, VERSION, cuts, read_chunks, read_records, write_warc
@@ -170,3 +171,18 @@ def test_few_or_no_vectors(spark):
     df = spark.createDataFrame([(k, v.tolist()) for k, v in x.items()], schema)
     compare(search(df).collect(), x, 20, 20, 1.0)
     assert usable(spark.createDataFrame([(1, None)], schema), "vec_id", "embedding")[1] == 0
+
+
+def test_groups_hold_a_bounded_number_of_queries_and_rows(spark, monkeypatch):
+    """Of one list that all queries probe, no group gets all queries; each query meets each row once, and results are the same."""
+    probes = spark.range(3_000).selectExpr("0L AS list", "id AS query_id").unionByName(spark.range(5).selectExpr("1L AS list", "id AS query_id"))
+    entries = spark.range(2_000).selectExpr("0L AS list", "id AS vec_id").unionByName(spark.range(7).selectExpr("2L AS list", "id AS vec_id"))
+    asking, held = ann.dealt(probes, entries, block_rows=100, query_rows=100)
+    for side in (asking, held):
+        assert max(r["count"] for r in side.groupBy("list", "block", "part").count().collect()) <= 160
+    met = asking.join(held, ["list", "block", "part"])
+    assert met.count() == met.select("query_id", "vec_id").distinct().count() == 3_000 * 2_000
+    x = np.random.default_rng(3).normal(size=(900, 8))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann.dealt, "__defaults__", (64, 10))
+    compare(search(df).collect(), dict(enumerate(x)), 20, 20, 1.0)

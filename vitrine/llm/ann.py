@@ -23,6 +23,8 @@ CALIBRATION_QUERIES, COVERAGE = 1_000, 0.995
 PART_DIMS, PART_CENTROIDS = 4, 256
 #: Rows of a list that are searched at a time, and how many of them at least are reranked for each query.
 BLOCK_ROWS, RERANK = 1_024, 96
+#: Queries of a list that meet a block of its rows at a time.
+QUERY_ROWS = 1_024
 #: Standard deviations of a quantised score that a row may lie under the last of the best and still be reranked.
 SLACK = 4.0
 #: The most lists, and the rows under which there is just one.
@@ -130,13 +132,29 @@ def usable(table: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, i
     return whole.mapInArrow(decode, "vec_id long, vec binary"), dims
 
 
+def dealt(probes: DataFrame, entries: DataFrame, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> tuple[DataFrame, DataFrame]:
+    """`probes` (list, query_id, ..) once for each block of the list's `entries` (list, vec_id, ..), and `entries` once for each part of the list's queries.
+
+    Both get (block, part): of every list, about `block_rows` rows and about `query_rows` queries, by hashes of their ids, so that each
+    query meets each row of the lists that it probes just once. Lists without queries or without rows are left out.
+    """
+    sizes = entries.groupBy("list").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    asking = probes.groupBy("list").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("parts"))
+    # a row for each list, MOST_LISTS at most
+    per_list = F.broadcast(materialize(sizes.join(asking, "list"), "lists"))
+    blocks, parts = (F.explode(F.sequence(F.lit(0), F.col(c) - 1)) for c in ("blocks", "parts"))
+    of_query = probes.join(per_list, "list").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int")).withColumn("block", blocks)
+    of_row = entries.join(per_list, "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).withColumn("part", parts)
+    return of_query.drop("blocks", "parts"), of_row.drop("blocks", "parts")
+
+
 def search(table: DataFrame, queries_every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", train_rows: int = TRAIN_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the `k` rows found with the largest inner product for each row whose id is divisible by `queries_every`.
 
     Candidates are all other rows (of other ids) of the table; ties go to the smaller id; score is the inner product in doubles. Unusable vectors (see
     usable()) take no part; of an id with several vectors, the one with the smallest bytes asks, and the nearest one is found. With at most `k` candidates all are found; an empty table gives none.
 
-    Every row is in the index. A list is searched in blocks of about BLOCK_ROWS rows, each with the queries that probe it: asymmetric distance
+    Every row is in the index. A list is searched in blocks of about BLOCK_ROWS rows, each with about QUERY_ROWS of the queries that probe it: asymmetric distance
     tables choose RERANK distinct vectors a query, and all that could be among its best for the quantiser's error; these are ranked by their own values. What is below a query's `k` best of
     a fixed sample of the rows isn't passed on; those `k` are found too.
     """
@@ -163,10 +181,6 @@ def search(table: DataFrame, queries_every: int = 20, k: int = 20, id_col: str =
     sizes = np.zeros(len(index.value.centroids), np.int64)
     for r in entries.groupBy("list").count().collect():
         sizes[r["list"]] = r["count"]
-    n_blocks = np.maximum(1, -(-sizes // BLOCK_ROWS))
-    # a row for each list, MOST_LISTS at most
-    per_list = spark.createDataFrame([(k_, int(n)) for k_, n in enumerate(n_blocks)], "list long, blocks int")
-    placed = entries.join(F.broadcast(per_list), "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), "vec_id", "codes", "vec")
 
     def known(ids: np.ndarray, q: np.ndarray) -> np.ndarray:
         """The queries' scores within the fixed sample, and nothing for themselves."""
@@ -193,15 +207,11 @@ def search(table: DataFrame, queries_every: int = 20, k: int = 20, id_col: str =
             bound = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] >= k else np.full(len(q), -np.inf)
             order = np.argsort(-(q @ own.centroids.T), axis=1, kind="stable")
             for i, row in enumerate(order):
-                n = max(own.probes, int(np.searchsorted(np.cumsum(sizes[row]), k + 1)) + 1)
-                at = row[:n]
-                lists = np.repeat(at, n_blocks[at])
-                blocks = np.concatenate([np.arange(b) for b in n_blocks[at]])
-                m = len(lists)
-                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int64()), pa.array(blocks, pa.int32()), pa.array(np.full(m, ids[i]), pa.int64()), pa.array([batch.column(1)[i].as_py()] * m, pa.binary()), pa.array(np.full(m, bound[i] - 1e-9 * abs(bound[i])), pa.float64())], names=["list", "block", "query_id", "query", "bound"])
+                n = min(len(row), max(own.probes, int(np.searchsorted(np.cumsum(sizes[row]), k + 1)) + 1))
+                yield pa.RecordBatch.from_arrays([pa.array(row[:n], pa.int64()), pa.array(np.full(n, ids[i]), pa.int64()), pa.array([batch.column(1)[i].as_py()] * n, pa.binary()), pa.array(np.full(n, bound[i] - 1e-9 * abs(bound[i])), pa.float64())], names=["list", "query_id", "query", "bound"])
 
     asked = vectors.where(F.col("vec_id") % queries_every == 0).groupBy("vec_id").agg(F.min("vec").alias("vec"))
-    probes = asked.mapInArrow(probe, "list long, block int, query_id long, query binary, bound double")
+    probes, placed = dealt(materialize(asked.mapInArrow(probe, "list long, query_id long, query binary, bound double"), "probes"), entries)
 
     def block(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(asking) or not len(held):
@@ -247,7 +257,7 @@ def search(table: DataFrame, queries_every: int = 20, k: int = 20, id_col: str =
         columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [[], [], []]
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
 
-    scored = probes.groupBy("list", "block").cogroup(placed.groupBy("list", "block")).applyInPandas(block, "query_id long, vec_id long, score double")
+    scored = probes.groupBy("list", "block", "part").cogroup(placed.groupBy("list", "block", "part")).applyInPandas(block, "query_id long, vec_id long, score double")
     scored = scored.unionByName(asked.mapInArrow(sampled, "query_id long, vec_id long, score double"))
     scored = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
