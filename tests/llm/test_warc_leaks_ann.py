@@ -122,6 +122,24 @@ def test_values_must_be_consistent(spark):
     assert [(r.doc_id, r.changed) for r in find_leaks(docs, bench).collect()] == [(1, True)]
 
 
+def test_leaks_with_a_word_exchanged_and_short_items(spark):
+    """One changed word leaves 6 of 11 windows of an item of 15 words; items of under five tokens had no window at all."""
+    item = "count how many green bottles are standing on our old wall when three have fallen".split()
+    rng = random.Random(4)
+    rows = []
+    for k in range(len(item)):
+        rows.append((k, f"{filler(rng, 30)} {' '.join(item[:k] + ['otherwise'] + item[k + 1 :])} {filler(rng, 20)}"))
+    long = (item + [w + "s" for w in item])[:30]
+    rows.append((50, " ".join(long[:4] + ["otherwise"] + long[5:9] + ["otherwise"] + long[10:])))
+    rows += [(60, " ".join(item[:8])), (61, " ".join(w if k % 4 else "otherwise" for k, w in enumerate(item)))]
+    short = [(70, filler(rng, 9) + ". Where was Anna Maria Lopez born? " + filler(rng, 9)), (71, "where was Tom born"), (72, "where is Tom born"), (73, "he had 12 km of rope"), (74, "he had 13 km of rope")]
+    docs = spark.createDataFrame(rows + short, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(0, " ".join(item)), (1, " ".join(long)), (2, "Where was Anna Maria Lopez born?"), (3, "12 km"), (4, "  ")], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.changed) for r in find_leaks(docs, bench).collect() if not (r.doc_id == 50 and r.item_id == 0))
+    assert got == [(k, 0, False) for k in range(len(item))] + [(50, 1, False), (70, 2, False), (71, 2, True), (73, 3, False)]
+    assert {r.doc_id for r in drop_leaks(docs, bench).collect()} == {60, 61, 72, 74}
+
+
 # neighbours
 
 

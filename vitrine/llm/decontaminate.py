@@ -17,6 +17,10 @@ from vitrine.llm.tokens import runs_of, text_lengths
 WINDOW = 5
 #: Least share of an item's windows that a document must have.
 SIMILARITY = 0.8
+#: Least share of an item's tokens that a stretch of a document must repeat place by place, if it has a window of the item.
+ALIGNED = 0.9
+#: Words besides placeholders that an item of fewer tokens than a window needs to match with other values.
+SHORT_WORDS = 3
 #: Benchmark text that is indexed and broadcast at a time; a larger benchmark takes a pass over the documents for each such block.
 BLOCK_BYTES = 16 << 20
 #: Words a task handles at a time, and remembers.
@@ -101,93 +105,192 @@ def window_hashes(t: Templates, window: int) -> tuple[np.ndarray, np.ndarray, np
     return h[at], at, owner[at]
 
 
+@dataclass
+class Layer:
+    """Items' windows of `window` tokens, by hash: those of hashes[k] are item[starts[k] : starts[k + 1]], at these places."""
+
+    window: int
+    hashes: np.ndarray
+    starts: np.ndarray
+    item: np.ndarray
+    place: np.ndarray
+
+
 @dataclass
 class Index:
-    """A block of the benchmark: its windows by hash, and its words for checking slots."""
+    """A block of the benchmark: its windows by hash (a layer for each length), and its words for checking slots."""
 
     items: list
     vocabulary: dict[str, int]
     split: list[list[str]]
     tokens: Templates
-    hashes: np.ndarray = field(default=None)
-    starts: np.ndarray = field(default=None)
-    item: np.ndarray = field(default=None)
-    place: np.ndarray = field(default=None)
+    layers: list[Layer] = field(default_factory=list)
     windows: np.ndarray = field(default=None)
 
+    @property
+    def sizes(self) -> np.ndarray:
+        """Each item's tokens."""
+        return np.diff(self.tokens.begin)
+
 
 def index_items(rows: list[tuple[object, str]], window: int) -> Index:
-    """The index of (item id, text) rows; items of fewer tokens than a window have no windows and match nothing."""
+    """The index of (item id, text) rows. An item of fewer tokens than a window has one window of all its tokens; one without a word has none."""
     words = Words({}, is_open=True)
     split = [(text or "").split() for _, text in rows]
     tokens = templates(split, words)
-    h, at, owner = window_hashes(tokens, window)
-    order = np.argsort(h, kind="stable")
-    hashes, starts = np.unique(h[order], return_index=True)
-    return Index([i for i, _ in rows], words.vocabulary, split, tokens, hashes, np.append(starts, len(h)), owner[order], (at - tokens.begin[owner])[order], np.bincount(owner, minlength=len(rows)))
-
-
-def consistent(index: Index, item: int, pairs: list[tuple[int, int]], doc_words: list[str], doc: Templates, first: int, window: int) -> tuple[int, bool]:
-    """(windows of the item that fit together, whether a slot's value is another than the item's).
+    index = Index([i for i, _ in rows], words.vocabulary, split, tokens, windows=np.zeros(len(rows), np.int64))
+    sizes = index.sizes
+    for n in range(1, window + 1):
+        h, at, owner = window_hashes(tokens, n)
+        own = (sizes[owner] == n) | (n == window)
+        h, at, owner = h[own], at[own], owner[own]
+        if len(h):
+            order = np.argsort(h, kind="stable")
+            hashes, starts = np.unique(h[order], return_index=True)
+            index.layers.append(Layer(n, hashes, np.append(starts, len(h)), owner[order], (at - tokens.begin[owner])[order]))
+            index.windows += np.bincount(owner, minlength=len(rows))
+    return index
+
+
+class Slots:
+    """Which values of a document stand for an item's: one for each throughout, and for names also the other way round."""
+
+    def __init__(self, index: Index, item: int, doc_words: list[str], doc: Templates, first: int):
+        self.tokens, self.begin, self.item_words = index.tokens, index.tokens.begin[item], index.split[item]
+        self.doc_words, self.doc, self.first = doc_words, doc, first
+        self.forward: dict[tuple[int, str], tuple[int, str]] = {}
+        self.back: dict[tuple[int, str], tuple[int, str]] = {}
+
+    def take(self, place: int, at: int, n: int) -> bool:
+        """Whether the values of `n` tokens from `place` in the item and `at` in the documents fit what was taken; if so they are taken too."""
+        bare = lambda w: w.strip(_MARKS).lower()
+        new_f, new_b = {}, {}
+        for k in range(n):
+            kind = int(self.tokens.code[self.begin + place + k])
+            if kind < FIRST_WORD:
+                a = kind, bare(self.item_words[self.tokens.at[self.begin + place + k] - self.tokens.at[self.begin]])
+                b = kind, bare(self.doc_words[self.doc.at[at + k] - self.first])
+                if self.forward.get(a, new_f.setdefault(a, b)) != b or (kind == NAME and self.back.get(b, new_b.setdefault(b, a)) != a):
+                    return False
+        self.forward |= new_f
+        self.back |= new_b
+        return True
+
+    @property
+    def changed(self) -> bool:
+        return any(a != b for a, b in self.forward.items())
+
+
+def covered(places: list[int], window: int) -> int:
+    """Tokens in windows at these places (ascending)."""
+    return sum(min(window, b - a) for a, b in zip(places, places[1:], strict=False)) + window * bool(places)
+
+
+def consistent(slots: Slots, pairs: list[tuple[int, int]], window: int) -> set[int]:
+    """The places of the item's windows that fit together.
 
     pairs: (place in the item, token of the documents). Windows are taken by how many lie on the same shift, and those whose slots
-    contradict what was taken are left out: a value of the item stands for one value of the document throughout, and names also the other way round.
+    contradict what was taken are left out.
     """
-    tokens, begin = index.tokens, index.tokens.begin[item]
     shifts: dict[int, list[tuple[int, int]]] = {}
     for place, at in pairs:
         shifts.setdefault(at - place, []).append((place, at))
-    forward: dict[tuple[int, str], str] = {}
-    back: dict[tuple[int, str], str] = {}
     taken: set[int] = set()
-    bare = lambda w: w.strip(_MARKS).lower()
     for _, own in sorted(shifts.items(), key=lambda x: (-len(x[1]), x[0])):
         for place, at in own:
-            if place in taken:
-                continue
-            slots = []
-            for k in range(window):
-                kind = int(tokens.code[begin + place + k])
-                if kind < FIRST_WORD:
-                    slots.append(((kind, bare(index.split[item][tokens.at[begin + place + k] - tokens.at[begin]])), (kind, bare(doc_words[doc.at[at + k] - first]))))
-            new_f, new_b = {}, {}
-            fits = all(forward.get(a, new_f.setdefault(a, b)) == b and (a[0] != NAME or back.get(b, new_b.setdefault(b, a)) == a) for a, b in slots)
-            if fits:
-                forward |= new_f
-                back |= new_b
+            if place not in taken and slots.take(place, at, window):
                 taken.add(place)
-    return len(taken), any(a != b for a, b in forward.items())
+    return taken
+
+
+def hits(doc: Templates, index: Index, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text x items + item, place in the item, token) of every window that a text shares with an item."""
+    out = []
+    for layer in index.layers:
+        h, at, owner = window_hashes(doc, layer.window)
+        if not len(h):
+            continue
+        slot = np.minimum(np.searchsorted(layer.hashes, h), len(layer.hashes) - 1)
+        hit = layer.hashes[slot] == h
+        slot, at, owner = slot[hit], at[hit], owner[hit]
+        n = layer.starts[slot + 1] - layer.starts[slot]
+        posting = np.repeat(layer.starts[slot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        out.append((np.repeat(owner, n) * len(index.items) + layer.item[posting], layer.place[posting], np.repeat(at, n)))
+    if not out:
+        return (np.zeros(0, np.int64),) * 3
+    pair, place, at = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.lexsort((at, place, pair))
+    return pair[order], place[order], at[order]
+
+
+def aligned(pair: np.ndarray, shift: np.ndarray, doc: Templates, index: Index) -> np.ndarray:
+    """How many tokens of the item each pair has in common on its shift (the token of the documents where the item would begin)."""
+    text, item = np.divmod(pair, len(index.items))
+    n = index.sizes[item]
+    start = np.cumsum(n) - n
+    k = np.arange(n.sum()) - np.repeat(start, n)
+    at = np.repeat(shift, n) + k
+    inside = (at >= np.repeat(doc.begin[text], n)) & (at < np.repeat(doc.begin[text + 1], n))
+    same = inside & (doc.code[np.where(inside, at, 0)] == index.tokens.code[np.repeat(index.tokens.begin[item], n) + k])
+    return np.add.reduceat(same.astype(np.int64), start)
 
 
 def matches(texts: list[str | None], index: Index, words: Words, window: int, similarity: float) -> Iterator[tuple[int, int, int, bool]]:
-    """(text, item, windows found, whether slots changed) of every text with enough of an item."""
+    """(text, item, windows found, whether slots changed) of every text with enough of an item (see find_leaks())."""
     split = [(x or "").split() for x in texts]
     doc = templates(split, words)
-    h, at, owner = window_hashes(doc, window)
-    if not len(h) or not len(index.hashes):
+    pair, place, at = hits(doc, index, window)
+    if not len(pair):
         return
-    slot = np.minimum(np.searchsorted(index.hashes, h), len(index.hashes) - 1)
-    hit = index.hashes[slot] == h
-    slot, at, owner = slot[hit], at[hit], owner[hit]
-    n = index.starts[slot + 1] - index.starts[slot]
-    posting = np.repeat(index.starts[slot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    at, owner = np.repeat(at, n), np.repeat(owner, n)
-    item, place = index.item[posting], index.place[posting]
-    pair = owner * len(index.items) + item
-    order = np.lexsort((at, place, pair))
-    pair, place, at = pair[order], place[order], at[order]
     groups, begin = np.unique(pair, return_index=True)
     ends = np.append(begin[1:], len(pair))
-    fresh = np.ones(len(pair), np.int64)
+    item, sizes = groups % len(index.items), index.sizes
+    fresh = np.ones(len(pair), bool)
     fresh[1:] = (pair[1:] != pair[:-1]) | (place[1:] != place[:-1])
-    found = np.add.reduceat(fresh, begin) if len(pair) else np.zeros(0, int)
-    enough = found >= similarity * index.windows[groups % len(index.items)]
+    found = np.add.reduceat(fresh.astype(np.int64), begin)
+    # what a window adds to the tokens in the windows before it
+    wide = np.minimum(window, sizes[pair % len(index.items)])
+    adds = wide.copy()
+    inner = np.flatnonzero(pair[1:] == pair[:-1]) + 1
+    adds[inner] = np.minimum(wide[inner], place[inner] - place[inner - 1])
+    enough = (found >= similarity * index.windows[item]) | (np.add.reduceat(adds, begin) >= similarity * sizes[item])
+    lines = np.unique(np.stack([pair, at - place], 1), axis=0)
+    # ever so many of them at a time
+    step = max(1, RUN_WORDS // max(1, int(sizes.max())))
+    whole = np.concatenate([aligned(*x.T, doc, index) for x in (lines[k : k + step] for k in range(0, len(lines), step))])
+    lines = lines[whole >= ALIGNED * sizes[lines[:, 0] % len(index.items)]]
+    shifts: dict[int, list[int]] = {}
+    for g, shift in lines.tolist():
+        shifts.setdefault(g, []).append(shift)
     firsts = np.cumsum([0] + [len(x) for x in split])
-    for g, a, b in zip(groups[enough], begin[enough], ends[enough], strict=True):
-        text, own = divmod(int(g), len(index.items))
-        fit, changed = consistent(index, own, list(zip(place[a:b].tolist(), at[a:b].tolist(), strict=True)), split[text], doc, firsts[text], window)
-        if fit >= similarity * index.windows[own]:
-            yield text, own, fit, changed
+    for g, a, b, likely in zip(groups.tolist(), begin.tolist(), ends.tolist(), enough.tolist(), strict=True):
+        if not likely and g not in shifts:
+            continue
+        text, own = divmod(g, len(index.items))
+        n = int(sizes[own])
+        if n < window:
+            # each of the places where all of it stands, as another may have the item's own values
+            fixed = int((index.tokens.code[index.tokens.begin[own] : index.tokens.begin[own + 1]] >= FIRST_WORD).sum())
+            told = []
+            for t in at[a:b].tolist():
+                slots = Slots(index, own, split[text], doc, firsts[text])
+                if slots.take(0, t, n) and (fixed >= SHORT_WORDS or not slots.changed):
+                    told.append(slots.changed)
+            if told:
+                yield text, own, 1, all(told)
+            continue
+        slots = Slots(index, own, split[text], doc, firsts[text])
+        taken = consistent(slots, list(zip(place[a:b].tolist(), at[a:b].tolist(), strict=True)), window)
+        if len(taken) >= similarity * index.windows[own] or covered(sorted(taken), window) >= similarity * n:
+            yield text, own, len(taken), slots.changed
+            continue
+        for shift in shifts.get(g, []):
+            slots = Slots(index, own, split[text], doc, firsts[text])
+            lo, hi = doc.begin[text], doc.begin[text + 1]
+            same = [k for k in range(n) if lo <= shift + k < hi and doc.code[shift + k] == index.tokens.code[index.tokens.begin[own] + k] and slots.take(k, shift + k, 1)]
+            if len(same) >= ALIGNED * n:
+                yield text, own, len(taken), slots.changed
+                break
 
 
 def _runs(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
@@ -207,11 +310,13 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, bloc
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, item_id, n_windows, n_found, changed) for every document with at least `similarity` of an item's template windows.
+    """(doc_id, item_id, n_windows, n_found, changed) for every document with enough of an item.
 
+    That is `similarity` of its template windows, or windows that hold `similarity` of its tokens, or a stretch that has ALIGNED of its tokens in
+    their places, so that an item with a word exchanged is found. An item of fewer tokens than a window must stand there whole, and with its own values unless it has SHORT_WORDS words besides.
     Both sides' numbers, units and names become placeholders; windows of `window` tokens meet in a hash join with the broadcast
     block of the benchmark, and the values behind the placeholders must fit together. changed tells a re-parameterised copy from
-    a plain one. Null texts and items shorter than a window match nothing; repeated documents or items give rows of their own; with an empty table there are no rows.
+    a plain one; n_found counts intact windows that fit. Null texts match nothing; repeated documents or items give rows of their own; with an empty table there are no rows.
     """
     spark = docs.sparkSession
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("item_id", benchmark.schema[item_col].dataType), T.StructField("n_windows", T.LongType()), T.StructField("n_found", T.LongType()), T.StructField("changed", T.BooleanType())])
