@@ -10,9 +10,6 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no checkpoint folder (tests, notebooks on one machine).
-LOCAL_CHECKPOINTS = "/tmp/vitrine-checkpoints"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table `name` below `sf_dir`, by whatever file system the path names."""
@@ -20,31 +17,71 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the session's spark.checkpoint.dir, or a local one if none is set."""
+    """The folder for intermediate tables: the session's spark.checkpoint.dir. Only a session on one machine may leave it unset and gets a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
-        named = LOCAL_CHECKPOINTS
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="vitrine-")
+        spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm_path
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder, removed when the driver ends."""
     path = f"{shared_dir(spark)}/vitrine-{label}-{uuid.uuid4().hex}"
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    system, jvm_path = _hadoop(spark, path)
+    system.deleteOnExit(jvm_path)
     return path
 
 
+def _write(df: DataFrame, path: str) -> DataFrame:
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write `df` as parquet in the shared folder and read it back: lineage ends there.
 
     Unlike a local checkpoint the rows outlive any executor, and what follows may read them
-    several times without computing them again.
+    several times without computing them again. The table stays until the driver ends; see Scratch for those that needn't.
     """
-    path = shared_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _write(df, shared_path(df.sparkSession, label))
+
+
+class Scratch:
+    """Written tables of one operator, removed when its block ends. What the operator returns must be materialized by then."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def table(self, df: DataFrame, label: str) -> DataFrame:
+        """As materialize(), until the block ends."""
+        self.paths.append(shared_path(self.spark, label))
+        return _write(df, self.paths[-1])
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for path in self.paths:
+            system, jvm_path = _hadoop(self.spark, path)
+            system.delete(jvm_path, True)
+        self.paths.clear()
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """`name`, or with underscores after it until no column is called so, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def ship(spark: SparkSession) -> None:
