@@ -129,17 +129,17 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", tra
     return Model(languages, log_p.astype("f4"), np.log(prior / prior.sum()))
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Add lang_pred and score (columns of these names are replaced) to `docs`, by the text alone.
+def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """Add lang_pred and score, by the names given (columns of these names are replaced), to `docs`, by the text alone.
 
     lang_pred is a language of the model, or `und` (score 0) where the text is null or has no letter, or the model has no language. score is the
     posterior probability of the prediction; of languages that tie, the first in order wins. Whole texts are scored.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    columns = [c for c in docs.columns if c not in (lang_pred_col, score_col)]
     text_at = columns.index(text_col)
-    schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField(lang_pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
 
     def pieces(text: bytes) -> Iterator[bytes]:
         """Overlapping so that every n-gram is in one piece: cut at a space, which both pieces get."""

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitrine.sources.shared import materialize
+from vitrine.sources.shared import fresh, materialize
 
 #: Bits of a slice of the filters: what one merging task holds at a time, twice.
 SLICE_BITS = 1 << 19
@@ -143,19 +143,19 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int, m
     return counted.select("key", "n_docs", F.col("first.doc").alias("first_doc"), F.col("first.line").alias("first_line"))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none", id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES, filter_bits: int = FILTER_BITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none", id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES, filter_bits: int = FILTER_BITS, n_lines_col: str = "n_lines", n_dropped_col: str = "n_dropped") -> DataFrame:
     """Drop the lines whose key is found in at least `min_docs` rows of `docs`.
 
     keep: "none" drops them everywhere, "first" leaves the one in the row of the smallest id, at its first place there.
-    Returns all columns of `docs` with the new text, n_lines (before) and n_dropped (columns of these names are replaced). Texts are split at \\n; a null
+    Returns all columns of `docs` with the new text, n_lines (before) and n_dropped, by the names given (columns of these names are replaced). Texts are split at \\n; a null
     text counts as one empty line and comes back empty; lines shorter than `min_chars` code points (by key) always stay; of rows with the same id
     each counts as a document, and each keeps the first occurrence if theirs is the smallest id.
     """
     spark = docs.sparkSession
     repeated = materialize(repeated_lines(docs, id_col, text_col, min_docs, max(min_chars, 1), filter_bits), "lines")
     total = repeated.agg(F.sum(F.octet_length("key") + 24).alias("n")).first()["n"] or 0
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    schema = T.StructType([*(docs.schema[c] if c != text_col else T.StructField(text_col, T.StringType()) for c in columns), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    columns = [c for c in docs.columns if c not in (n_lines_col, n_dropped_col)]
+    schema = T.StructType([*(docs.schema[c] if c != text_col else T.StructField(text_col, T.StringType()) for c in columns), T.StructField(n_lines_col, T.LongType()), T.StructField(n_dropped_col, T.LongType())])
     text_at, id_at = columns.index(text_col), columns.index(id_col)
 
     def cleaned(batch: pa.RecordBatch, drops) -> pa.RecordBatch:
@@ -182,7 +182,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: s
         return docs.select(columns).mapInArrow(by_broadcast, schema)
 
     # more repeated lines than a broadcast takes: each row's own come to it by a row number that the written lines carry
-    numbered = materialize(docs.select(columns).withColumn("row_at", F.monotonically_increasing_id()), "rows")
+    row_at, gone_col = fresh(columns, "row_at"), fresh(columns, "gone_lines")
+    numbered = materialize(docs.select(columns).withColumn(row_at, F.monotonically_increasing_id()), "rows")
 
     def own_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,15 +198,15 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: s
                         lines_at.append(n)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(rows, pa.int64()), batch.column(1).take(pa.array(docs_at, pa.int32())), pa.array(lines_at, pa.int64())], names=["key", "row_at", "doc", "line"])
 
-    own = numbered.select("row_at", id_col, text_col).mapInArrow(own_lines, T.StructType([T.StructField("key", T.BinaryType()), T.StructField("row_at", T.LongType()), T.StructField("doc", docs.schema[id_col].dataType), T.StructField("line", T.LongType())]))
+    own = numbered.select(row_at, id_col, text_col).mapInArrow(own_lines, T.StructType([T.StructField("key", T.BinaryType()), T.StructField("row_at", T.LongType()), T.StructField("doc", docs.schema[id_col].dataType), T.StructField("line", T.LongType())]))
     gone = own.join(repeated, "key")
     if keep == "first":
         gone = gone.where(~(F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("line") == F.col("first_line"))))
-    lists = gone.groupBy("row_at").agg(F.collect_list("line").alias("gone_lines"))
+    lists = gone.groupBy(F.col("row_at").alias(row_at)).agg(F.collect_list("line").alias(gone_col))
 
     def by_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gone_lines = batch.column(len(columns)).to_pylist()
             yield cleaned(batch, lambda k, keys: set(gone_lines[k] or ()))
 
-    return numbered.join(lists, "row_at", "left").select(*columns, "gone_lines").mapInArrow(by_join, schema)
+    return numbered.join(lists, row_at, "left").select(*columns, gone_col).mapInArrow(by_join, schema)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitrine.llm.components import components
-from vitrine.sources.shared import materialize
+from vitrine.sources.shared import Scratch, materialize
 
 BITS = 64
 SEED = 42
@@ -30,9 +30,11 @@ PARTITIONS = (2, 3, 4, 5, 6, 7)
 #: Beyond this radius a key with too many fingerprints is split into pairs of blocks, not by further bits: near copies agree in most of those.
 SPLIT_RADIUS = 4
 #: Texts that tell which runs are common, and how many of those are remembered.
-SAMPLE_ROWS, COMMON_RUNS = 10_000, 100_000
-#: 64-bit words of the sketch that tells how similar two texts are.
-SKETCH_WORDS = 4
+SAMPLE_ROWS, COMMON_RUNS = 4_000, 100_000
+#: 64-bit words of the sketch that spares most candidates a comparison, the standard deviations that it allows for, and the runs under which a set isn't judged by it.
+SKETCH_WORDS, DEVIATIONS, LEAST_SKETCHED = 2, 5.0, 64
+#: Bits of 64 within which the pigeonhole search finds the closest copies.
+COPY_RADIUS = 3
 
 _BYTES = np.uint64(0x0101010101010101)
 
@@ -233,7 +235,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[root[linked]], nodes[linked]
 
 
-def hamming_links(prints: DataFrame, radius: int, plan: Plan | None = None, bucket_rows: int = BUCKET_ROWS, sketch_radius: int | None = None) -> DataFrame:
+def hamming_links(prints: DataFrame, radius: int, plan: Plan | None = None, bucket_rows: int = BUCKET_ROWS, sketch_radius: int | None = None, work: Scratch | None = None) -> DataFrame:
     """Links (a, b) that connect just what pairs of `prints` (columns fp, node; distinct) within `radius` bits connect.
 
     Each fingerprint is sent to the key of its bits in every partition with a threshold of 0 or more, and as a guest to the keys within
@@ -242,9 +244,11 @@ def hamming_links(prints: DataFrame, radius: int, plan: Plan | None = None, buck
     radius of SPLIT_RADIUS the key is cut into blocks instead, and each pair of blocks meets in a key of its own. Tasks
     compare the rows of a key and return a spanning forest of what is near, so links never outnumber keys.
 
-    With `sketch_radius`, `prints` has a column sketch too (binary), and pairs must also differ in at most so many of its bits.
+    With `sketch_radius`, `prints` has a column sketch too (binary), and pairs must also differ in at most so many of its bits. Tables between go to `work`,
+    and are needed until the links are written.
     """
     plan = plan or plan_search(prints, radius)
+    table = work.table if work else materialize
     node_type = prints.schema["node"].dataType
     extra = [] if sketch_radius is None else ["sketch"]
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("used", T.LongType()), T.StructField("home", T.BooleanType()), T.StructField("fp", T.LongType()), T.StructField("node", node_type), *(prints.schema[c] for c in extra)])
@@ -329,20 +333,20 @@ def hamming_links(prints: DataFrame, radius: int, plan: Plan | None = None, buck
     while True:
         if radius > SPLIT_RADIUS:
             sizes = keys.groupBy("key").count().where(F.col("count") > 2 * bucket_rows)
-            hot = materialize(sizes.select("key", F.ceil(F.col("count") / bucket_rows).alias("blocks")), "hot")
+            hot = table(sizes.select("key", F.ceil(F.col("count") / bucket_rows).alias("blocks")), "hot")
             if hot.isEmpty():
                 small.append(keys)
             else:
                 told = keys.join(hot, "key", "left")
                 small += [told.where("blocks IS NULL").select(schema.names), block_pairs(told.where("blocks IS NOT NULL"))]
             break
-        hot = materialize(keys.where(F.bit_count("used") < BITS - int(math.log2(bucket_rows))).groupBy("key").count().where(F.col("count") > bucket_rows).select("key", F.lit(True).alias("hot")), "hot")
+        hot = table(keys.where(F.bit_count("used") < BITS - int(math.log2(bucket_rows))).groupBy("key").count().where(F.col("count") > bucket_rows).select("key", F.lit(True).alias("hot")), "hot")
         if hot.isEmpty():
             small.append(keys)
             break
         told = keys.join(hot, "key", "left")
         small.append(told.where("hot IS NULL").drop("hot").select(keys.columns))
-        keys = materialize(told.where("hot").drop("hot").select(keys.columns).mapInArrow(further_keys, schema), "keys")
+        keys = table(told.where("hot").drop("hot").select(keys.columns).mapInArrow(further_keys, schema), "keys")
     union = small[0]
     for more in small[1:]:
         union = union.unionByName(more)
@@ -359,10 +363,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: st
     fingerprints are one node, so a group of copies costs one row in the search.
     """
     prints = materialize(fingerprints(docs, words, id_col, text_col), "prints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    links = materialize(hamming_links(nodes, radius), "links")
-    roots = components(links)
-    known = materialize(nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id")), "components")
+    with Scratch(docs.sparkSession) as work:
+        nodes = work.table(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
+        links = work.table(hamming_links(nodes, radius, work=work), "links")
+        roots = components(links, work)
+        known = materialize(nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id")), "components")
     return prints.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -393,14 +398,49 @@ def common_runs(docs: DataFrame, words: int, text_col: str) -> tuple[np.ndarray,
     return runs[order], n[order]
 
 
+def sketches(hashes: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """SKETCH_WORDS words for each run of `hashes`: its fingerprint, and those of the same hashes mixed anew."""
+    out = []
+    for _ in range(SKETCH_WORDS):
+        out.append(majority_bits(hashes, sizes).view(np.int64))
+        hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        hashes = hashes ^ (hashes >> np.uint64(32))
+    return out
+
+
+def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole keys (column run), from batches sorted by key: the last key's rows of a batch wait for the next."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        new = pa.Table.from_batches([batch])
+        runs = new.column("run").to_numpy()
+        if not len(runs):
+            continue
+        if held and held[-1].column("run")[-1].as_py() != runs[0]:
+            yield pa.concat_tables(held)
+            held = []
+        cut = int(np.flatnonzero(runs == runs[-1])[0])
+        if cut:
+            yield pa.concat_tables([*held, new.slice(0, cut)])
+            held = [new.slice(cut)]
+        else:
+            held.append(new)
+    if held:
+        yield pa.concat_tables(held)
+
+
 def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) for every row of `docs`: texts whose sets of runs of `words` words have this Jaccard similarity or more are linked.
+    """(doc_id, text_key, component_id, kept) for every row of `docs`: texts whose sets of runs of `words` words have this Jaccard similarity or more are linked.
+
+    The closest copies are candidates by the pigeonhole search over the sets' SimHash fingerprints. At the limit, fingerprints differ in more bits than any such search
+    can tell from chance, so a join finds all others: runs have one order (rare ones of a sample before common ones, then by hash), and sets of n runs that are similar enough share one
+    of their first n - least_shared(n) + 1. Sizes and places leave few of these candidates, longer SimHash sketches (of sets that aren't small, DEVIATIONS standard deviations allowed for) fewer still,
+    and they are decided on their whole sets: first each row of a key with the next by size, then, as groups of copies are connected by
+    now, only pairs of different components. Runs and sets are told by 64-bit hashes.
 
-    Runs have one order: what is rare in a sample before what is common, then by hash. Sets of n runs that are similar enough share one
-    of their first n - least_shared(n) + 1 in any such order, so a join on these finds all candidates, and sizes and places leave few of them. All that are needed are
-    decided on their whole sets: first each row of a key with the next by size, then, as groups of copies are connected by
-    now, only pairs of different components. Runs and sets are told by 64-bit hashes; nothing else is estimated. component_id is the
-    smallest id reachable. Nulls and texts without a word are linked with each other; a row without an id gets the component of the others with its runs, or null.
+    component_id is the smallest id reachable, text_key the text's xxhash64, and kept tells the rows of the one id and text that stay for the component. Nulls and texts without
+    a word are linked with each other; a row without an id gets the component of the others with its runs, or null. Rows alike in id and text have the same result, so all of them
+    may be kept; rows of one id with texts that aren't near copies are in components of their own.
     """
     spark = docs.sparkSession
     common = spark.sparkContext.broadcast(common_runs(docs, words, text_col))
@@ -414,7 +454,15 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col
     def first_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, count = common.value
         for batch in batches:
-            node, size, first = [], [], []
+            node, sizes, first, words_, held, since = [], [], [], [], [], 0
+
+            def flush() -> None:
+                nonlocal since
+                joined = np.concatenate(held) if held else np.zeros(0, np.uint64)
+                words_.append(sketches(joined, np.array([len(x) for x in held], np.int64)))
+                held.clear()
+                since = 0
+
             for text in batch.column(1):
                 runs = ordered(text.as_py())
                 kept = len(runs) - int(least_shared(len(runs), similarity)) + 1 if len(runs) else 0
@@ -425,49 +473,61 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col
                 else:
                     first.append(runs[:kept].tobytes())
                 node.append(node_of(runs))
-                size.append(len(runs))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(first, pa.binary())], names=["doc_id", "text_key", "node", "n", "first"])
+                sizes.append(len(runs))
+                held.append(runs)
+                since += len(runs)
+                if since >= HASHES:
+                    flush()
+            flush()
+            told = [pa.array(np.concatenate(x)) for x in zip(*words_, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(node, pa.int64()), pa.array(sizes, pa.int32()), *told, pa.array(first, pa.binary())], names=schema.names)
 
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first runs of every set that this task didn't see before, so that copies cost one set a task."""
+        seen: set[int] = set()
         for batch in batches:
-            first = batch.column(2).to_pylist()
+            node, n = (batch.column(c).to_numpy() for c in (0, 1))
+            new = np.zeros(len(node), bool)
+            for k, x in enumerate(node.tolist()):
+                if x not in seen:
+                    seen.add(x)
+                    new[k] = True
+            node, n = node[new], n[new]
+            first = batch.column(2).filter(pa.array(new)).to_pylist()
             sizes = np.array([len(x) // 8 for x in first], np.int64)
             at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            node, n = (np.repeat(batch.column(c).to_numpy(), sizes) for c in (0, 1))
+            node, n = np.repeat(node, sizes), np.repeat(n, sizes)
             runs = np.frombuffer(b"".join(first), np.int64)
             for k in range(0, len(runs), HASHES):
                 own = slice(k, k + HASHES)
                 yield pa.RecordBatch.from_arrays([pa.array(runs[own]), pa.array(node[own]), pa.array(n[own].astype(np.int32)), pa.array(at[own].astype(np.int32))], names=["run", "node", "n", "at"])
 
-    def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        """Tables of whole keys, from batches sorted by key: the last key's rows of a batch wait for the next."""
-        held: list[pa.Table] = []
-        for batch in batches:
-            new = pa.Table.from_batches([batch])
-            runs = new.column("run").to_numpy()
-            if not len(runs):
-                continue
-            if held and held[-1].column("run")[-1].as_py() != runs[0]:
-                yield pa.concat_tables(held)
-                held = []
-            cut = int(np.flatnonzero(runs == runs[-1])[0])
-            if cut:
-                yield pa.concat_tables([*held, new.slice(0, cut)])
-                held = [new.slice(cut)]
-            else:
-                held.append(new)
-        if held:
-            yield pa.concat_tables(held)
-
     def met_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows of keys with several, each with the next one's node if the two may be near copies."""
-        for x in whole_keys(batches):
-            run, node, n, at = (x.column(c).to_numpy() for c in ("run", "node", "n", "at"))
+        """The rows of keys with several, once each, with the next one's node if the two may be near copies. Of a key only the last row waits for the next batch."""
+        none = np.zeros(0, np.int64)
+        held, follows = (none,) * 4, False
+
+        def out(columns: tuple[np.ndarray, ...], follows: bool, ended: bool) -> tuple[pa.RecordBatch, tuple[np.ndarray, ...], bool]:
+            run, node, n, at = columns
+            fresh_ = np.ones(len(run), bool)
+            fresh_[1:] = (run[1:] != run[:-1]) | (node[1:] != node[:-1])
+            run, node, n, at = (c[fresh_] for c in columns)
+            done = len(run) if ended else max(len(run) - 1, 0)
             same = run[1:] == run[:-1]
-            next_ = np.append(same & alike(n[:-1], at[:-1], n[1:], at[1:], similarity), False)
-            kept = np.append(same, False) | np.append(False, same)
-            then = pa.array(np.append(node[1:], 0)[kept], mask=~next_[kept])
-            yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in (run, node, n, at)] + [then], names=["run", "node", "n", "at", "next"])
+            before = np.append(follows, same)[: len(run)]
+            after = np.append(same, False)[: len(run)]
+            next_ = np.append(same & alike(n[:-1], at[:-1], n[1:], at[1:], similarity), False)[: len(run)]
+            then = np.append(node[1:], 0)[: len(run)]
+            kept = (before | after)[:done]
+            told = [pa.array(c[:done][kept]) for c in (run, node)] + [pa.array(c[:done][kept].astype(np.int32)) for c in (n, at)]
+            told.append(pa.array(then[:done][kept], mask=~next_[:done][kept]))
+            return pa.RecordBatch.from_arrays(told, names=["run", "node", "n", "at", "next"]), (run[done:], node[done:], n[done:], at[done:]), bool(before[-1]) if len(run) else follows
+
+        for batch in batches:
+            columns = tuple(np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("run", "node", "n", "at"), strict=True))
+            told, held, follows = out(columns, follows, False)
+            yield told
+        yield out(held, follows, True)[0]
 
     def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs of a key's rows that lie in different components and may be near copies. Rows come sorted by key and component."""
@@ -504,30 +564,43 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col
                 kept[k] = shared >= similarity * (len(x) + len(y) - shared) - 1e-9
             yield batch.select([0, 1]).filter(pa.array(kept))
 
-    def decided(pairs: DataFrame) -> DataFrame:
+    most = sketch_distance(similarity, deviations=DEVIATIONS)
+    words_ = [f"fp{k}" for k in range(SKETCH_WORDS)]
+
+    def decided(pairs: DataFrame, work: Scratch) -> DataFrame:
         """The pairs that are similar enough by their whole sets, which are made again from the texts of these nodes alone."""
-        ends = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends")
-        wanted = materialize(nodes.join(ends, "node", "left_semi").select("node", F.col("least").alias("doc_id"), "text_key"), "wanted")
-        texts = materialize(keyed.join(wanted, ["doc_id", "text_key"]).select("node", "text"), "texts")
+        told = nodes.select("node", "n", *words_)
+        a, b = told.toDF("a", "n_a", *(f"a_{w}" for w in words_)), told.toDF("b", "n_b", *(f"b_{w}" for w in words_))
+        apart = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words_), F.lit(0))
+        likely = work.table(pairs.join(a, "a").join(b, "b").where((F.least("n_a", "n_b") < LEAST_SKETCHED) | (apart <= most)).select("a", "b"), "likely")
+        ends = work.table(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct(), "ends")
+        wanted = work.table(nodes.join(ends, "node", "left_semi").select("node", F.col("least").alias("doc_id"), "text_key"), "wanted")
+        texts = work.table(keyed.join(wanted, ["doc_id", "text_key"]).select("node", "text"), "texts")
         if texts.count() > ends.count():  # rows with the same id and text
-            texts = materialize(texts.dropDuplicates(["node"]), "texts")
-        told = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-        return materialize(told.select("a", "b", "text_a", "text_b").mapInArrow(similar, "a long, b long"), "links")
+            texts = work.table(texts.dropDuplicates(["node"]), "texts")
+        met = likely.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+        return work.table(met.select("a", "b", "text_a", "text_b").mapInArrow(similar, "a long, b long"), "links")
 
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
-    id_type = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("text_key", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("first", T.BinaryType())])
-    prints = materialize(keyed.mapInArrow(first_runs, schema), "prints")
-    nodes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min_by("text_key", "doc_id").alias("text_key")), "nodes")
-    firsts = prints.where("doc_id IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("first").alias("first"))
-    keys = firsts.select("node", "n", "first").mapInArrow(keys_of, "run long, node long, n int, at int")
-    met = materialize(keys.repartition("run").sortWithinPartitions("run", "n", "node").mapInArrow(met_rows, "run long, node long, n int, at int, next long"), "met")
-    chained = materialize(met.where("next IS NOT NULL").select(F.least("node", "next").alias("a"), F.greatest("node", "next").alias("b")).distinct(), "pairs")
-    links = decided(chained)
-    placed = met.join(components(links), "node", "left").select("run", "node", "n", "at", F.coalesce("root", "node").alias("root"))
-    crossed = placed.repartition("run").sortWithinPartitions("run", "root", "node").mapInArrow(crossing, "a long, b long").distinct()
-    more = decided(materialize(crossed.join(chained, ["a", "b"], "left_anti"), "pairs"))
-    roots = components(links.unionByName(more))
-    placed = materialize(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "roots")
-    known = materialize(placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id"), "components")
-    return prints.join(known, "node").select("doc_id", "component_id")
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("text_key", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType())])
+    schema = T.StructType([*schema, *(T.StructField(w, T.LongType()) for w in words_), T.StructField("first", T.BinaryType())])
+    with Scratch(spark) as work:
+        prints = work.table(keyed.mapInArrow(first_runs, schema), "prints")
+        nodes = work.table(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min_by("text_key", "doc_id").alias("text_key"), *(F.first(c).alias(c) for c in ("n", *words_))), "nodes")
+        keys = prints.where("doc_id IS NOT NULL").select("node", "n", "first").mapInArrow(keys_of, "run long, node long, n int, at int")
+        met = work.table(keys.repartition("run").sortWithinPartitions("run", "n", "node").mapInArrow(met_rows, "run long, node long, n int, at int, next long"), "met")
+        close = hamming_links(nodes.where("least IS NOT NULL").select(F.col("fp0").alias("fp"), "node"), COPY_RADIUS, work=work)
+        next_ = met.where("next IS NOT NULL").select(F.least("node", "next").alias("a"), F.greatest("node", "next").alias("b"))
+        first = work.table(next_.unionByName(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "pairs")
+        links = decided(first, work)
+        placed = met.join(components(links, work), "node", "left").select("run", "node", "n", "at", F.coalesce("root", "node").alias("root"))
+        placed = work.table(placed, "placed")
+        split = placed.groupBy("run").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("run")
+        crossed = placed.join(split, "run", "left_semi").repartition("run").sortWithinPartitions("run", "root", "node").mapInArrow(crossing, "a long, b long").distinct()
+        more = decided(work.table(crossed.join(first, ["a", "b"], "left_anti"), "pairs"), work)
+        roots = components(links.unionByName(more), work)
+        placed = work.table(nodes.join(roots, "node", "left").select("node", "least", "text_key", F.coalesce("root", "node").alias("root")), "roots")
+        best = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.min_by("text_key", "least").alias("kept_key"))
+        known = work.table(placed.join(best, "root").select("node", "component_id", "kept_key"), "components")
+        kept = (F.col("doc_id") == F.col("component_id")) & (F.col("text_key") == F.col("kept_key"))
+        return materialize(prints.select("doc_id", "text_key", "node").join(known, "node").select("doc_id", "text_key", "component_id", F.coalesce(kept, F.lit(False)).alias("kept")), "copies")
