@@ -22,7 +22,6 @@ def key(row) -> int:
 
 def whole(name: str, texts: list[str | None]) -> list[list[int]]:
     t = Tokenizer.from_file(vocabulary(name))
-    t.encode_special_tokens = True
     return [x.ids + [2] for x in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -32,6 +31,8 @@ def test_words_give_the_ids_of_whole_texts(texts, name):
     alphabet = "aZz09 .,'!?-_/\\\t\n\r\x0b\x1c\x85\xa0 　éßÑİıſﬁ’“”—😀中한ا́‍@#$%^&*()"
     noise = ["".join(rng.choices(alphabet, k=rng.randint(1, 60))) for _ in range(3000)]
     noise += ["don't won't I'll we've 's 're", "a  b   c\n\n\nd \n e", "x's'S", " " * 50 + "a", "1234567 8,900.50", "naïve café Ångström", "CAFÉ ÀÉÎ ÑANDÚ Straße ẞ"]
+    marks = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", "a<|endoftext|>b", " <|endoftext|> <|startoftext|>\n", "x" * 9 + "<|endoftext|>" * 3]
+    noise += [rng.choice(noise) + rng.choice(marks) + rng.choice(noise) for _ in range(500)] + marks
     asked = [*texts, *noise]
     encode = WordEncoder(vocabulary(name), cache_words=500)
     for k in range(0, len(asked), 97):
@@ -112,6 +113,11 @@ def test_packing_crc_and_nothing(docs, none):
     assert "sequence_id" in best_fit_pack(tokenize_pieces(none, vocabulary(FILES[0]))).columns
 
 
+def test_special_tokens_have_their_own_ids():
+    for name, last in zip(FILES, (50256, 49407), strict=True):
+        assert np.frombuffer(WordEncoder(vocabulary(name))(["a <|endoftext|>"], 2)[0], "<u4").tolist()[-2:] == [last, 2]
+
+
 @pytest.mark.parametrize("width", [1, 3, 7, 8, 13, 16, 17, 24, 31, 32])
 def test_bits_round_trip(width):
     rng = np.random.default_rng(width)
