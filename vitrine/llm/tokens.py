@@ -46,8 +46,8 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.model = self.tokenizer.model
         added = self.tokenizer.get_added_tokens_decoder().values()
-        # what is matched in the normalised text could come from any text
-        self.marked = re.compile("" if any(t.normalized for t in added) else "|".join(re.escape(t.content) for t in added) or "(?!)").search
+        # what is matched in the normalised text could come from any text; case counts, but not for texts that are lower-cased here
+        self.marked = re.compile("" if any(t.normalized for t in added) else "|".join(re.escape(t.content) for t in added) or "(?!)", re.IGNORECASE).search
         self.limit = cache_words
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
