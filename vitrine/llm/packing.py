@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,8 +16,8 @@ from pyspark.sql import types as T
 from vitrine.llm.tokens import encoder, runs_of, text_lengths
 from vitrine.sources.shared import materialize
 
-#: Pieces of one length are numbered in so many parts by hash, so that no length passes through one task.
-RANK_PARTS = 256
+#: Names of the columns that number a table's pieces: the task that wrote one, and its place among that task's pieces of the same length.
+PART, NTH = "_part", "_nth"
 #: Characters of text that a task encodes at a time; a longer text is encoded alone.
 ENCODE_CHARS = 1_000_000
 
@@ -28,18 +29,38 @@ def cut(ids: int, capacity: int) -> list[tuple[int, int]]:
     return [(s, first if first and not s else capacity) for s in starts]
 
 
-def tokenize_pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, emit: str = "ids", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+class Places:
+    """Counts a task's pieces by length as they pass."""
+
+    def __init__(self) -> None:
+        self.part = TaskContext.get().partitionId()
+        self.seen: dict[int, int] = {}
+
+    def __call__(self, lengths: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """(task, place among its pieces of the same length) of each of the next pieces."""
+        order = np.argsort(lengths, kind="stable")
+        of, begin, n = np.unique(lengths[order], return_index=True, return_counts=True)
+        nth = np.empty(len(lengths), np.int64)
+        nth[order] = np.arange(len(lengths)) - np.repeat(begin, n) + np.repeat(np.array([self.seen.get(x, 0) for x in of.tolist()], np.int64), n)
+        for x, more in zip(of.tolist(), n.tolist(), strict=True):
+            self.seen[x] = self.seen.get(x, 0) + more
+        return pa.array(np.full(len(lengths), self.part, np.int32)), pa.array(nth)
+
+
+def tokenize_pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, emit: str = "ids", id_col: str = "doc_id", text_col: str = "text", placed: bool = False) -> DataFrame:
     """Each document's ids with `end_id`, cut into pieces of at most `capacity`.
 
     Returns doc_id, piece, start, length and, by `emit`, ids (array<int>) or ids_crc32 (of the ids as
     little-endian unsigned 32-bit integers). A null or empty text has the end id alone; a null id
-    stays null; repeated rows are pieces of their own; other columns are left out.
+    stays null; repeated rows are pieces of their own; other columns are left out. With `placed`, PART and NTH are there too.
     """
     payload = T.StructField("ids", T.ArrayType(T.IntegerType(), False), False) if emit == "ids" else T.StructField("ids_crc32", T.LongType(), False)
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("piece", T.IntegerType(), False), T.StructField("start", T.LongType(), False), T.StructField("length", T.LongType(), False), payload])
+    if placed:
+        schema = T.StructType([*schema, T.StructField(PART, T.IntegerType(), False), T.StructField(NTH, T.LongType(), False)])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
+        encode, places = encoder(vocabulary), Places()
         for batch in batches:
             for part in runs_of(text_lengths(batch.column(1)), ENCODE_CHARS):
                 rows, kept, held = [], [], []
@@ -55,7 +76,7 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_
                 else:
                     last = pa.array(held, pa.int64())
                 kept = batch.column(0).slice(part.start, part.stop - part.start).take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([kept, pa.array(piece, pa.int32()), pa.array(start), pa.array(length), last], names=[f.name for f in schema])
+                yield pa.RecordBatch.from_arrays([kept, pa.array(piece, pa.int32()), pa.array(start), pa.array(length), last, *(places(length) if placed else ())], names=[f.name for f in schema])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pieces, schema)
 
@@ -107,27 +128,36 @@ def plan_best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, i
 def best_fit_pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     """Add sequence_id and offset to `pieces` (doc_id, piece, length of 1 to `capacity`, any other columns).
 
-    The histogram of lengths, at most `capacity` rows, is all that reaches the driver. Each piece gets its
-    rank among those of its length, by windows over (length, hash part) and the parts' offsets, and takes
-    the planned slot of that rank. `pieces` is read three times and should be a written table. An empty
+    The histogram of lengths, at most `capacity` rows, is all that reaches the driver. Each piece has its
+    rank among those of its length: its place among the pieces of the task that wrote it (PART and NTH, which are added and written here if `pieces` lacks them), after
+    those of the tasks before. It takes the planned slot of that rank. Only the tasks' counts are shuffled. With PART and NTH, `pieces` must be a written table. An empty
     table gives none; pieces that are alike in all columns may swap slots.
     """
     spark = pieces.sparkSession
-    histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    columns = [c for c in pieces.columns if c not in (PART, NTH)]
+    if columns == pieces.columns:
+        at = columns.index("length")
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            places = Places()
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([*batch.columns, *places(batch.column(at).to_numpy())], names=[*columns, PART, NTH])
+
+        schema = T.StructType([*pieces.schema, T.StructField(PART, T.IntegerType()), T.StructField(NTH, T.LongType())])
+        pieces = materialize(pieces.mapInArrow(place, schema), "pieces")
+    counts = materialize(pieces.groupBy("length", PART).count(), "counts")
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     runs = [(int(x[0]), *x[1:]) for x in plan_best_fit(histogram, capacity)]
     plan = spark.createDataFrame(runs, "slot_length long, first_rank long, end_rank long, first_sequence long, slot_offset long")
 
-    part = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_PARTS)).cast("int")
-    parted = pieces.withColumn("rank_part", part)
-    before = Window.partitionBy("length").orderBy("rank_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parted.groupBy("length", "rank_part").count().select("length", "rank_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("rank_base"))
-    inside = Window.partitionBy("length", "rank_part").orderBy("doc_id", "piece", *(c for c in ("ids_crc32",) if c in pieces.columns))
-    ranked = parted.withColumn("nth", F.row_number().over(inside) - 1).join(offsets, ["length", "rank_part"]).withColumn("rank", F.col("rank_base") + F.col("nth"))
+    before = Window.partitionBy("length").orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("length", PART, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("rank_base"))
+    ranked = pieces.join(bases, ["length", PART]).withColumn("rank", F.col("rank_base") + F.col(NTH))
     # the plan's size depends on the capacity alone
     slot = (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("end_rank"))
-    return ranked.join(F.broadcast(plan), slot).select(*pieces.columns, (F.col("first_sequence") + F.col("rank") - F.col("first_rank")).alias("sequence_id"), F.col("slot_offset").alias("offset"))
+    return ranked.join(F.broadcast(plan), slot).select(*columns, (F.col("first_sequence") + F.col("rank") - F.col("first_rank")).alias("sequence_id"), F.col("slot_offset").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, emit: str = "ids", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenise, cut and pack `docs`: tokenize_pieces' columns with sequence_id and offset."""
-    return best_fit_pack(materialize(tokenize_pieces(docs, vocabulary, capacity, end_id, emit, id_col, text_col), "pieces"), capacity)
+    return best_fit_pack(materialize(tokenize_pieces(docs, vocabulary, capacity, end_id, emit, id_col, text_col, placed=True), "pieces"), capacity)
