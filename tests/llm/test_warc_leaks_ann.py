@@ -169,16 +169,57 @@ def compare(rows, vectors, every, k, least):
     assert hits >= least * total
 
 
-@pytest.mark.parametrize(("n", "clusters", "least"), [(400, 5, 1.0), (6_000, 40, 0.95)])
+@pytest.mark.parametrize(("n", "clusters", "least"), [(400, 5, 0.9), (6_000, 40, 0.9), (50_000, 400, 0.9), (12_000, 0, 0.9)])
 def test_neighbours_against_brute_force(spark, n, clusters, least):
     rng = np.random.default_rng(n)
-    centres = rng.normal(size=(clusters, 16))
-    x = centres[rng.integers(0, clusters, n)] + 0.4 * rng.normal(size=(n, 16))
+    x = rng.normal(size=(n, 16))
+    if clusters:
+        x = rng.normal(size=(clusters, 16))[rng.integers(0, clusters, n)] + 0.4 * x
     x[n // 2 : n // 2 + 50] = x[0]
+    every = max(20, n // 50)
     rows = [(k, v.tolist()) for k, v in enumerate(x)]
-    rows += [(n + 20, None), (n + 40, [0.0] * 16), (n + 60, [float("nan")] * 16), (n + 1, [1.0, None] + [0.0] * 14), (None, [1.0] * 16), (n + 3, [1.0] * 3), (n + 5, [])]
+    rows += [(n + 20, None), (n + 40, [0.0] * 16), (n + 60, [float("nan")] * 16), (n + 1, [1.0, None] + [0.0] * 14), (None, [1.0] * 16), (n + 5, []), (7, x[7].tolist())]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
-    compare(search(df).collect(), {k: v for k, v in enumerate(x)}, 20, 20, least)
+    got = search(df, queries_every=every).collect()
+    by = {r.query_id: [] for r in got}
+    hits = total = 0
+    for r in got:
+        by[r.query_id].append((r.rank, r.vec_id, r.score))
+    assert set(by) == set(range(0, n, every))
+    for q, mine in by.items():
+        score = x @ x[q]
+        score[q] = -np.inf
+        mine.sort()
+        assert [m[0] for m in mine] == list(range(1, 21)) and q not in {m[1] for m in mine}
+        assert all(a[2] > b[2] or (a[2] == b[2] and a[1] < b[1]) for a, b in zip(mine, mine[1:]))
+        assert all(math.isclose(s, score[i], rel_tol=1e-12, abs_tol=1e-12) for _, i, s in mine)
+        hits += len({m[1] for m in mine} & {*np.lexsort((np.arange(n), -score))[:20].tolist()})
+        total += 20
+    assert hits >= least * total
+
+
+def test_copies_are_found_by_their_smallest_ids(spark):
+    """A vector that most rows share is one entry: all its queries find the smallest other ids."""
+    x = np.random.default_rng(8).normal(size=(300, 8))
+    x[20:280] = 3 * x[0]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    got = {}
+    for r in search(df).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    for q in (40, 100, 260):
+        assert [got[q][k] for k in range(1, 21)] == [i for i in range(20, 60) if i != q][:20]
+
+
+def test_lists_with_little_chance_arent_probed(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 24))[rng.integers(0, 60, 20_000)] + 0.3 * rng.normal(size=(20_000, 24))
+    index = ann.fit(x, len(x), 20)
+    assert index.probes(x[:200], 21)[0].mean() < 0.25
+
+
+def test_dimensions_must_agree(spark):
+    with pytest.raises(ValueError, match="dimensions"):
+        search(spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0])], "vec_id long, embedding array<double>"))
 
 
 def test_few_or_no_vectors(spark):
@@ -192,15 +233,19 @@ def test_few_or_no_vectors(spark):
 
 
 def test_groups_hold_a_bounded_number_of_queries_and_rows(spark, monkeypatch):
-    """Of one list that all queries probe, no group gets all queries; each query meets each row once, and results are the same."""
-    probes = spark.range(3_000).selectExpr("0L AS list", "id AS query_id").unionByName(spark.range(5).selectExpr("1L AS list", "id AS query_id"))
-    entries = spark.range(2_000).selectExpr("0L AS list", "id AS vec_id").unionByName(spark.range(7).selectExpr("2L AS list", "id AS vec_id"))
-    asking, held = ann.dealt(probes, entries, block_rows=100, query_rows=100)
+    """Of one cell that all queries probe, no group gets all queries; each query meets each row once, and results are the same."""
+    cell_of, blocks_of = ann.cells(np.array([2_000, 7, 5]), 100)
+    assert cell_of.tolist() == [0, 1, 1] and blocks_of.tolist() == [20, 1, 1]
+    probes = spark.range(3_000).selectExpr("0L AS cell", "id AS query").unionByName(spark.range(5).selectExpr("1L AS cell", "id AS query"))
+    entries = spark.range(2_000).selectExpr("0L AS list", "id AS node").unionByName(spark.range(7).selectExpr("2L AS list", "id + 5000 AS node"))
+    asking, held = ann.dealt(probes, entries, cell_of, blocks_of, query_rows=100)
     for side in (asking, held):
-        assert max(r["count"] for r in side.groupBy("list", "block", "part").count().collect()) <= 160
-    met = asking.join(held, ["list", "block", "part"])
-    assert met.count() == met.select("query_id", "vec_id").distinct().count() == 3_000 * 2_000
+        assert max(r["count"] for r in side.groupBy("cell", "block", "part").count().collect()) <= 160
+    met = asking.join(held, ["cell", "block", "part"])
+    assert met.count() == met.select("query", "node").distinct().count() == 3_000 * 2_000 + 5 * 7
     x = np.random.default_rng(3).normal(size=(900, 8))
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
-    monkeypatch.setattr(ann.dealt, "__defaults__", (64, 10))
-    compare(search(df).collect(), dict(enumerate(x)), 20, 20, 1.0)
+    want = sorted(map(tuple, search(df).collect()))
+    monkeypatch.setattr(ann.dealt, "__defaults__", (10,))
+    monkeypatch.setattr(ann.cells, "__defaults__", (64,))
+    assert sorted(map(tuple, search(df).collect())) == want

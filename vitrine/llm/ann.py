@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -11,101 +11,140 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.sources.shared import materialize
+from vitrine.sources.shared import Scratch, materialize
 
-#: The index is fitted on a hash sample of about this many vectors, or all if there are fewer.
+#: The index is fitted on a hash sample of about this many distinct vectors, or all if there are fewer.
 TRAIN_ROWS = 20_000
-#: Vectors of the sample that bound each query's last neighbour from below.
-BOUND_ROWS = 4_096
-#: Queries of the sample that the number of probed lists is chosen on, and the share of their true neighbours those must hold.
-CALIBRATION_QUERIES, COVERAGE = 1_000, 0.995
+#: Queries of the sample that the probing is calibrated on, and the share of their true neighbours that the probed lists must hold.
+CALIBRATION_QUERIES, COVERAGE = 1_000, 0.96
 #: Dimensions of a product quantiser's part, and centroids of each.
 PART_DIMS, PART_CENTROIDS = 4, 256
-#: Rows of a list that are searched at a time, and how many of them at least are reranked for each query.
-BLOCK_ROWS, RERANK = 1_024, 96
-#: Queries of a list that meet a block of its rows at a time.
-QUERY_ROWS = 1_024
-#: Standard deviations of a quantised score that a row may lie under the last of the best and still be reranked.
-SLACK = 4.0
-#: The most lists, and the rows under which there is just one.
-MOST_LISTS, ONE_LIST_ROWS = 2_048, 2_000
+#: Lists for the root of the number of vectors, and the most there are.
+LISTS, MOST_LISTS = 2.0, 2_048
+#: Vectors that are searched at a time (of several lists, or a part of one), and queries that meet them at a time.
+CELL_ROWS, QUERY_ROWS = 4_096, 1_024
+#: Standard deviations of a quantised score that a row may lie under a query's bound and still be reranked.
+SLACK = 2.5
+#: Queries that are held against the sample at a time.
+BOUND_QUERIES = 256
 
 
-def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> np.ndarray:
+def kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 0) -> np.ndarray:
     """Lloyd's algorithm; centroids that lose all rows stay. Fewer than `k` rows: the rows."""
     rng = np.random.default_rng(seed)
     centroids = x[rng.permutation(len(x))[:k]].copy()
     for _ in range(rounds):
         own = nearest(x, centroids)
-        n = np.bincount(own, minlength=len(centroids))
-        sums = np.zeros_like(centroids)
-        np.add.at(sums, own, x)
-        centroids[n > 0] = sums[n > 0] / n[n > 0, None]
+        order = np.argsort(own, kind="stable")
+        found, begin, n = np.unique(own[order], return_index=True, return_counts=True)
+        centroids[found] = np.add.reduceat(x[order], begin, axis=0) / n[:, None]
     return centroids
 
 
 def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     """The closest centroid of each row."""
-    return ((centroids**2).sum(1) - 2 * (x @ centroids.T)).argmin(1)
+    lengths = (centroids**2).sum(1)
+    out = np.empty(len(x), np.int64)
+    for k in range(0, len(x), 4_096):  # so many rows' distances are held at a time
+        out[k : k + 4_096] = (lengths - 2 * (x[k : k + 4_096] @ centroids.T)).argmin(1)
+    return out
 
 
-@dataclass(frozen=True)
+@dataclass
 class Index:
-    """centroids: (lists, dims); codebooks: one (centroids, dims of the part) for each part; probes: lists that a query looks into; bound: rows of the table."""
+    """What tasks need to encode rows and to choose lists; its size depends on the sample alone.
+
+    centroids: (lists, dims); codebooks: one (centroids, dims of the part) for each part; spread: for each list, the standard deviation of
+    its rows' distance from the centroid in any one direction; margin: how many of those a list may miss a query's bound by and be probed all the same;
+    sample: distinct vectors of the table, with an id, list and codes each.
+    """
 
     centroids: np.ndarray
     codebooks: tuple[np.ndarray, ...]
-    probes: int
-    bound: np.ndarray
-    bound_ids: np.ndarray
+    spread: np.ndarray
+    sample: np.ndarray
+    sample_lists: np.ndarray = field(default=None)
+    sample_codes: np.ndarray = field(default=None)
+    margin: float = 0.0
 
     @property
     def cuts(self) -> list[slice]:
         ends = np.cumsum([0] + [b.shape[1] for b in self.codebooks])
         return [slice(a, b) for a, b in zip(ends, ends[1:], strict=False)]
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(list, codes): each row's closest centroid, and the parts of what is left of it."""
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(list, codes, error): each row's closest centroid, the parts of what is left of it, and how far the row lies from what these tell."""
         own = nearest(x, self.centroids)
         left = x - self.centroids[own]
-        return own, np.stack([nearest(left[:, c], b) for c, b in zip(self.cuts, self.codebooks, strict=True)], 1).astype(np.uint8)
-
-    def errors(self, x: np.ndarray, own: int, codes: np.ndarray) -> np.ndarray:
-        """How far each row of list `own` lies from what its codes tell."""
+        codes = np.stack([nearest(left[:, c], b) for c, b in zip(self.cuts, self.codebooks, strict=True)], 1).astype(np.uint8)
         told = np.concatenate([b[codes[:, k]] for k, b in enumerate(self.codebooks)], 1)
-        return np.sqrt(((x - self.centroids[own] - told) ** 2).sum(1))
+        return own, codes, np.sqrt(((left - told) ** 2).sum(1))
 
     def tables(self, q: np.ndarray) -> np.ndarray:
-        """(queries, parts, centroids): inner products of the queries' parts and the codebooks."""
-        out = np.zeros((len(q), len(self.codebooks), PART_CENTROIDS), np.float32)
+        """(parts, queries, centroids): inner products of the queries' parts and the codebooks."""
+        out = np.zeros((len(self.codebooks), len(q), PART_CENTROIDS))
         for k, (c, b) in enumerate(zip(self.cuts, self.codebooks, strict=True)):
-            out[:, k, : len(b)] = q[:, c] @ b.T
+            out[k, :, : len(b)] = q[:, c] @ b.T
         return out
 
-
-def fit(sample: np.ndarray, ids: np.ndarray, rows: int, k: int) -> Index:
-    """Fit on `sample`, for a table of `rows`.
-
-    The lists grow as the root of the rows. probes is the least number of lists that hold COVERAGE of the true neighbours of some of the sample's
-    rows within the sample.
+    def probes(self, q: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(lists to probe as a mask, bound, floor) of each query, for its `wanted` best rows.
+
+        A list is probed if its centroid's score, and `margin` standard deviations, reach the score of the wanted-th best row of the sample; and further lists, best first, until they hold so
+        many rows of the sample (all lists if it has fewer). bound is the score of the wanted-th best of the sample within these lists, so there are as many
+        rows in them that reach it; floor is the least that their codes say of those rows.
+        """
+        score = q @ self.sample.T
+        centre = q @ self.centroids.T
+        length = np.sqrt((q**2).sum(1))
+        if score.shape[1] < wanted:
+            return np.ones(centre.shape, bool), np.full(len(q), -np.inf), np.full(len(q), -np.inf)
+        limit = -np.partition(-score, wanted - 1, axis=1)[:, wanted - 1]
+        reach = centre + self.margin * length[:, None] * self.spread
+        probed = reach >= limit[:, None]
+        sizes = np.bincount(self.sample_lists, minlength=len(self.centroids))
+        for i in np.flatnonzero((probed * sizes).sum(1) < wanted):
+            order = np.argsort(-reach[i], kind="stable")
+            probed[i, order[: int(np.searchsorted(np.cumsum(sizes[order]), wanted)) + 1]] = True
+        score[~probed[:, self.sample_lists]] = -np.inf
+        best = np.argpartition(-score, wanted - 1, axis=1)[:, :wanted]
+        rows = np.arange(len(q))[:, None]
+        tables = self.tables(q)
+        told = centre[rows, self.sample_lists[best]] + sum(tables[k][rows, self.sample_codes[best, k]] for k in range(len(tables)))
+        return probed, score[rows, best].min(1), told.min(1)
+
+
+def fit(sample: np.ndarray, rows: int, k: int) -> Index:
+    """Fit on `sample`, for a table of `rows` distinct vectors.
+
+    The lists grow as the root of the rows. The margin is the least that probes lists with COVERAGE of the `k` true neighbours, within the
+    sample, of some of its rows.
     """
-    everything, every_id = sample, ids
-    sample = np.unique(sample, axis=0)
-    sample = sample[np.random.default_rng(1).permutation(len(sample))]  # copies would tell little of how far neighbours lie
-    lists = 1 if rows <= ONE_LIST_ROWS else int(min(MOST_LISTS, max(2, np.sqrt(rows) / 2)))
+    lists = int(min(MOST_LISTS, max(1, LISTS * np.sqrt(rows))))
     centroids = kmeans(sample, lists)
     own = nearest(sample, centroids)
     left = sample - centroids[own]
-    dims = sample.shape[1]
-    codebooks = tuple(kmeans(left[:, a : a + PART_DIMS], PART_CENTROIDS, rounds=8, seed=a) for a in range(0, dims, PART_DIMS))
-    queries = sample[:CALIBRATION_QUERIES]
-    score = queries @ sample.T
-    score[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
-    best = np.argpartition(-score, min(k, len(sample) - 1), axis=1)[:, :k]
-    place = np.argsort(np.argsort(-(queries @ centroids.T), axis=1), axis=1)
-    needed = np.sort(place[np.arange(len(queries))[:, None], own[best]].ravel())
-    probes = int(needed[min(len(needed) - 1, int(COVERAGE * len(needed)))]) + 1
-    return Index(centroids, codebooks, min(probes, len(centroids)), everything[:BOUND_ROWS], every_id[:BOUND_ROWS])
+    codebooks = tuple(kmeans(left[:, a : a + PART_DIMS], PART_CENTROIDS, rounds=6, seed=a) for a in range(0, sample.shape[1], PART_DIMS))
+    around = np.sqrt((left**2).sum(1).mean() / sample.shape[1])
+    n = np.bincount(own, minlength=len(centroids))
+    # a list of few rows takes after the others
+    spread = np.sqrt((np.bincount(own, (left**2).sum(1), minlength=len(centroids)) / sample.shape[1] + 4 * around**2) / (n + 4))
+    index = Index(centroids, codebooks, np.maximum(spread, 1e-12), sample)
+    index.sample_lists, index.sample_codes, _ = index.encode(sample)
+    queries = np.random.default_rng(1).permutation(len(sample))[:CALIBRATION_QUERIES]
+    needed = []
+    for some in np.array_split(queries, -(-len(queries) // BOUND_QUERIES)):
+        q = sample[some]
+        score = q @ sample.T
+        score[np.arange(len(q)), some] = -np.inf
+        best = np.argpartition(-score, min(k, len(sample) - 1), axis=1)[:, : min(k, len(sample) - 1)]
+        at = np.arange(len(q))[:, None]
+        limit = score[at, best].min(1, keepdims=True) if best.shape[1] else np.zeros((len(q), 1))
+        lists_ = own[best]
+        needed.append(((limit - (q @ centroids.T)[at, lists_]) / (np.sqrt((q**2).sum(1, keepdims=True)) * index.spread[lists_])).ravel())
+    needed = np.concatenate(needed)
+    index.margin = float(np.quantile(needed, COVERAGE)) if len(needed) else 0.0
+    return index
 
 
 def _vectors(column: pa.Array | pd.Series, dims: int) -> np.ndarray:
@@ -114,38 +153,69 @@ def _vectors(column: pa.Array | pd.Series, dims: int) -> np.ndarray:
 
 
 def usable(table: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
-    """(vec_id, vec) with the vectors' bytes as doubles, and their dimension, the most frequent one.
+    """(vec_id, vec) with the vectors' bytes as doubles, and their dimension (0 if there are none).
 
-    Rows that are null in id or vector, hold null or non-finite components, are zero, or have another dimension are left out; rows that are alike count once.
+    Rows that are null in id or vector, hold null or non-finite components, or are zero are left out; rows that are alike count once. Vectors of
+    different dimensions are an error, as they have no inner product.
     """
-    sizes = table.where(F.col(vector_col).isNotNull()).groupBy(F.size(vector_col).alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    dims = sizes["n"] if sizes else 0
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    value = F.col(vector_col).cast("array<double>")
+    sound = F.col("vec_id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))) & F.exists("v", lambda c: c != 0)
+    whole = table.select(F.col(id_col).cast("long").alias("vec_id"), value.alias("v")).where("v IS NOT NULL").where(sound).select("vec_id", "v")
+    sizes = whole.agg(F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("most")).first()
+    if sizes["least"] != sizes["most"]:
+        raise ValueError(f"vectors of {sizes['least']} and of {sizes['most']} dimensions have no inner product")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            x = np.asarray(lists.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dims) if len(lists) else np.zeros((0, dims))
-            kept = np.isfinite(x).all(1) & (x != 0).any(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(kept)), pa.array([r.tobytes() for r in x[kept]], pa.binary())], names=["vec_id", "vec"])
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            width = 8 * (sizes["most"] or 1)
+            raw = x.astype("<f8").tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([raw[k : k + width] for k in range(0, len(raw), width)], pa.binary())], names=["vec_id", "vec"])
+
+    return whole.mapInArrow(encode, "vec_id long, vec binary").distinct(), sizes["most"] or 0
 
-    whole = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & (F.size("v") == dims) & (F.size("v") > 0) & ~F.exists("v", lambda c: c.isNull()))
-    return whole.mapInArrow(decode, "vec_id long, vec binary"), dims
 
+def cells(sizes: np.ndarray, cell_rows: int = CELL_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """(cell of each list, blocks of each list): lists in order, together until they have `cell_rows` rows; a larger list is a cell of its own, in several blocks."""
+    cell, blocks = np.zeros(len(sizes), np.int64), np.maximum(1, -(-sizes // cell_rows))
+    at, held = 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        if held and held + n > cell_rows:
+            at, held = at + 1, 0
+        cell[k] = at
+        held += n
+    return cell, blocks
 
-def dealt(probes: DataFrame, entries: DataFrame, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> tuple[DataFrame, DataFrame]:
-    """`probes` (list, query_id, ..) once for each block of the list's `entries` (list, vec_id, ..), and `entries` once for each part of the list's queries.
 
-    Both get (block, part): of every list, about `block_rows` rows and about `query_rows` queries, by hashes of their ids, so that each
-    query meets each row of the lists that it probes just once. Lists without queries or without rows are left out.
+def dealt(probes: DataFrame, entries: DataFrame, cell_of: np.ndarray, blocks_of: np.ndarray, query_rows: int = QUERY_ROWS) -> tuple[DataFrame, DataFrame]:
+    """`probes` (cell, query, ..) once for each block of the cell's `entries` (list, node, ..), and `entries` once for each part of the cell's queries.
+
+    Both get (cell, block, part): by hashes, about so many rows as cells() says and about `query_rows` queries, so that each query meets each
+    entry of the cells that it probes just once. Cells without queries are left out.
     """
-    sizes = entries.groupBy("list").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    asking = probes.groupBy("list").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("parts"))
-    # a row for each list, MOST_LISTS at most
-    per_list = F.broadcast(materialize(sizes.join(asking, "list"), "lists"))
-    blocks, parts = (F.explode(F.sequence(F.lit(0), F.col(c) - 1)) for c in ("blocks", "parts"))
-    of_query = probes.join(per_list, "list").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int")).withColumn("block", blocks)
-    of_row = entries.join(per_list, "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).withColumn("part", parts)
-    return of_query.drop("blocks", "parts"), of_row.drop("blocks", "parts")
+    spark = probes.sparkSession
+    # a row for each list or cell, MOST_LISTS at most
+    of_list = spark.createDataFrame([(k, int(c), int(b)) for k, (c, b) in enumerate(zip(cell_of, blocks_of, strict=True))], "list long, cell long, blocks int")
+    of_cell = of_list.groupBy("cell").agg(F.max("blocks").alias("blocks"))
+    parts = F.broadcast(materialize(probes.groupBy("cell").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("parts")).join(of_cell, "cell"), "parts"))
+    turns, pieces = (F.explode(F.sequence(F.lit(0), F.col(c) - 1)) for c in ("parts", "blocks"))
+    placed = entries.join(F.broadcast(of_list.select("list", "cell")), "list").join(parts, "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("part", turns)
+    asking = probes.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("query"), F.col("parts")).cast("int")).withColumn("block", pieces)
+    return asking.drop("blocks", "parts"), placed.drop("blocks", "parts")
+
+
+def best_of(query: np.ndarray, vec_id: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the `k` best rows of each query, ids once each, ties by id."""
+    order = np.lexsort((vec_id, -score, query))
+    # of an id found twice the better one stays
+    first = np.lexsort((-score, vec_id, query))
+    again = np.zeros(len(query), bool)
+    again[first[1:]] = (query[first[1:]] == query[first[:-1]]) & (vec_id[first[1:]] == vec_id[first[:-1]])
+    order = order[~again[order]]
+    q = query[order]
+    begin = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, np.int64)
+    nth = np.arange(len(q)) - np.repeat(begin, np.diff(np.append(begin, len(q))))
+    return order[nth < k]
 
 
 def search(table: DataFrame, queries_every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -154,111 +224,113 @@ def search(table: DataFrame, queries_every: int = 20, k: int = 20, id_col: str =
     Candidates are all other rows (of other ids) of the table; ties go to the smaller id; score is the inner product in doubles. Unusable vectors (see
     usable()) take no part; of an id with several vectors, the one with the smallest bytes asks, and the nearest one is found. With at most `k` candidates all are found; an empty table gives none.
 
-    Every row is in the index. A list is searched in blocks of about BLOCK_ROWS rows, each with about QUERY_ROWS of the queries that probe it: asymmetric distance
-    tables choose RERANK distinct vectors a query, and all that could be among its best for the quantiser's error; these are ranked by their own values. What is below a query's `k` best of
-    a fixed sample of the rows isn't passed on; those `k` are found too.
+    Every row is in the index. Equal vectors are one entry with their k + 1 smallest ids, as no others can be found, and equal queries are searched once, so copies cost nothing. A sample bounds
+    from below what a query can find, and lists that hardly reach its bound aren't probed. Cells of about CELL_ROWS entries, of lists that lie next to each other or a part of one, meet
+    about QUERY_ROWS of their queries at a time, each sent once a cell. Asymmetric distance tables tell the entries that may reach the bound, SLACK standard deviations allowed for, and those are ranked by their own values.
     """
     spark = table.sparkSession
     vectors, dims = usable(table, id_col, vector_col)
     out_schema = "query_id long, rank int, vec_id long, score double"
     if not dims:
         return spark.createDataFrame([], out_schema)
-    vectors = materialize(vectors.distinct(), "vectors")
-    rows = vectors.count()
-    if not rows:
-        return spark.createDataFrame([], out_schema)
-    thinned = vectors if rows <= train_rows else vectors.where(F.shiftrightunsigned(F.xxhash64("vec_id", "vec"), 32) < F.lit(int(train_rows / rows * 2**32)))
-    sample = thinned.toPandas().sort_values(["vec_id", "vec"])
-    sample = sample.iloc[np.random.default_rng(0).permutation(len(sample))]
-    index = spark.sparkContext.broadcast(fit(_vectors(sample["vec"], dims), sample["vec_id"].to_numpy(), rows, k))
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own, codes = index.value.encode(_vectors(batch.column(1), dims))
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), batch.column(1)], names=["list", "vec_id", "codes", "vec"])
-
-    entries = materialize(vectors.mapInArrow(assign, "list long, vec_id long, codes binary, vec binary"), "index")
-    sizes = np.zeros(len(index.value.centroids), np.int64)
-    for r in entries.groupBy("list").count().collect():
-        sizes[r["list"]] = r["count"]
-
-    def known(ids: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """The queries' scores within the fixed sample, and nothing for themselves."""
-        score = q @ index.value.bound.T
-        score[index.value.bound_ids[None, :] == ids[:, None]] = -np.inf
-        return score
-
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = index.value
-        for batch in batches:
-            ids, q = batch.column(0).to_numpy(), _vectors(batch.column(1), dims)
-            score = known(ids, q)
-            best = np.argsort(-score, axis=1)[:, :k]
-            queries, at = np.repeat(np.arange(len(q)), best.shape[1]), best.ravel()
-            kept = score[queries, at] > -np.inf
-            queries, at = queries[kept], at[kept]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[queries]), pa.array(own.bound_ids[at]), pa.array((own.bound[at] * q[queries]).sum(1))], names=["query_id", "vec_id", "score"])
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = index.value
-        for batch in batches:
-            ids, q = batch.column(0).to_numpy(), _vectors(batch.column(1), dims)
-            score = known(ids, q)
-            bound = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] >= k else np.full(len(q), -np.inf)
-            order = np.argsort(-(q @ own.centroids.T), axis=1, kind="stable")
-            for i, row in enumerate(order):
-                n = min(len(row), max(own.probes, int(np.searchsorted(np.cumsum(sizes[row]), k + 1)) + 1))
-                yield pa.RecordBatch.from_arrays([pa.array(row[:n], pa.int64()), pa.array(np.full(n, ids[i]), pa.int64()), pa.array([batch.column(1)[i].as_py()] * n, pa.binary()), pa.array(np.full(n, bound[i] - 1e-9 * abs(bound[i])), pa.float64())], names=["list", "query_id", "query", "bound"])
-
-    asked = vectors.where(F.col("vec_id") % queries_every == 0).groupBy("vec_id").agg(F.min("vec").alias("vec"))
-    probes, placed = dealt(materialize(asked.mapInArrow(probe, "list long, query_id long, query binary, bound double"), "probes"), entries)
-
-    def block(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if not len(asking) or not len(held):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        own = index.value
-        held = held.sort_values("vec_id")
-        x, first, same = np.unique(held["vec"].to_numpy().astype(object), return_index=True, return_inverse=True)
-        x = _vectors(x, dims)
-        codes = np.frombuffer(b"".join(held["codes"].to_numpy()[first]), np.uint8).reshape(len(x), -1)
-        ids = held["vec_id"].to_numpy()
-        copies = np.argsort(same, kind="stable")  # by vector, then by id
-        starts = np.searchsorted(same[copies], np.arange(len(x) + 1))
-        q = _vectors(asking["query"], dims)
-        near = np.zeros((len(q), len(x)), np.float32)
-        for part, table_ in enumerate(np.moveaxis(own.tables(q), 1, 0)):
-            near += table_[:, codes[:, part]]
-        kept, last = min(RERANK, len(x)), min(k, len(x)) - 1
-        least = np.partition(-near, kept - 1, axis=1)[:, kept - 1]
-        # a score is off by about the query's length times the row's error, over the root of the dimensions
-        slack = SLACK / np.sqrt(dims) * own.errors(x, int(held["list"].iloc[0]), codes)
-        found = []
-        for i, (query_id, bound) in enumerate(zip(asking["query_id"], asking["bound"], strict=True)):
-            width = slack * np.sqrt((q[i] ** 2).sum())
-            low = np.partition(near[i] - width, len(x) - 1 - last)[len(x) - 1 - last]
-            best = np.flatnonzero((near[i] >= -least[i]) | (near[i] + width >= low))
-            score = (x[best] * q[i]).sum(1)
-            good = np.flatnonzero(score >= bound)
-            good = good[np.argsort(-score[good], kind="stable")]
-            n, own_ids, own_scores = 0, [], []
-            for g in good:
-                v = best[g]
-                if n > k and score[g] < own_scores[-1][0]:
-                    break
-                rows_ = ids[copies[starts[v] : min(starts[v + 1], starts[v] + k + 1)]]
-                own_ids.append(rows_)
-                own_scores.append(np.full(len(rows_), score[g]))
-                n += len(rows_)
-            if n:
-                a, s = np.concatenate(own_ids), np.concatenate(own_scores)
-                a, s = a[(other := a != query_id)], s[other]
-                top = np.lexsort((a, -s))[:k]
-                found.append((np.full(len(top), query_id), a[top], s[top]))
-        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [[], [], []]
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
-
-    scored = probes.groupBy("list", "block", "part").cogroup(placed.groupBy("list", "block", "part")).applyInPandas(block, "query_id long, vec_id long, score double")
-    scored = scored.unionByName(asked.mapInArrow(sampled, "query_id long, vec_id long, score double"))
-    scored = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    wanted = k + 1  # the query's own row is found too
+    with Scratch(spark) as work:
+        vectors = work.table(vectors, "vectors")
+        by_id = Window.partitionBy("vec").orderBy("vec_id")
+        least = vectors.withColumn("nth", F.row_number().over(by_id)).where(F.col("nth") <= wanted)
+        entries = work.table(least.groupBy("vec").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select(F.monotonically_increasing_id().alias("node"), "vec", "ids"), "entries")
+        rows = entries.count()
+        thinned = entries if rows <= train_rows else entries.where(F.shiftrightunsigned(F.xxhash64("vec"), 32) < F.lit(int(train_rows / rows * 2**32)))
+        sample = thinned.select("vec", F.col("ids")[0].alias("vec_id")).toPandas().sort_values(["vec_id", "vec"]).drop_duplicates("vec_id")
+        sample = _vectors(sample["vec"], dims)[np.random.default_rng(0).permutation(len(sample))]
+        index = spark.sparkContext.broadcast(fit(sample, rows, k))
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if len(batch):
+                    own, codes, error = index.value.encode(_vectors(batch.column(1), dims))
+                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)], names=["list", "node", "vec", "ids", "codes", "error"])
+
+        entries = work.table(entries.mapInArrow(assign, "list long, node long, vec binary, ids array<long>, codes binary, error double"), "index")
+        sizes = np.zeros(len(index.value.centroids), np.int64)
+        for r in entries.groupBy("list").count().collect():
+            sizes[r["list"]] = r["count"]
+        cell_of, blocks_of = cells(sizes)
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for start in range(0, len(batch), BOUND_QUERIES):
+                    own = batch.slice(start, BOUND_QUERIES)
+                    probed, bound, floor = index.value.probes(_vectors(own.column(1), dims), wanted)
+                    query, lists = np.nonzero(probed & (sizes > 0))
+                    turn = np.flatnonzero(np.append(True, (query[1:] != query[:-1]) | (cell_of[lists[1:]] != cell_of[lists[:-1]]))[: len(query)])
+                    at = pa.array(query[turn])
+                    told = pa.ListArray.from_arrays(pa.array(np.append(turn, len(query)), pa.int32()), pa.array(lists.astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([pa.array(cell_of[lists[turn]]), own.column(0).take(at), own.column(1).take(at), pa.array(bound[query[turn]]), pa.array(floor[query[turn]]), told], names=["cell", "query", "query_vec", "bound", "floor", "lists"])
+
+        asked = vectors.where(F.col("vec_id") % queries_every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vec").alias("vec"))
+        asked = work.table(asked.join(entries.select("vec", "node"), "vec").select("query_id", F.col("node").alias("query"), "vec"), "asked")
+        probes = asked.groupBy("query").agg(F.first("vec").alias("vec")).mapInArrow(probe, "cell long, query long, query_vec binary, bound double, floor double, lists array<int>")
+        probes = work.table(probes, "probes")
+        asking, placed = dealt(probes, entries, cell_of, blocks_of)
+
+        def meet(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+            none = pd.DataFrame({"query": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+            if not len(asking) or not len(held):
+                return none
+            own = index.value
+            held = held.sort_values("list", kind="stable")
+            x, lists, error = _vectors(held["vec"], dims), held["list"].to_numpy(), held["error"].to_numpy()
+            codes = np.frombuffer(b"".join(held["codes"]), np.uint8).reshape(len(x), -1)
+            q, bound, floor = _vectors(asking["query_vec"], dims), asking["bound"].to_numpy(), asking["floor"].to_numpy()
+            length = np.sqrt((q**2).sum(1))
+            tables = own.tables(q)
+            n = asking["lists"].map(len).to_numpy()
+            who, which = np.repeat(np.arange(len(q)), n), np.concatenate(asking["lists"].to_numpy())
+            order = np.argsort(which, kind="stable")
+            who, which = who[order], which[order]
+            # a score is off by about the query's length times the row's error, over the root of the dimensions
+            slack = SLACK / np.sqrt(dims) * error
+            found = []
+            for one in np.unique(lists):
+                a, b = np.searchsorted(lists, [one, one + 1])
+                i = who[slice(*np.searchsorted(which, [one, one + 1]))]
+                if not len(i):
+                    continue
+                near = np.repeat((q[i] @ own.centroids[one])[:, None], b - a, axis=1)
+                for part in range(len(tables)):
+                    near += tables[part][i][:, codes[a:b, part]]
+                tiny = 1e-9 * (np.abs(floor[i]) + length[i])
+                hit = (near + length[i][:, None] * slack[a:b] >= bound[i][:, None]) | (near >= (floor[i] - tiny)[:, None])
+                at, row = np.nonzero(hit)
+                for k_ in range(0, len(at), 65_536):
+                    some, rows_ = i[at[k_ : k_ + 65_536]], a + row[k_ : k_ + 65_536]
+                    score = (x[rows_] * q[some]).sum(1)
+                    good = score >= bound[some] - 1e-9 * (np.abs(bound[some]) + length[some])
+                    found.append((some[good], rows_[good], score[good]))
+            if not found:
+                return none
+            some, rows_, score = (np.concatenate(c) for c in zip(*found, strict=True))
+            ids = held["ids"].to_numpy()
+            copies = np.array([len(v) for v in ids])
+            every = np.concatenate(ids)
+            begin = np.cumsum(copies) - copies
+            if len(np.unique(every)) == len(every):  # no id has two vectors here, so the best entries have the best ids
+                kept = best_of(some, every[begin[rows_]], score, wanted)
+                some, rows_, score = some[kept], rows_[kept], score[kept]
+            n = copies[rows_]
+            at = np.repeat(begin[rows_] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            some, score, found_ids = np.repeat(some, n), np.repeat(score, n), every[at]
+            kept = best_of(some, found_ids, score, wanted)
+            return pd.DataFrame({"query": asking["query"].to_numpy()[some[kept]], "vec_id": found_ids[kept], "score": score[kept]})
+
+        by = ("cell", "block", "part")
+        asking = asking.select(*by, "query", "query_vec", "bound", "floor", "lists")
+        placed = placed.select(*by, "list", "vec", "ids", "codes", "error")
+        scored = asking.groupBy(*by).cogroup(placed.groupBy(*by)).applyInPandas(meet, "query long, vec_id long, score double")
+        scored = scored.groupBy("query", "vec_id").agg(F.max("score").alias("score"))
+        best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+        top = scored.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= wanted).drop("nth")
+        ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        told = asked.select("query_id", "query").join(top, "query").where("vec_id <> query_id").withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+        return materialize(told.select("query_id", "rank", "vec_id", "score"), "neighbours")
