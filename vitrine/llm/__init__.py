@@ -1,6 +1 @@
 """Operators for preparing training data. Nothing else in the library imports this subpackage."""
-
-import pyarrow as pa
-
-# in workers that live on between tasks: large batches go back to the system when they are done with
-pa.set_memory_pool(pa.system_memory_pool())

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vitrine.llm.workers import tidy
 from vitrine.sources.shared import Scratch, materialize
 
 #: The index is fitted on a hash sample of about this many distinct vectors, or all if there are fewer.
@@ -165,6 +166,7 @@ def usable(table: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, i
     if sizes["least"] != sizes["most"]:
         raise ValueError(f"vectors of {sizes['least']} and of {sizes['most']} dimensions have no inner product")
 
+    @tidy
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False)
@@ -245,6 +247,7 @@ def search(table: DataFrame, queries_every: int = 20, k: int = 20, id_col: str =
         sample = _vectors(sample["vec"], dims)[np.random.default_rng(0).permutation(len(sample))]
         index = spark.sparkContext.broadcast(fit(sample, rows, k))
 
+        @tidy
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if len(batch):
@@ -257,6 +260,7 @@ def search(table: DataFrame, queries_every: int = 20, k: int = 20, id_col: str =
             sizes[r["list"]] = r["count"]
         cell_of, blocks_of = cells(sizes)
 
+        @tidy
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for start in range(0, len(batch), BOUND_QUERIES):

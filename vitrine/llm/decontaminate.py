@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitrine.llm.tokens import runs_of, text_lengths
+from vitrine.llm.workers import tidy
 
 #: Words of a window.
 WINDOW = 5
@@ -324,6 +325,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, simi
     for index in blocks(benchmark, item_col, item_text_col, window, block_bytes):
         shared = spark.sparkContext.broadcast(index)
 
+        @tidy
         def leaks(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = shared.value
             words = Words(own.vocabulary)
@@ -343,6 +345,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, simi
     for index in blocks(benchmark, item_col, item_text_col, window, block_bytes):
         shared = spark.sparkContext.broadcast(index)
 
+        @tidy
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = shared.value
             words = Words(own.vocabulary)

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vitrine.llm.workers import tidy
+
 #: Sizes of the n-grams, in bytes of UTF-8 with ASCII letters lower-cased and other ASCII characters as one space.
 SIZES = (2, 3, 4)
 #: Buckets that the n-grams are hashed into: 2^16 for each size.
@@ -99,6 +101,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", tra
     if n > train_rows:
         rows = rows.where(F.shiftrightunsigned(F.xxhash64("text"), 32) < F.lit(int(train_rows / n * 2**32)))
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
@@ -151,6 +154,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_pred_col
             at = end
         yield text[at:]
 
+    @tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:

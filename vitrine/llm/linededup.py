@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vitrine.llm.workers import tidy
 from vitrine.sources.shared import fresh, materialize
 
 #: Bits of a slice of the filters: what one merging task holds at a time, twice.
@@ -60,6 +61,7 @@ def twice_seen(docs: DataFrame, text_col: str, size: int) -> bytes:
     second filter misses no repeated line; it may hold others. Slices travel compressed, empty ones don't.
     """
 
+    @tidy
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(size // 8, np.uint8), np.zeros(size // 8, np.uint8)
         for batch in batches:
@@ -76,6 +78,7 @@ def twice_seen(docs: DataFrame, text_col: str, size: int) -> bytes:
                 both = [zlib.compress(x[part].tobytes(), 1) for x in (once, twice)]
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x], pa.binary()) for x in both)], names=["slice", "once", "twice"])
 
+    @tidy
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, once, twice = None, None, None
 
@@ -117,6 +120,7 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int, m
     doc_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("doc", doc_type), T.StructField("line", T.LongType())])
 
+    @tidy
     def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.frombuffer(suspects.value, np.uint8)
         for batch in batches:
@@ -173,6 +177,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: s
     if total <= broadcast_bytes:
         known = spark.sparkContext.broadcast({bytes(r["key"]): (r["first_doc"], r["first_line"]) for r in repeated.toLocalIterator()})
 
+        @tidy
         def by_broadcast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = known.value
             for batch in batches:
@@ -185,6 +190,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: s
     row_at, gone_col = fresh(columns, "row_at"), fresh(columns, "gone_lines")
     numbered = materialize(docs.select(columns).withColumn(row_at, F.monotonically_increasing_id()), "rows")
 
+    @tidy
     def own_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, rows, docs_at, lines_at = [], [], [], []
@@ -204,6 +210,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: s
         gone = gone.where(~(F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("line") == F.col("first_line"))))
     lists = gone.groupBy(F.col("row_at").alias(row_at)).agg(F.collect_list("line").alias(gone_col))
 
+    @tidy
     def by_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gone_lines = batch.column(len(columns)).to_pylist()

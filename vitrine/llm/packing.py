@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitrine.llm.tokens import encoder, runs_of, text_lengths
+from vitrine.llm.workers import tidy
 from vitrine.sources.shared import materialize
 
 #: Names of the columns that number a table's pieces: the task that wrote one, and its place among that task's pieces of the same length.
@@ -59,6 +60,7 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_
     if placed:
         schema = T.StructType([*schema, T.StructField(PART, T.IntegerType(), False), T.StructField(NTH, T.LongType(), False)])
 
+    @tidy
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, places = encoder(vocabulary), Places()
         for batch in batches:
@@ -138,6 +140,7 @@ def best_fit_pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     if columns == pieces.columns:
         at = columns.index("length")
 
+        @tidy
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             places = Places()
             for batch in batches:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitrine.llm.components import components
+from vitrine.llm.workers import tidy
 from vitrine.sources.shared import Scratch, materialize
 
 BITS = 64
@@ -75,6 +76,7 @@ def majority_bits(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): each row's 64-bit SimHash over shingles of `words` words, as a signed long. Texts without a word, and nulls, have 0."""
 
+    @tidy
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints, hashes, sizes, held = [], [], [], 0
@@ -167,6 +169,7 @@ def plan_search(prints: DataFrame, radius: int) -> Plan:
         x = batch.column(0).to_numpy().view(np.uint8).reshape(-1, 8)
         return np.unpackbits(x, axis=1, bitorder="little").astype(np.float32)
 
+    @tidy
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros((BITS, BITS)), 0
         for batch in batches:
@@ -187,6 +190,7 @@ def plan_search(prints: DataFrame, radius: int) -> Plan:
     spread = np.sqrt(np.maximum(p * (1 - p), 1e-9))
     groupings = {m: group_bits((p11 - np.outer(p, p)) / np.outer(spread, spread), m) for m in PARTITIONS if m <= radius + 2}
 
+    @tidy
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = {m: np.zeros((m, radius + 2), np.int64) for m in groupings}
         for batch in batches:
@@ -262,6 +266,7 @@ def hamming_links(prints: DataFrame, radius: int, plan: Plan | None = None, buck
         x = (bits ^ (used * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xFF51AFD7ED558CCD)
         return x ^ (x >> np.uint64(32))
 
+    @tidy
     def first_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy().view(np.uint64)
@@ -272,6 +277,7 @@ def hamming_links(prints: DataFrame, radius: int, plan: Plan | None = None, buck
                     for flip in combinations(own, k):
                         yield batch_of(key_of((fp & used) ^ np.uint64(sum(flip)), used), used, np.full(len(fp), k == 0), fp, *batch.columns[1:])
 
+    @tidy
     def further_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, used, fp = (batch.column(c).to_numpy().view(np.uint64) for c in (0, 1, 3))
@@ -283,6 +289,7 @@ def hamming_links(prints: DataFrame, radius: int, plan: Plan | None = None, buck
                     more = np.uint64(sum(1 << b for b in free[k :: radius + 1]))
                     yield batch_of(key_of(fp[at] & more, key[at] ^ more), used[at] | more, home[at], fp[at], *(c.take(pa.array(at)) for c in batch.columns[4:]))
 
+    @tidy
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches come sorted by key; the last key's rows of a batch wait for the next."""
 
@@ -387,6 +394,7 @@ def common_runs(docs: DataFrame, words: int, text_col: str) -> tuple[np.ndarray,
     share = SAMPLE_ROWS / max(docs.count(), 1)
     texts = docs.select(F.col(text_col).alias("text")).where(F.shiftrightunsigned(F.xxhash64("text"), 32) < F.lit(int(min(share, 1) * 2**32))).distinct()
 
+    @tidy
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in batch.column(0):
@@ -435,7 +443,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col
     The closest copies are candidates by the pigeonhole search over the sets' SimHash fingerprints. At the limit, fingerprints differ in more bits than any such search
     can tell from chance, so a join finds all others: runs have one order (rare ones of a sample before common ones, then by hash), and sets of n runs that are similar enough share one
     of their first n - least_shared(n) + 1. Sizes and places leave few of these candidates, longer SimHash sketches (of sets that aren't small, DEVIATIONS standard deviations allowed for) fewer still,
-    and they are decided on their whole sets: first each row of a key with the next by size, then, as groups of copies are connected by
+    and they are decided on their whole sets: first each set with two of those that follow it by size under its keys, then, as groups of copies are connected by
     now, only pairs of different components. Runs and sets are told by 64-bit hashes.
 
     component_id is the smallest id reachable, text_key the text's xxhash64, and kept tells the rows of the one id and text that stay for the component. Nulls and texts without
@@ -451,6 +459,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col
     def node_of(runs: np.ndarray) -> int:
         return xxhash.xxh3_64_intdigest(runs.tobytes(), SEED) - 2**63
 
+    @tidy
     def first_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, count = common.value
         for batch in batches:
@@ -482,6 +491,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col
             told = [pa.array(np.concatenate(x)) for x in zip(*words_, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(node, pa.int64()), pa.array(sizes, pa.int32()), *told, pa.array(first, pa.binary())], names=schema.names)
 
+    @tidy
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The first runs of every set that this task didn't see before, so that copies cost one set a task."""
         seen: set[int] = set()
@@ -502,6 +512,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col
                 own = slice(k, k + HASHES)
                 yield pa.RecordBatch.from_arrays([pa.array(runs[own]), pa.array(node[own]), pa.array(n[own].astype(np.int32)), pa.array(at[own].astype(np.int32))], names=["run", "node", "n", "at"])
 
+    @tidy
     def met_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows of keys with several, once each, with the next one's node if the two may be near copies. Of a key only the last row waits for the next batch."""
         none = np.zeros(0, np.int64)
@@ -529,6 +540,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col
             yield told
         yield out(held, follows, True)[0]
 
+    @tidy
     def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs of a key's rows that lie in different components and may be near copies. Rows come sorted by key and component."""
         for x in whole_keys(batches):
@@ -545,6 +557,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
                 other[left] += 1
 
+    @tidy
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
 
@@ -590,11 +603,13 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col
         keys = prints.where("doc_id IS NOT NULL").select("node", "n", "first").mapInArrow(keys_of, "run long, node long, n int, at int")
         met = work.table(keys.repartition("run").sortWithinPartitions("run", "n", "node").mapInArrow(met_rows, "run long, node long, n int, at int, next long"), "met")
         close = hamming_links(nodes.where("least IS NOT NULL").select(F.col("fp0").alias("fp"), "node"), COPY_RADIUS, work=work)
-        next_ = met.where("next IS NOT NULL").select(F.least("node", "next").alias("a"), F.greatest("node", "next").alias("b"))
-        first = work.table(next_.unionByName(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "pairs")
+        # of the rows that follow a set under its keys, the most frequent one and one more: two pairs a set, however large its group is
+        follows = met.where("next IS NOT NULL").groupBy("node", "next").count().groupBy("node").agg(F.max_by("next", "count").alias("most"), F.min("next").alias("least"))
+        next_ = follows.select("node", F.explode(F.array_distinct(F.array("most", "least"))).alias("next"))
+        pairs = next_.select(F.least("node", "next").alias("a"), F.greatest("node", "next").alias("b")).unionByName(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        first = work.table(pairs.distinct(), "pairs")
         links = decided(first, work)
-        placed = met.join(components(links, work), "node", "left").select("run", "node", "n", "at", F.coalesce("root", "node").alias("root"))
-        placed = work.table(placed, "placed")
+        placed = work.table(met.join(components(links, work), "node", "left").select("run", "node", "n", "at", F.coalesce("root", "node").alias("root")), "placed")
         split = placed.groupBy("run").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("run")
         crossed = placed.join(split, "run", "left_semi").repartition("run").sortWithinPartitions("run", "root", "node").mapInArrow(crossing, "a long, b long").distinct()
         more = decided(work.table(crossed.join(first, ["a", "b"], "left_anti"), "pairs"), work)

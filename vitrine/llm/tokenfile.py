@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from vitrine.llm.packing import ENCODE_CHARS
 from vitrine.llm.tokens import encoder, runs_of, text_lengths
+from vitrine.llm.workers import tidy
 
 #: Ids of a block; a longer document is cut into blocks of its own.
 BLOCK_IDS = 65_536
@@ -70,6 +71,7 @@ def write_token_file(docs: DataFrame, path: str, vocabulary: str, end_id: int =
     text; an empty table gives a table without blocks. Tasks hold one block of ids, or one document.
     """
 
+    @tidy
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
         width = max(encode.tokenizer.get_vocab_size(with_added_tokens=True) - 1, end_id).bit_length()
@@ -104,7 +106,7 @@ def write_token_file(docs: DataFrame, path: str, vocabulary: str, end_id: int =
 
     spark_schema = T.StructType.fromDDL(BLOCKS)
     schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first_id", pa.int64()), ("n_ids", pa.int32()), ("width", pa.int32()), ("payload", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("doc_starts", pa.list_(pa.int32())), ("cut", pa.int32())])
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     ordered.mapInArrow(blocks, spark_schema).write.option("compression", "zstd").parquet(path)
 
 
@@ -129,6 +131,7 @@ def read_documents(spark: SparkSession, path: str, emit: str = "ids") -> DataFra
     last = "ids array<int>" if emit == "ids" else "ids_crc32 long"
     schema = f"doc_id long, start long, n_tokens long, {last}"
 
+    @tidy
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -141,6 +144,7 @@ def read_documents(spark: SparkSession, path: str, emit: str = "ids") -> DataFra
                     values = pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts, starts[1:])], pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(row["start"] + starts[:-1]), pa.array(np.diff(starts)), values], names=["doc_id", "start", "n_tokens", "ids" if emit == "ids" else "ids_crc32"])
 
+    @tidy
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row(doc_id, start, n, value) -> pa.RecordBatch:
             value = pa.array([np.concatenate(value).astype("i4")], pa.list_(pa.int32())) if emit == "ids" else pa.array([value], pa.int64())
@@ -167,6 +171,7 @@ def read_ids(spark: SparkSession, path: str, begin: int, end: int) -> DataFrame:
     """Random access: (block start, ids) slices that make up ids `begin` to `end` of the file; other blocks are skipped."""
     blocks = read_blocks(spark, path).where((F.col("start") < end) & (F.col("start") + F.col("n_ids") > begin))
 
+    @tidy
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.to_pylist():

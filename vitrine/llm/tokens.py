@@ -17,7 +17,7 @@ WHITE = "\t-\r \x85\xa0  -     　"
 LATIN = "A-Za-zÀ-ÖØ-öø-įıĲ-ɏ"
 
 #: Words a worker remembers in each of two generations (about 150 bytes each).
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 
 def byte_letters() -> dict[int, str]:
