@@ -2,9 +2,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
+import time
 import zlib
 from collections import defaultdict
 
+import xxhash
 from pyspark.sql import functions as F
 
 from vitrine.llm.secrets import RULES, scan_blobs, secret_findings, spans_text
@@ -61,6 +64,43 @@ def test_ledger_scans_only_what_is_new(spark, none):
     assert secret_findings(none).count() == 0
 
 
+def test_second_pass_scans_nothing(spark, tmp_path):
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(TEXTS)], "doc_id long, text string")
+    ledger = scan_blobs(docs)
+    path = str(tmp_path / "ledger")
+    ledger.write.parquet(path)
+    known = spark.read.parquet(path)
+    assert sorted(map(str, scan_blobs(docs, ledger=known).collect())) == sorted(map(str, known.collect()))
+    assert scan_blobs(docs.withColumn("text", F.raise_error(F.lit("read"))).limit(0), ledger=known).count() == known.count()
+
+
+def test_a_hundred_thousand_secrets_in_one_text(spark):
+    text = "token=abcdefgh1 " * 100_000
+    began = time.perf_counter()
+    spans = secret_findings(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().spans
+    assert time.perf_counter() - began < 60
+    assert len(spans) == 100_000 and all((s.start, s.end) == (16 * k, 16 * k + 15) for k, s in enumerate(spans))
+
+
+def jump(key: int, shards: int) -> int:
+    """Jump consistent hashing as published, with Spark's 64-bit hash of (jump, key) as the random numbers."""
+    at, ahead, k = -1, 0, 0
+    while ahead < shards:
+        at = ahead
+        h = xxhash.xxh64_intdigest(struct.pack("<q", key), xxhash.xxh64_intdigest(struct.pack("<i", k), 42))
+        ahead = int((at + 1) * ((1 << 31) / ((h >> 33) + 1)))
+        k += 1
+    return at
+
+
+def test_jump_shards_are_those_of_the_published_loop(spark):
+    keys = [*range(2_000), -1, 2**62, -(2**63)]
+    df = spark.createDataFrame([(k,) for k in keys], "id long")
+    for n in (1, 5, 24):
+        got = {r.id: tuple(r.at) for r in df.select("id", jump_shards(F.col("id"), n).alias("at")).collect()}
+        assert got == {k: (jump(k, n), jump(k, n + 1)) for k in keys}
+
+
 def test_sharding(spark, docs, none):
     source = sorted(((r.doc_id or -1) if r.doc_id != 0 else 0, r.text) for r in docs.collect())
     rows = shard_documents(docs, shards=24).collect()

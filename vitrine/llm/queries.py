@@ -12,12 +12,12 @@ from vitrine.llm.decontaminate import find_leaks
 from vitrine.llm.langid import fit, held_out, predict
 from vitrine.llm.linededup import dedup_lines
 from vitrine.llm.packing import pack_documents
-from vitrine.llm.secrets import RULES, secret_findings, spans_text
+from vitrine.llm.secrets import RULES, scan_blobs, secret_findings, spans_text
 from vitrine.llm.sharding import shard_documents
 from vitrine.llm.simhash import near_duplicates
 from vitrine.llm.tokenfile import read_documents, write_token_file
 from vitrine.llm.warc import read_records, write_warc
-from vitrine.sources.shared import shared_path, table
+from vitrine.sources.shared import materialize, shared_path, table
 
 
 def vocabulary(name: str) -> str:
@@ -73,8 +73,10 @@ def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets in every document."""
-    found = secret_findings(table(spark, sf_dir, "documents"))
+    """Secrets in every document, by a ledger that a first pass fills; the pass that tells the findings scans what that one didn't see."""
+    docs = table(spark, sf_dir, "documents")
+    ledger = materialize(scan_blobs(docs), "ledger")
+    found = secret_findings(docs, ledger=ledger)
     kinds = F.transform("spans", lambda s: s["kind"])
     counts = [F.size(F.array_compact(F.transform(kinds, _only(k)))).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(RULES)]
     return found.select("doc_id", *counts, spans_text(F.col("spans")).alias("spans")).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
@@ -113,14 +115,14 @@ def oracle_sql() -> dict[str, str]:
 
 
 OP3_SQL = r"""
-WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-lines AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM split),
+WITH split AS (SELECT row_number() OVER () AS nr, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (SELECT nr, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM split),
 keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
-repeated AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+repeated AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT nr) >= 10),
 marked AS (SELECT k.*, r.key IS NOT NULL AS gone FROM keyed k LEFT JOIN repeated r ON k.key = r.key)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
     sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id"""
+FROM marked GROUP BY nr, doc_id"""
 
 OP4_SQL = """
 WITH payloads AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),

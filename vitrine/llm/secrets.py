@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.sources.shared import materialize
@@ -30,45 +30,57 @@ RULES = (
 RULES_VERSION = "base-1"
 
 
-def rule_spans(text: Column, rule: Rule, order: int) -> Column:
-    """array<struct<start, kind, end>> of the rule's matches in `text`, in code points, end exclusive.
+NO_SPANS = "array<struct<start:int,kind:int,end:int>>"
 
-    Splitting by the pattern gives what lies between the matches; running lengths give their places.
+
+def rule_matches(text: Column, rule: Rule, order: int) -> Column:
+    """array<struct<kind, gap, size, counted>>: what lies between the rule's matches in `text`, and their sizes, in code points; null without a match.
+
+    Splitting by the pattern gives the gaps; the one after the last match has no size.
     """
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     pattern = F.lit(rule.pattern)
     found = F.arrays_zip(
         F.transform(F.split(text, rule.pattern, -1), F.char_length).alias("gap"),
         F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.char_length).alias("size"),
         F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.char_length).alias("counted"),
     )
+    told = F.transform(found, lambda x: F.struct(F.lit(order).alias("kind"), x["gap"].alias("gap"), x["size"].alias("size"), x["counted"].alias("counted")))
+    return F.when(F.rlike(text, pattern), told)
 
-    def step(done: Column, x: Column) -> Column:
-        start = done["at"] + x["gap"]
-        end = start + x["size"]
-        span = F.struct(start.alias("start"), F.lit(order).alias("kind"), end.alias("end"))
-        kept = F.when(x["counted"] >= rule.least, F.concat(done["spans"], F.array(span))).otherwise(done["spans"])
-        return F.struct(F.coalesce(end, start).alias("at"), kept.alias("spans"))
 
-    begin = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-    return F.when(F.rlike(text, pattern), F.aggregate(found, begin, step)["spans"]).otherwise(empty)
+def spans_of(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, spans) for every row of `blobs` (blob, text; blobs are distinct): structs (start, kind, end) by start, then by the rule's place.
+
+    Matches become rows, whose places are running sums of gaps and sizes by blob and rule, so the work grows with the matches and not with their square.
+    """
+    none = F.array().cast("array<struct<kind:int,gap:int,size:int,counted:int>>")
+    matches = F.concat(*(F.coalesce(rule_matches(F.col("text"), r, k), none) for k, r in enumerate(rules)))
+    rows = blobs.select("blob", F.posexplode_outer(matches).alias("nth", "match")).select("blob", "nth", "match.*")
+    so_far = Window.partitionBy("blob", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumn("end", F.sum(F.col("gap") + F.coalesce("size", F.lit(0))).over(so_far).cast("int"))
+    least = F.element_at(F.array(*(F.lit(r.least) for r in rules)), F.col("kind") + 1)
+    span = F.when(F.col("counted") >= least, F.struct((F.col("end") - F.col("size")).alias("start"), "kind", "end"))
+    return placed.groupBy("blob").agg(F.array_sort(F.collect_list(span)).cast(NO_SPANS).alias("spans"))
 
 
 def scan_blobs(docs: DataFrame, text_col: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, version: str = RULES_VERSION) -> DataFrame:
     """The ledger after `docs`: a row (blob, version, spans) for each distinct text and rule version.
 
     blob is the text's SHA-256; spans holds structs (start, kind, end) sorted by start and then by the
-    rule's place in `rules`. Only blobs that `ledger` doesn't have under `version` are scanned; its rows are
-    kept. Copies are merged before the shuffle, so a text that many rows share costs one row a task.
-    A null text is the empty blob; it is scanned like others and has no spans.
+    rule's place in `rules`. Digests alone meet `ledger`; only the texts of those that it doesn't have under `version` are brought together by blob and
+    scanned, and if there are none no text is read. The ledger's rows are kept. Copies are merged before the shuffle, so a text that many rows share costs one row a task.
+    A null text is the empty blob; it is scanned like others and has no spans. A text of any number of matches takes time in proportion.
     """
+    spark = docs.sparkSession
+    ledger = spark.createDataFrame([], f"blob string, version string, spans {NO_SPANS}") if ledger is None else ledger.select("blob", "version", "spans")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    blobs = docs.select(F.sha2(text, 256).alias("blob"), text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
-    if ledger is not None:
-        blobs = blobs.join(ledger.where(F.col("version") == version).select("blob"), "blob", "left_anti")
-    spans = F.array_sort(F.concat(*(rule_spans(F.col("text"), r, k) for k, r in enumerate(rules))))
-    scanned = blobs.select("blob", F.lit(version).alias("version"), spans.alias("spans"))
-    return scanned if ledger is None else ledger.select("blob", "version", "spans").unionByName(scanned)
+    digests = docs.select(F.sha2(text, 256).alias("blob")).distinct()
+    unseen = materialize(digests.join(ledger.where(F.col("version") == version).select("blob"), "blob", "left_anti"), "unseen")
+    if unseen.isEmpty():
+        return ledger
+    texts = docs.select(F.sha2(text, 256).alias("blob"), text.alias("text")).join(unseen, "blob", "left_semi")
+    blobs = texts.groupBy("blob").agg(F.first("text").alias("text"))
+    return ledger.unionByName(spans_of(blobs, rules).select("blob", F.lit(version).alias("version"), "spans"))
 
 
 def secret_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, version: str = RULES_VERSION) -> DataFrame:
@@ -81,7 +93,7 @@ def secret_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = materialize(scan_blobs(docs, text_col, ledger, rules, version), "ledger")
     found = known.where((F.col("version") == version) & (F.size("spans") > 0)).select("blob", "spans")
     versions = docs.select(F.col(id_col).alias("doc_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("blob"))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    none = F.array().cast(NO_SPANS)
     return versions.join(found, "blob", "left").select("doc_id", "blob", F.coalesce("spans", none).alias("spans"))
 
 
