@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from vitrine.llm import langid
@@ -133,3 +135,30 @@ def test_a_bounded_sample_still_tells(labelled):
     model = langid.fit(labelled, train_rows=60)
     told = langid.predict(labelled, model).where("lang IS NOT NULL AND doc_id < 1000").collect()
     assert sum(r.lang == r.lang_pred for r in told) >= 0.95 * len(told)
+
+
+def test_fit_counts_what_plain_python_counts(spark):
+    """The fitted table against n-grams counted by hand from the text, without the module's own folding, hashing or sums."""
+    rows = [("en", "The river, THE stone!"), ("de", "Der Fluß 42 und  das"), ("en", "a house"), ("de", "über"), ("fr", None), (None, "the"), ("fr", "12 34"), ("fr", "où est\n\tl'été")]
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string").repartition(3))
+    languages = ("de", "en", "fr")
+    assert model.languages == languages
+    counts = {(n, lang): {} for n in (2, 3, 4) for lang in languages}
+    docs = dict.fromkeys(languages, 0)
+    for lang, text in rows:
+        if not lang or not text or not any(c.isalpha() for c in text):
+            continue
+        docs[lang] += 1
+        raw = re.sub(rb"[\x00-@\[-`{-\x7f]+", b" ", b" " + text.encode() + b" ").lower()
+        for n in (2, 3, 4):
+            for k in range(len(raw) - n + 1):
+                bucket = (int.from_bytes(raw[k : k + n], "little") * 2654435761 % 2**32) // 2**16
+                own = counts[n, lang]
+                own[bucket] = own.get(bucket, 0) + 1
+    for at, n in enumerate((2, 3, 4)):
+        total = {lang: sum(counts[n, lang].values()) + 0.5 * 2**16 for lang in languages}
+        for bucket in {b for lang in languages for b in counts[n, lang]} | {0, 77}:
+            p = [math.log((counts[n, lang].get(bucket, 0) + 0.5) / total[lang]) for lang in languages]
+            want = [x - sum(p) / 3 for x in p]
+            assert np.allclose(model.log_p[at, bucket], want, atol=1e-5)
+    assert np.allclose(model.prior, [math.log((docs[lang] + 1) / (sum(docs.values()) + 3)) for lang in languages])

@@ -10,7 +10,7 @@ import pytest
 from vitrine.llm import ann
 from vitrine.llm.ann import search, usable
 from vitrine.llm.decontaminate import drop_leaks, find_leaks
-from vitrine.llm.warc import END, VERSION, cuts, read_chunks, read_records, write_warc
+from vitrine.llm.warc import END, VERSION, _Writer, read_chunks, read_records, write_warc
 from vitrine.sources.shared import shared_path
 
 # archives
@@ -70,15 +70,39 @@ def test_archives_of_nothing_and_repeats(spark):
         assert got == [(i, "response" if i == 1 else "revisit", None if i == 1 else 1) for i, _, _ in rows]
 
 
-def test_cuts_cover_and_split_separators():
+def test_slices_become_chunks_that_split_separators():
     rng = random.Random(4)
     for _ in range(300):
         payload = b"".join(rng.choice([b"a", "é".encode(), "😀".encode(), END, VERSION, b"\r\n"]) for _ in range(rng.randint(0, 30)))
-        spans = list(cuts(payload, rng.randint(4, 40)))
-        assert b"".join(payload[a:b] for a, b in spans) == payload
-        for a, b in spans:
-            assert END + VERSION not in payload[a:b] and not payload[a:b].startswith(VERSION)
-            payload[a:b].decode()
+        most, step = rng.randint(4, 40), rng.randint(1, 50)
+        writer = _Writer({"WARC-Record-ID": "<urn:page:1>", "WARC-Payload-Length": len(payload)}, most)
+        slices = [payload[k : k + step] for k in range(0, len(payload), step)] or [b""]
+        records = [r for k, x in enumerate(slices) for r in writer.feed(x, k == len(slices) - 1)]
+        bodies = [r.partition(END)[2] for r in records]
+        bodies[0] = bodies[0].partition(END)[2]
+        assert b"".join(bodies) == payload
+        for k, x in enumerate(bodies):
+            assert END + VERSION not in x and not x.startswith(VERSION) and len(x) <= most
+            x.decode()
+            assert (b"WARC-Segment-Number" in records[k]) == (len(bodies) > 1)
+
+
+def test_a_long_payload_passes_in_pieces(spark):
+    """Twenty megabytes: the writer holds two chunks and a slice at most, and what is read back is whole."""
+    text = "".join(random.Random(1).choices("abcdefgh é\n", k=1 << 20)) * 20
+    most, held = 1 << 15, 0
+    raw = text.encode()
+    writer = _Writer({"WARC-Record-ID": "<urn:page:1>", "WARC-Payload-Length": len(raw)}, most)
+    for k in range(0, len(raw), most):
+        for record in writer.feed(raw[k : k + most], k + most >= len(raw)):
+            assert len(record) < most + 1000
+        held = max(held, len(writer.held) + len(writer.waiting or b""))
+    assert held <= 3 * most
+    path = shared_path(spark, "w")
+    write_warc(spark.createDataFrame([(1, "u", text), (2, "u", "short")], "page_id long, url string, html string"), path)
+    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in read_records(spark, path).collect()}
+    assert got[1] == (len(raw), hashlib.sha256(raw).hexdigest())
+    assert read_chunks(spark, path).where("page_id = 1").count() > 600
 
 
 # benchmark leaks
@@ -140,6 +164,39 @@ def test_leaks_with_a_word_exchanged_and_short_items(spark):
     assert {r.doc_id for r in drop_leaks(docs, bench).collect()} == {60, 61, 72, 74}
 
 
+def brute_leak(doc: list[str], item: list[str]) -> bool:
+    """Whether a document of plain words has enough of an item of five words or more, by trying all places."""
+    windows = [item[k : k + 5] for k in range(len(item) - 4)]
+    has = lambda w: any(doc[k : k + 5] == w for k in range(len(doc) - 4))
+    places = [k for k, w in enumerate(windows) if has(w)]
+    tokens = {t for k in places for t in range(k, k + 5)}
+    shifted = max((sum(0 <= s + k < len(doc) and doc[s + k] == w for k, w in enumerate(item)) for s in range(-len(item), len(doc))), default=0)
+    return len(places) >= 0.8 * len(windows) or len(tokens) >= 0.8 * len(item) or bool(places) and shifted >= 0.9 * len(item)
+
+
+def test_leaks_against_brute_force(spark):
+    """Random plain words with exchanged, dropped, added and moved parts of items: what is found is what trying all places finds."""
+    rng = random.Random(21)
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(400)]
+    items = [rng.sample(words, rng.randint(5, 45)) for _ in range(25)]
+    docs = []
+    for k in range(400):
+        item = list(items[k % 25])
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(item))
+            item[at : at + rng.randint(0, 2)] = rng.choices(words, k=rng.randint(0, 2))
+            item = item or ["x"]
+        if rng.random() < 0.3:
+            item = item[: rng.randint(1, len(item))]
+        docs.append(rng.choices(words, k=rng.randint(0, 30)) + item + rng.choices(words, k=rng.randint(0, 30)))
+    df = spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
+    want = sorted((d, i) for d, doc in enumerate(docs) for i, item in enumerate(items) if brute_leak(doc, item))
+    assert 100 < len(want) < 400
+    for block_bytes in (1 << 20, 1500):
+        assert sorted((r.doc_id, r.item_id) for r in find_leaks(df, bench, block_bytes=block_bytes).collect()) == want
+
+
 # neighbours
 
 
