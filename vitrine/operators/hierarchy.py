@@ -9,44 +9,47 @@ from vitrine.functions.paths import ancestors, basename, is_under, parent
 from vitrine.operators.numbering import numbered
 from vitrine.sources.shared import materialize
 
-#: Levels below a node that are followed; a loop of parents ends there.
+#: Levels below a folder that a search criterion follows; other recursion has no limit.
 DEPTH = 50
-#: Rounds of doubling that reach DEPTH levels and more.
-ROUNDS = 6
 
 
-def subtree(nodes: DataFrame, root: int, depth: int = DEPTH) -> DataFrame:
-    """(id) of `root`, if it is a row, and all below it."""
-    return nodes.sparkSession.sql(
-        f"""WITH RECURSIVE below(id, depth) MAX RECURSION LEVEL {depth + 2} AS (
-            SELECT id, 0 FROM {{nodes}} WHERE id = :root
-            UNION ALL
-            SELECT n.id, b.depth + 1 FROM {{nodes}} n JOIN below b ON n.parent_id = b.id WHERE b.depth < {depth})
-        SELECT DISTINCT id FROM below""",
-        args={"root": root},
-        nodes=nodes.select("id", "parent_id"),
-    )
+def subtree(nodes: DataFrame, root: int, depth: int | None = None) -> DataFrame:
+    """(id) of `root`, if it is a row, and all below it, or `depth` levels of that.
 
-
-def closure(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    Level by level: the children of the last level's nodes that weren't met before, so a loop of parents ends. Levels are written to the shared
+    folder, and the driver only learns whether one is empty.
+    """
+    nodes = nodes.select("id", "parent_id")
+    level = seen = materialize(nodes.where(F.col("id") == root).select("id").distinct(), "level")
+    at = 0
+    while (depth is None or at < depth) and not level.isEmpty():
+        below = nodes.join(level.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("id").distinct()
+        level = materialize(below.join(seen, "id", "left_anti"), "level")
+        seen = seen.unionByName(level)
+        at += 1
+    return seen
+
+
+def closure(nodes: DataFrame) -> DataFrame:
     """(id, ancestor, distance): every node with itself and all above it, by doubling.
 
-    Round k joins each node's place 2^k levels up with what that place reaches, so six rounds follow 63 levels; a round that finds
-    no more ends it. Rounds are written to the shared folder. A loop of parents gives each pair with its least distance. Parents that aren't rows end a way.
+    Round k joins each node's place 2^k levels up with what that place reaches, so n rounds follow 2^n - 1 levels; when no node has one so
+    far up, or the levels are as many as the nodes, all is found. Rounds are written to the shared folder. A loop of parents gives each pair with its least distance. Parents that aren't rows end a way.
     """
     nodes = materialize(nodes.select("id", "parent_id"), "nodes")
     up = nodes.join(nodes.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("id", F.col("parent_id").alias("to"))
     reach = nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance"))
-    for k in range(rounds):
+    for k in range(nodes.count().bit_length()):
         if up.isEmpty():
             break
         above = reach.select(F.col("id").alias("to"), "ancestor", (F.col("distance") + 2**k).alias("distance"))
-        reach = materialize(reach.unionByName(up.join(above, "to").select("id", "ancestor", "distance")), "reach")
-        up = materialize(up.join(up.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to")), "up")
-    return reach.groupBy("id", "ancestor").agg(F.min("distance").alias("distance"))
+        more = reach.unionByName(up.join(above, "to").select("id", "ancestor", "distance"))
+        reach = materialize(more.groupBy("id", "ancestor").agg(F.min("distance").alias("distance")), "reach")  # a loop would come again each round
+        up = materialize(up.join(up.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to")).distinct(), "up")
+    return reach
 
 
-def tree_rows(nodes: DataFrame, order: list[str], depth: int = DEPTH) -> DataFrame:
+def tree_rows(nodes: DataFrame, order: list[str], depth: int | None = None) -> DataFrame:
     """(id, depth, place): the tree depth first, siblings in the order of the columns `order`, then id.
 
     Nodes whose parent isn't a row are roots. Each node's way from the root, as its place among its siblings at every level, sorts the whole.
@@ -57,7 +60,7 @@ def tree_rows(nodes: DataFrame, order: list[str], depth: int = DEPTH) -> DataFra
     placed = materialize(own.select("id", "parent_id", F.format_string("%012d", sibling).alias("own")), "siblings")
     ways = closure(placed).join(placed.select(F.col("id").alias("ancestor"), "own"), "ancestor")
     way = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("up"), "own"))), lambda x: x["own"]), "/")
-    told = ways.groupBy("id").agg(F.max("distance").alias("depth"), way.alias("way")).where(F.col("depth") <= depth)
+    told = ways.groupBy("id").agg(F.max("distance").alias("depth"), way.alias("way")).where(F.lit(True) if depth is None else F.col("depth") <= depth)
     return numbered(told, ["way"]).select("id", "depth", "place")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vitrine.functions.text import like_nocase, plain_text, rfc3339_text, trigram_contains
-from vitrine.operators.hierarchy import subtree
+from vitrine.operators.hierarchy import DEPTH, subtree
 from vitrine.sources.catalog import Catalog
 
 
@@ -184,7 +184,7 @@ def _on_folder(catalog: Catalog, operator: str, value: Any) -> Column:
         case "is":
             return F.col("folder_id") == whole(value)
         case "in":
-            return F.coalesce(F.col("folder_id").isin(subtree(catalog.folders, whole(value))), F.lit(False))
+            return F.coalesce(F.col("folder_id").isin(subtree(catalog.folders, whole(value), depth=DEPTH)), F.lit(False))
     return F.lit(True)
 
 
