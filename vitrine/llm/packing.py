@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitrine.llm.tokens import encoder, runs_of, text_lengths
+from vitrine.llm.tokens import CACHE_WORDS, encoder, runs_of, text_lengths
 from vitrine.llm.workers import tidy
 from vitrine.sources.shared import materialize
 
@@ -48,12 +48,13 @@ class Places:
         return pa.array(np.full(len(lengths), self.part, np.int32)), pa.array(nth)
 
 
-def tokenize_pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, emit: str = "ids", id_col: str = "doc_id", text_col: str = "text", placed: bool = False) -> DataFrame:
+def tokenize_pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, emit: str = "ids", id_col: str = "doc_id", text_col: str = "text", placed: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Each document's ids with `end_id`, cut into pieces of at most `capacity`.
 
     Returns doc_id, piece, start, length and, by `emit`, ids (array<int>) or ids_crc32 (of the ids as
     little-endian unsigned 32-bit integers). A null or empty text has the end id alone; a null id
     stays null; repeated rows are pieces of their own; other columns are left out. With `placed`, PART and NTH are there too.
+    A worker remembers up to twice `cache_words` words.
     """
     payload = T.StructField("ids", T.ArrayType(T.IntegerType(), False), False) if emit == "ids" else T.StructField("ids_crc32", T.LongType(), False)
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("piece", T.IntegerType(), False), T.StructField("start", T.LongType(), False), T.StructField("length", T.LongType(), False), payload])
@@ -62,7 +63,7 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_
 
     @tidy
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, places = encoder(vocabulary), Places()
+        encode, places = encoder(vocabulary, cache_words), Places()
         for batch in batches:
             for part in runs_of(text_lengths(batch.column(1)), ENCODE_CHARS):
                 rows, kept, held = [], [], []
@@ -161,6 +162,6 @@ def best_fit_pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     return ranked.join(F.broadcast(plan), slot).select(*columns, (F.col("first_sequence") + F.col("rank") - F.col("first_rank")).alias("sequence_id"), F.col("slot_offset").alias("offset"))
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, emit: str = "ids", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, emit: str = "ids", id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
     """Tokenise, cut and pack `docs`: tokenize_pieces' columns with sequence_id and offset."""
-    return best_fit_pack(materialize(tokenize_pieces(docs, vocabulary, capacity, end_id, emit, id_col, text_col, placed=True), "pieces"), capacity)
+    return best_fit_pack(materialize(tokenize_pieces(docs, vocabulary, capacity, end_id, emit, id_col, text_col, placed=True, cache_words=cache_words), "pieces"), capacity)

@@ -19,6 +19,9 @@ from vitrine.llm.tokenfile import read_documents, write_token_file
 from vitrine.llm.warc import read_records, write_warc
 from vitrine.sources.shared import materialize, shared_path, table
 
+#: Words that a worker remembers in each of two generations where encoding is all that it does.
+ALONE_WORDS = 300_000
+
 
 def vocabulary(name: str) -> str:
     """A public tokenizer's file; executors have it at the same place."""
@@ -35,7 +38,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces packed into sequences of 1024 tokens."""
-    return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=2, emit="crc32")
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=2, emit="crc32", cache_words=ALONE_WORDS)
 
 
 def _only(kind: int) -> Callable[[Column], Column]:
@@ -68,7 +71,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written in bit-packed blocks and read back."""
     path = shared_path(spark, "tokens")
-    write_token_file(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), end_id=2)
+    write_token_file(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), end_id=2, cache_words=ALONE_WORDS)
     return read_documents(spark, path, emit="crc32")
 
 

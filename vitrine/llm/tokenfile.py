@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitrine.llm.packing import ENCODE_CHARS
-from vitrine.llm.tokens import encoder, runs_of, text_lengths
+from vitrine.llm.tokens import CACHE_WORDS, encoder, runs_of, text_lengths
 from vitrine.llm.workers import tidy
 
 #: Ids of a block; a longer document is cut into blocks of its own.
@@ -63,17 +63,18 @@ def unpack_bits(payload: bytes, width: int, n: int) -> np.ndarray:
     return ids.reshape(-1)[:n]
 
 
-def write_token_file(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, block_ids: int = BLOCK_IDS, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_token_file(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, block_ids: int = BLOCK_IDS, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS) -> None:
     """Encode `docs` and write their ids, each document's followed by `end_id`, in ascending order of id.
 
     The width is the number of bits of the largest id of the vocabulary or `end_id`. A null or empty text
     has the end id alone; documents of a null id come first; those of the same id are ordered by a hash of the
-    text; an empty table gives a table without blocks. Tasks hold one block of ids, or one document.
+    text; an empty table gives a table without blocks. Tasks hold one block of ids, or one document, and up to twice
+    `cache_words` words with their ids.
     """
 
     @tidy
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, cache_words)
         width = max(encode.tokenizer.get_vocab_size(with_added_tokens=True) - 1, end_id).bit_length()
         part, rows, done = TaskContext.get().partitionId(), 0, 0
         doc_ids, doc_starts, held, held_ids = [], [], [], 0

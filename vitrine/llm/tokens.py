@@ -100,9 +100,9 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(vocabulary: str) -> WordEncoder:
+def encoder(vocabulary: str, cache_words: int = CACHE_WORDS) -> WordEncoder:
     """One for each file and worker; later tasks of the worker find the words that are known."""
-    return WordEncoder(vocabulary)
+    return WordEncoder(vocabulary, cache_words)
 
 
 def text_lengths(texts: pa.Array) -> list[int]:
