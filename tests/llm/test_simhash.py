@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from vitrine.llm.simhash import Plan, allocate, hamming_links, majority_bits, near_copies, near_duplicates, plan_search, shingle_hashes, sketch_distance
+from vitrine.llm.simhash import Plan, allocate, hamming_links, majority_bits, near_copies, near_duplicates, parities, plan_search, shingle_hashes, sketch_distance
 from vitrine.llm.components import components
 
 
@@ -160,5 +160,19 @@ def test_near_copies_are_all_that_brute_force_finds(spark, docs):
         if i is not None:
             least[top(k)] = min(i, least.get(top(k), i))
     want = sorted((i, least[top(k)]) for k, (i, _) in enumerate(rows) if i is not None)
-    got = near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
-    assert sorted((r.doc_id, r.component_id) for r in got.collect() if r.doc_id is not None) == want
+    given = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for got in (near_copies(given), near_copies(given, bucket_rows=3)):
+        assert sorted((r.doc_id, r.component_id) for r in got.collect() if r.doc_id is not None) == want
+
+
+def test_parities_differ_in_no_more_bits_than_sets_in_hashes():
+    rng = np.random.default_rng(3)
+    shared = rng.integers(0, 2**64, 400, np.uint64)
+    sets = [np.zeros(0, np.uint64), *(np.unique(np.concatenate([shared[:k], rng.integers(0, 2**64, k // 3, np.uint64)])) for k in (0, 1, 5, 60, 90, 300, 400)), shared[:0]]
+    sizes = np.array([len(x) for x in sets])
+    told = np.array(parities(np.concatenate(sets), sizes)).view(np.uint64)
+    for a, b in combinations(range(len(sets)), 2):
+        apart = int(np.bitwise_count(told[:, a] ^ told[:, b]).sum())
+        differ = len(np.setxor1d(sets[a], sets[b]))
+        assert apart <= differ and (apart - differ) % 2 == 0
+    assert not told[:, 0].any() and not told[:, -1].any() and not np.any(parities(sets[0], sizes[:0]))

@@ -10,7 +10,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,8 @@ SPLIT_RADIUS = 4
 SAMPLE_ROWS, COMMON_RUNS = 4_000, 100_000
 #: 64-bit words of the sketch that spares most candidates a comparison, the standard deviations that it allows for, and the runs under which a set isn't judged by it.
 SKETCH_WORDS, DEVIATIONS, LEAST_SKETCHED = 2, 5.0, 64
+#: 64-bit words of the parities that tell how many runs two sets differ in at least.
+PARITY_WORDS = 8
 #: Bits of 64 within which the pigeonhole search finds the closest copies.
 COPY_RADIUS = 3
 
@@ -416,6 +418,26 @@ def sketches(hashes: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def parities(hashes: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """PARITY_WORDS words for each run of `hashes`: every hash has one bit, and a bit is set if an odd number of hashes has it.
+
+    A run that only one of two sets has changes one bit, so two sets differ in at least as many runs as their parities in bits.
+    """
+    starts = np.cumsum(sizes) - sizes
+    bits = np.append(np.uint64(1) << (hashes & np.uint64(63)), np.uint64(0))
+    word = np.append((hashes >> np.uint64(6)) % np.uint64(PARITY_WORDS), np.uint64(PARITY_WORDS))
+    out = []
+    for k in range(PARITY_WORDS):
+        found = np.bitwise_xor.reduceat(np.where(word == k, bits, np.uint64(0)), starts) if len(starts) else np.zeros(0, np.uint64)
+        out.append(np.where(sizes > 0, found, np.uint64(0)).view(np.int64))
+    return out
+
+
+def most_apart(n_a: np.ndarray, n_b: np.ndarray, similarity: float) -> np.ndarray:
+    """The most runs that sets of these sizes may differ in, to have the similarity."""
+    return n_a + n_b - 2 * np.ceil(similarity / (1 + similarity) * (n_a + n_b) - 1e-9)
+
+
 def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Tables of whole keys (column run), from batches sorted by key: the last key's rows of a batch wait for the next."""
     held: list[pa.Table] = []
@@ -437,14 +459,14 @@ def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.concat_tables(held)
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(doc_id, text_key, component_id, kept) for every row of `docs`: texts whose sets of runs of `words` words have this Jaccard similarity or more are linked.
 
     The closest copies are candidates by the pigeonhole search over the sets' SimHash fingerprints. At the limit, fingerprints differ in more bits than any such search
     can tell from chance, so a join finds all others: runs have one order (rare ones of a sample before common ones, then by hash), and sets of n runs that are similar enough share one
-    of their first n - least_shared(n) + 1. Sizes and places leave few of these candidates, longer SimHash sketches (of sets that aren't small, DEVIATIONS standard deviations allowed for) fewer still,
-    and they are decided on their whole sets: first each set with two of those that follow it by size under its keys, then, as groups of copies are connected by
-    now, only pairs of different components. Runs and sets are told by 64-bit hashes.
+    of their first n - least_shared(n) + 1. Sizes and places leave few of these candidates; parities, which never tell too much of a difference, and longer SimHash sketches (of sets that aren't small,
+    DEVIATIONS standard deviations allowed for) leave hardly any others than near copies, before a pair is a row. These are decided on their whole sets: first each set with two of those that
+    follow it by size under its keys, then, as groups of copies are connected by now, only pairs of different components. A run with over `bucket_rows` sets is dealt into pairs of blocks, so no task holds more than a few blocks. Runs and sets are told by 64-bit hashes.
 
     component_id is the smallest id reachable, text_key the text's xxhash64, and kept tells the rows of the one id and text that stay for the component. Nulls and texts without
     a word are linked with each other; a row without an id gets the component of the others with its runs, or null. Rows alike in id and text have the same result, so all of them
@@ -463,12 +485,12 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col
     def first_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, count = common.value
         for batch in batches:
-            node, sizes, first, words_, held, since = [], [], [], [], [], 0
+            node, sizes, first, told_, held, since = [], [], [], [], [], 0
 
             def flush() -> None:
                 nonlocal since
-                joined = np.concatenate(held) if held else np.zeros(0, np.uint64)
-                words_.append(sketches(joined, np.array([len(x) for x in held], np.int64)))
+                joined, lengths = np.concatenate(held) if held else np.zeros(0, np.uint64), np.array([len(x) for x in held], np.int64)
+                told_.append([*sketches(joined, lengths), *parities(joined, lengths)])
                 held.clear()
                 since = 0
 
@@ -488,7 +510,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col
                 if since >= HASHES:
                     flush()
             flush()
-            told = [pa.array(np.concatenate(x)) for x in zip(*words_, strict=True)]
+            told = [pa.array(np.concatenate(x)) for x in zip(*told_, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(node, pa.int64()), pa.array(sizes, pa.int32()), *told, pa.array(first, pa.binary())], names=schema.names)
 
     @tidy
@@ -540,11 +562,16 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col
             yield told
         yield out(held, follows, True)[0]
 
+    def differing(bits: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return sum((np.bitwise_count(x[a] ^ x[b]).astype(np.int64) for x in bits), np.zeros(len(a), np.int64))
+
     @tidy
     def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of a key's rows that lie in different components and may be near copies. Rows come sorted by key and component."""
+        """Pairs of a key's rows that lie in different components and may be near copies. Rows come sorted by key and component; of a pair of blocks, only rows of both meet."""
         for x in whole_keys(batches):
             run, root, node, n, at = (x.column(c).to_numpy() for c in ("run", "root", "node", "n", "at"))
+            own, alone = x.column("own").to_numpy(), x.column("alone").to_numpy(zero_copy_only=False)
+            sketch, parity = ([x.column(c).to_numpy().view(np.uint64) for c in names] for names in (words_, parities_))
             ends = np.append(np.flatnonzero(run[1:] != run[:-1]) + 1, len(run))
             end = ends[np.searchsorted(ends, np.arange(len(run)), side="right")]
             turns = np.append(np.flatnonzero((run[1:] != run[:-1]) | (root[1:] != root[:-1])) + 1, len(run))
@@ -552,8 +579,12 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col
             left = np.arange(len(run))
             while len(left := left[other[left] < end[left]]):
                 right = other[left]
-                hit = alike(n[left], at[left], n[right], at[right], similarity)
-                a, b = node[left[hit]], node[right[hit]]
+                hit = alike(n[left], at[left], n[right], at[right], similarity) & (alone[left] | (own[left] != own[right]))
+                a, b = left[hit], right[hit]
+                near = differing(parity, a, b) <= most_apart(n[a], n[b], similarity)
+                a, b = a[near], b[near]
+                near = (np.minimum(n[a], n[b]) < LEAST_SKETCHED) | (differing(sketch, a, b) <= most)
+                a, b = node[a[near]], node[b[near]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
                 other[left] += 1
 
@@ -578,14 +609,22 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col
             yield batch.select([0, 1]).filter(pa.array(kept))
 
     most = sketch_distance(similarity, deviations=DEVIATIONS)
-    words_ = [f"fp{k}" for k in range(SKETCH_WORDS)]
+    words_, parities_ = [f"fp{k}" for k in range(SKETCH_WORDS)], [f"parity{k}" for k in range(PARITY_WORDS)]
+
+    def likely_pairs(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that parities and sketches leave open."""
+        told = nodes.select("node", "n", *words_, *parities_)
+        a, b = (told.toDF(end, *(f"{end}_{c}" for c in told.columns[1:])) for end in "ab")
+
+        def apart(columns: list[str]) -> Column:
+            return sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in columns), F.lit(0))
+
+        both = F.col("a_n") + F.col("b_n")
+        near = apart(parities_) <= both - 2 * F.ceil(similarity / (1 + similarity) * both - 1e-9)
+        return pairs.join(a, "a").join(b, "b").where(near & ((F.least("a_n", "b_n") < LEAST_SKETCHED) | (apart(words_) <= most))).select("a", "b")
 
-    def decided(pairs: DataFrame, work: Scratch) -> DataFrame:
+    def decided(likely: DataFrame, work: Scratch) -> DataFrame:
         """The pairs that are similar enough by their whole sets, which are made again from the texts of these nodes alone."""
-        told = nodes.select("node", "n", *words_)
-        a, b = told.toDF("a", "n_a", *(f"a_{w}" for w in words_)), told.toDF("b", "n_b", *(f"b_{w}" for w in words_))
-        apart = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words_), F.lit(0))
-        likely = work.table(pairs.join(a, "a").join(b, "b").where((F.least("n_a", "n_b") < LEAST_SKETCHED) | (apart <= most)).select("a", "b"), "likely")
         ends = work.table(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct(), "ends")
         wanted = work.table(nodes.join(ends, "node", "left_semi").select("node", F.col("least").alias("doc_id"), "text_key"), "wanted")
         texts = work.table(keyed.join(wanted, ["doc_id", "text_key"]).select("node", "text"), "texts")
@@ -596,10 +635,10 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col
 
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("text_key", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType())])
-    schema = T.StructType([*schema, *(T.StructField(w, T.LongType()) for w in words_), T.StructField("first", T.BinaryType())])
+    schema = T.StructType([*schema, *(T.StructField(c, T.LongType()) for c in (*words_, *parities_)), T.StructField("first", T.BinaryType())])
     with Scratch(spark) as work:
         prints = work.table(keyed.mapInArrow(first_runs, schema), "prints")
-        nodes = work.table(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min_by("text_key", "doc_id").alias("text_key"), *(F.first(c).alias(c) for c in ("n", *words_))), "nodes")
+        nodes = work.table(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min_by("text_key", "doc_id").alias("text_key"), *(F.first(c).alias(c) for c in ("n", *words_, *parities_))), "nodes")
         keys = prints.where("doc_id IS NOT NULL").select("node", "n", "first").mapInArrow(keys_of, "run long, node long, n int, at int")
         met = work.table(keys.repartition("run").sortWithinPartitions("run", "n", "node").mapInArrow(met_rows, "run long, node long, n int, at int, next long"), "met")
         close = hamming_links(nodes.where("least IS NOT NULL").select(F.col("fp0").alias("fp"), "node"), COPY_RADIUS, work=work)
@@ -608,10 +647,14 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col
         next_ = follows.select("node", F.explode(F.array_distinct(F.array("most", "least"))).alias("next"))
         pairs = next_.select(F.least("node", "next").alias("a"), F.greatest("node", "next").alias("b")).unionByName(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         first = work.table(pairs.distinct(), "pairs")
-        links = decided(first, work)
+        links = decided(work.table(likely_pairs(first), "likely"), work)
         placed = work.table(met.join(components(links, work), "node", "left").select("run", "node", "n", "at", F.coalesce("root", "node").alias("root")), "placed")
-        split = placed.groupBy("run").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("run")
-        crossed = placed.join(split, "run", "left_semi").repartition("run").sortWithinPartitions("run", "root", "node").mapInArrow(crossing, "a long, b long").distinct()
+        split = placed.groupBy("run").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / bucket_rows).alias("blocks")).where("low < high").select("run", "blocks")
+        own, met_ = F.pmod(F.xxhash64("node"), "blocks"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        dealt = placed.join(split, "run").withColumn("own", own).withColumn("met", met_).withColumn("alone", F.expr("own = met"))
+        dealt = dealt.withColumn("run", F.when(F.col("blocks") == 1, F.col("run")).otherwise(F.xxhash64("run", F.least("own", "met"), F.greatest("own", "met"))))
+        told = nodes.select("node", *words_, *parities_)
+        crossed = dealt.select("run", "root", "node", "n", "at", "own", "alone").join(told, "node").repartition("run").sortWithinPartitions("run", "root", "node").mapInArrow(crossing, "a long, b long").distinct()
         more = decided(work.table(crossed.join(first, ["a", "b"], "left_anti"), "pairs"), work)
         roots = components(links.unionByName(more), work)
         placed = work.table(nodes.join(roots, "node", "left").select("node", "least", "text_key", F.coalesce("root", "node").alias("root")), "roots")
