@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitrine.llm import quality
 from vitrine.llm.ann import search
 from vitrine.llm.audit import audit_filters
 from vitrine.llm.decontaminate import find_leaks
@@ -99,6 +100,14 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), queries_every=20, k=20)
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from the labels of those that aren't held out."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs.where(~quality.held_out()), labels.where(~quality.held_out()))
+    told = quality.score(docs.withColumn("held_out", quality.held_out()), model)
+    return told.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters remove at each place in each of their orders, by language."""
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -121,6 +130,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scans": op8_secret_scans,
         "op9_language_id": op9_language_id,
         "op10_nearest_neighbours": op10_nearest_neighbours,
+        "op11_quality": op11_quality,
         "op12_filter_audit": op12_filter_audit,
         "op13_resampling": op13_resampling,
     }
