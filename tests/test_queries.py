@@ -9,10 +9,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from vitrine import queries
+from vitrine import queries, upkeep  # noqa: F401  upkeep registers its queries with the others
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables here")
 
 

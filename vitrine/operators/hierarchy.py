@@ -16,18 +16,23 @@ DEPTH = 50
 def subtree(nodes: DataFrame, root: int, depth: int | None = None) -> DataFrame:
     """(id) of `root`, if it is a row, and all below it, or `depth` levels of that.
 
-    Level by level: the children of the last level's nodes that weren't met before, so a loop of parents ends. Levels are written to the shared
-    folder, and the driver only learns whether one is empty.
+    By doubling: every node knows whether it meets `root` within 2^k steps up, and where it is then, so n rounds follow 2^n levels. Nodes that have met
+    it or have come to a top go no further. Rounds are written to the shared folder. Who is in a loop of parents, or below one, stops after as many levels as there are nodes.
     """
-    nodes = nodes.select("id", "parent_id")
-    level = seen = materialize(nodes.where(F.col("id") == root).select("id").distinct(), "level")
-    at = 0
-    while (depth is None or at < depth) and not level.isEmpty():
-        below = nodes.join(level.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("id").distinct()
-        level = materialize(below.join(seen, "id", "left_anti"), "level")
-        seen = seen.unionByName(level)
-        at += 1
-    return seen
+    links = materialize(nodes.select("id", "parent_id"), "links")
+    to, met = F.col("parent_id"), F.when(F.col("id") == root, 0).when(F.col("parent_id") == root, 1)
+    way = materialize(links.select("id", F.when(met.isNull(), to).alias("to"), met.alias("distance")), "way")
+    if links.where(F.col("id") == root).isEmpty():
+        return links.select("id").limit(0)
+    most = links.count() if depth is None else depth
+    step = 1
+    while step < most and not way.where("to IS NOT NULL").isEmpty():
+        above = way.select(F.col("id").alias("to"), F.col("to").alias("next"), (F.col("distance") + step).alias("far"))
+        jumped = way.where("to IS NOT NULL").join(above, "to", "left")
+        moved = jumped.select("id", F.when(F.col("far").isNull(), F.col("next")).alias("to"), F.col("far").alias("distance"))
+        way = materialize(way.where("to IS NULL").unionByName(moved), "way")
+        step *= 2
+    return way.where(F.col("distance").isNotNull() if depth is None else F.col("distance") <= depth).select("id").distinct()
 
 
 def closure(nodes: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.sources.shared import materialize
+from vitrine.sources.shared import fresh, materialize
 
 
 def numbered(rows: DataFrame, order: list[str], name: str = "place") -> DataFrame:
@@ -19,3 +19,18 @@ def numbered(rows: DataFrame, order: list[str], name: str = "place") -> DataFram
     starts = ranged.groupBy(part.alias("part")).count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
     met = ranged.withColumn("part", part).join(F.broadcast(starts), "part")  # a row for each partition
     return met.withColumn(name, F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).drop("part", "at", "start")
+
+
+def running_sum(rows: DataFrame, order: list[str], value: str, name: str = "before") -> DataFrame:
+    """`rows` with the sum of `value` (a whole number, not null) over all rows before them in the order of the columns `order`, as numbered() sorts.
+
+    Sums run inside each range of the sorted table; a range starts from what the ones before it add up to.
+    """
+    at, part, start, own = (fresh(rows.columns, c) for c in ("at", "part", "start", "own"))
+    ranged = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()), "ranged")
+    parted = ranged.withColumn(part, F.shiftright(at, 33))
+    earlier = (Window.unboundedPreceding, -1)
+    starts = parted.groupBy(part).agg(F.sum(value).alias(start)).select(part, F.coalesce(F.sum(start).over(Window.orderBy(part).rowsBetween(*earlier)), F.lit(0)).alias(start))
+    summed = F.coalesce(F.sum(value).over(Window.partitionBy(part).orderBy(at).rowsBetween(*earlier)), F.lit(0))
+    met = parted.withColumn(own, summed).join(F.broadcast(starts), part)  # a row for each partition
+    return met.withColumn(name, F.col(start) + F.col(own)).drop(part, at, start, own)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.operators.hierarchy import closure
+from vitrine.operators.intervals import counts_below, intervals
 from vitrine.sources.catalog import Catalog
 
 CHANGES = "op string, image_id long, folder_id long, old_folder_id long, tag_ids array<long>"
@@ -31,11 +32,10 @@ def folder_counts(catalog: Catalog) -> DataFrame:
 def folder_counts_recursive(catalog: Catalog) -> DataFrame:
     """(folder_id, count) of every folder, its subfolders' images included.
 
-    Images are counted by folder first, so only a row a folder meets the closure.
+    Images are counted by folder first, so a row a folder is summed along the tree's numbers.
     """
-    own = catalog.images.groupBy("folder_id").agg(F.count(F.lit(1)).alias("own")).withColumnRenamed("folder_id", "id")
-    ways = closure(catalog.folders).join(own, "id", "left")
-    return ways.groupBy(F.col("ancestor").alias("folder_id")).agg(F.coalesce(F.sum("own"), F.lit(0)).alias("count"))
+    own = catalog.images.groupBy(F.col("folder_id").alias("id")).count()
+    return counts_below(intervals(catalog.folders), own).withColumnRenamed("id", "folder_id")
 
 
 def counters(catalog: Catalog) -> DataFrame:
