@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from vitrine.operators import hierarchy, intervals, writes
 from vitrine.queries import query
 from vitrine.sources.catalog import Catalog, star_catalog
-from vitrine.sources.shared import materialize, table
+from vitrine.sources.shared import materialize, shared_path, table
+from vitrine.sources.trigrams import TrigramIndex
 
 # Deep trees: every order hangs on the one before it, but every seventh on the one seven before; each thousand has a root, up to 1,000 levels above its leaves.
 
@@ -70,3 +71,23 @@ def flt3_place_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = materialize(intervals.intervals(c.folders, ["name"]), "spans")
     kept = materialize(intervals.placed(c.images.select("id", "folder_id"), spans, "folder_id", "folder_place"), "placed")
     return kept.where(intervals.inside(spans, 104, "folder_place")).select("id", "folder_id")
+
+
+# An index of trigrams over all documents: texts of one language change, long ones of another go.
+
+PATTERNS = ("ción", "LICENSED under", "the and", "_der_", "er", "no such words", "a\nb")
+EDITED = "SELECT doc_id, CASE WHEN lang = 'de' THEN replace(text, ' ', '_') || ' ' || source ELSE text END AS text FROM documents WHERE NOT coalesce(lang = 'fr' AND n_chars > 1000, false)"
+
+
+@query("flt8_trigram_index", "SELECT pattern, doc_id FROM edited, (VALUES " + ", ".join("('" + p.replace("\n", "' || chr(10) || '") + "')" for p in PATTERNS) + ") v(pattern) WHERE length(pattern) >= 3 AND contains(lower(text), lower(pattern))", edited=EDITED)
+def flt8_trigram_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "n_chars", "source")
+    index = TrigramIndex(spark, shared_path(spark, "trigrams")).build(docs)
+    gone = F.coalesce((F.col("lang") == "fr") & (F.col("n_chars") > 1000), F.lit(False))
+    edited = docs.where((F.col("lang") == "de") | gone).select("id", F.concat(F.replace("text", F.lit(" "), F.lit("_")), F.lit(" "), "source").alias("text"), gone.alias("gone"))
+    index.update(edited, 1)
+    found = [index.contains(p).select(F.lit(p).alias("pattern"), F.col("id").alias("doc_id")) for p in PATTERNS]
+    told = found[0]
+    for more in found[1:]:
+        told = told.unionByName(more)
+    return told
