@@ -3,13 +3,14 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import time
 
 import numpy as np
 import pytest
 
 from vitrine.llm import ann
 from vitrine.llm.ann import search, usable
-from vitrine.llm.decontaminate import drop_leaks, find_leaks
+from vitrine.llm.decontaminate import Words, drop_leaks, find_leaks, index_items, matches
 from vitrine.llm.warc import END, VERSION, _Writer, read_chunks, read_records, write_warc
 from vitrine.sources.shared import shared_path
 
@@ -197,6 +198,33 @@ def test_leaks_against_brute_force(spark):
         assert sorted((r.doc_id, r.item_id) for r in find_leaks(df, bench, block_bytes=block_bytes).collect()) == want
 
 
+def test_figures_are_not_questions(spark):
+    """Items of numbers match with their own numbers alone, and a long table of figures takes no time; windows of numbers between words still count."""
+    rng = random.Random(8)
+    figures = lambda n, most: " ".join(str(rng.randint(1, most)) for _ in range(n))
+    items = [(k, figures(20, 999)) for k in range(1000)] + [(2000, "Add the numbers 11 22 33 44 55 66 77 and then give me the sum of them all"), (2001, "7"), (2002, "sum 5 5 5 5 5 5 5 5")]
+    other = items[1000][1].replace("33", "3333").replace("66", "1")
+    docs = [(1, figures(20_000, 99_999)), (2, figures(20_000, 9)), (3, figures(300, 99_999) + " " + items[5][1] + " " + figures(300, 99_999)), (4, filler(rng, 40) + " " + other), (5, items[5][1].replace(" ", " 1 "))]
+    began = time.monotonic()
+    found = find_leaks(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert time.monotonic() - began < 60
+    assert sorted((r.doc_id, r.item_id, r.changed) for r in found if r.item_id != 2001) == [(3, 5, False), (4, 2000, True)]
+    assert {r.doc_id for r in found if r.item_id == 2001} == {d for d, text in docs if "7" in text.split()}
+
+
+def test_stretches_of_items_tell_the_same(monkeypatch):
+    """Pairs that are made for a few items at a time give what all at once give."""
+    rng = random.Random(9)
+    items = [(k, f"What is {k} plus {k + rng.randint(1, 9)} times {rng.randint(1, 9)} ? {filler(rng, k % 4)}") for k in range(60)]
+    texts = [" ".join(f"What is {rng.randint(1, 99)} plus {rng.randint(1, 9)} times 3 ? {filler(rng, rng.randint(0, 3))}" for _ in range(80)) for _ in range(3)]
+    index = index_items(items, 5)
+    whole = list(matches(texts, index, Words(index.vocabulary), 5, 0.8))
+    for most in (1, 500, 20_000):
+        monkeypatch.setattr("vitrine.llm.decontaminate.MOST_HITS", most)
+        assert sorted(matches(texts, index, Words(index.vocabulary), 5, 0.8)) == sorted(whole)
+    assert len(whole) > 60
+
+
 # neighbours
 
 
