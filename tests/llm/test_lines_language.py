@@ -162,3 +162,20 @@ def test_fit_counts_what_plain_python_counts(spark):
             want = [x - sum(p) / 3 for x in p]
             assert np.allclose(model.log_p[at, bucket], want, atol=1e-5)
     assert np.allclose(model.prior, [math.log((docs[lang] + 1) / (sum(docs.values()) + 3)) for lang in languages])
+
+
+def test_texts_of_languages_that_were_not_learned_are_not_typical(spark):
+    """The posterior weighs learned languages only; how likely a text is in the one that wins tells others apart."""
+    rng = random.Random(12)
+    syllables = {"aa": "the of an er in on at ing ed re ou ha".split(), "bb": "der die en ge ver ich ung sch ein lich zu ber".split()}
+    word = lambda lang: "".join(rng.choice(syllables[lang]) for _ in range(rng.randint(1, 3)))
+    prose = lambda lang, n: " ".join(word(lang) for _ in range(n))
+    rows = [(k, prose(lang, rng.randint(3, 200)), lang) for k, lang in enumerate(["aa", "bb"] * 150)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.fit(labelled.where("doc_id < 200"), typical=True)
+    asked = rows[200:] + [(1000, "Это русское предложение, которого модель не видела", None), (1001, "qzxv kjwq zzxq vvkq xqzj", None), (1002, None, None), (1003, "12 !!", None), (1004, prose("aa", 60_000), None)]
+    told = {r.doc_id: r for r in langid.predict(spark.createDataFrame(asked, "doc_id long, text string, typical string"), model, typical_col="typical").collect()}
+    assert all(told[k].typical and told[k].lang_pred == lang for k, _, lang in rows[200:]) and told[1004].typical
+    assert not any(told[k].typical for k in (1000, 1001, 1002, 1003)) and told[1000].lang_pred in ("aa", "bb")
+    assert all(r.typical for r in langid.predict(labelled, langid.fit(labelled), typical_col="typical").collect())
+    assert langid.fit(labelled.where("false"), typical=True).languages == ()

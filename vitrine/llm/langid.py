@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,8 @@ BUCKET_BITS = 16
 TRAIN_ROWS = 30_000
 #: Bytes of text that a task scores at a time; a longer text is scored in pieces that overlap.
 BATCH_BYTES = 1 << 20
+#: How far below the least likely labelled text of a language, as a share of its mean log-probability an n-gram, a text may lie and still count as typical of it.
+SLACK = 0.1
 #: The prediction for texts without a letter.
 UNKNOWN = "und"
 
@@ -59,11 +61,25 @@ def grams(text: np.ndarray, size: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """languages: as learned, in order; log_p: (sizes, buckets, languages) log-probabilities less the languages' mean; prior: (languages,)."""
+    """languages: as learned, in order; log_p: (sizes, buckets, languages) log-probabilities less the languages' mean; prior: (languages,).
+
+    mean: (sizes, buckets) that mean; least: (languages,) the least mean log-probability an n-gram that a typical text of the language has.
+    """
 
     languages: tuple[str, ...]
     log_p: np.ndarray
     prior: np.ndarray
+    mean: np.ndarray
+    least: np.ndarray
+
+    def totals(self, texts: list[bytes]) -> np.ndarray:
+        """(texts, 2): how many n-grams each text has, and the sum of what scores() leaves out of their log-probabilities."""
+        out = np.zeros((len(texts), 2))
+        for k, x in enumerate(map(fold, texts)):
+            for table, size in zip(self.mean, SIZES, strict=True):
+                found = grams(x, size)
+                out[k] += len(found), table[found].sum(dtype=np.float64)
+        return out
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """(texts, languages): the log-probabilities of each text's n-grams, summed. They differ from whole ones by the same for all languages."""
@@ -90,11 +106,12 @@ def counts_of(texts: list[bytes]) -> np.ndarray:
     return out.reshape(-1)
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, smoothing: float = 0.5) -> Model:
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, smoothing: float = 0.5, typical: bool = False) -> Model:
     """Learn from the rows of `labelled` with a label and a text.
 
     More than `train_rows` of them are thinned by a hash of the text to about that many. Tasks count n-grams for each label, and the sums
-    (labels x sizes x buckets at most) come to the driver. Each label has its row share, smoothed, as prior.
+    (labels x sizes x buckets at most) come to the driver. Each label has its row share, smoothed, as prior. With `typical` a second pass over these rows
+    learns how unlikely a text of each label may be; without it every text is typical.
     """
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     n = rows.count()
@@ -128,21 +145,43 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", tra
         prior[k] += own.loc[~is_gram, "n"].sum()
     by_size = x.reshape(len(SIZES), 1 << BUCKET_BITS, len(languages))
     log_p = np.log(by_size / by_size.sum(1, keepdims=True))
-    log_p -= log_p.mean(2, keepdims=True) if languages else 0
-    return Model(languages, log_p.astype("f4"), np.log(prior / prior.sum()))
+    mean = log_p.mean(2) if languages else np.zeros(log_p.shape[:2])
+    model = Model(languages, (log_p - mean[:, :, None]).astype("f4"), np.log(prior / prior.sum()), mean.astype("f4"), np.full(len(languages), -np.inf))
+    return replace(model, least=_least(rows, model)) if languages and typical else model
+
+
+def _least(rows: DataFrame, model: Model) -> np.ndarray:
+    """The least mean log-probability an n-gram among each language's labelled texts, less SLACK of it."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    @tidy
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        found: dict[str, float] = {}
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if has_letter(text):
+                    raw = [text.encode()]
+                    n, left_out = known.totals(raw)[0]
+                    found[lang] = min(found.get(lang, np.inf), (known.scores(raw)[0, known.languages.index(lang)] + left_out) / n)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.float64())], names=["lang", "least"])
+
+    told = dict(rows.mapInArrow(least, "lang string, least double").groupBy("lang").agg(F.min("least")).collect())  # a row for each language
+    return np.array([told[x] * (1 + SLACK) for x in model.languages])
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_pred_col: str = "lang_pred", score_col: str = "score", typical_col: str | None = None) -> DataFrame:
     """Add lang_pred and score, by the names given (columns of these names are replaced), to `docs`, by the text alone.
 
     lang_pred is a language of the model, or `und` (score 0) where the text is null or has no letter, or the model has no language. score is the
-    posterior probability of the prediction; of languages that tie, the first in order wins. Whole texts are scored.
+    posterior probability of the prediction; of languages that tie, the first in order wins. Whole texts are scored. The posterior only weighs the learned languages
+    against each other; with `typical_col` a column tells whether the text is also as likely in the predicted one as its labelled texts are (false for `und`).
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    columns = [c for c in docs.columns if c not in (lang_pred_col, score_col)]
+    columns = [c for c in docs.columns if c not in (lang_pred_col, score_col, typical_col)]
     text_at = columns.index(text_col)
-    schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField(lang_pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
+    schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField(lang_pred_col, T.StringType()), T.StructField(score_col, T.DoubleType()), *([T.StructField(typical_col, T.BooleanType())] if typical_col else [])])
 
     def pieces(text: bytes) -> Iterator[bytes]:
         """Overlapping so that every n-gram is in one piece: cut at a space, which both pieces get."""
@@ -161,10 +200,13 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_pred_col
             texts = batch.column(text_at).to_pylist()
             wanted = [k for k, x in enumerate(texts) if x and has_letter(x)] if known.languages else []
             joint = np.tile(known.prior, (len(texts), 1))
+            counted = np.zeros((len(texts), 2))
             part, owners, held = [], [], 0
 
             def flush() -> None:
                 np.add.at(joint, owners, known.scores(part))
+                if typical_col:
+                    np.add.at(counted, owners, known.totals(part))
                 part.clear()
                 owners.clear()
 
@@ -178,14 +220,17 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_pred_col
                         held = 0
             if part:
                 flush()
-            lang, p = [UNKNOWN] * len(texts), np.zeros(len(texts))
+            lang, p, typical = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
             if wanted:
                 x = joint[wanted]
                 best = x.argmax(1)
                 p[wanted] = 1 / np.exp(x - x.max(1, keepdims=True)).sum(1)
+                if typical_col:
+                    n, left_out = counted[wanted].T
+                    typical[wanted] = (x[np.arange(len(x)), best] - known.prior[best] + left_out) / n >= known.least[best]
                 for k, b in zip(wanted, best, strict=True):
                     lang[k] = known.languages[b]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang), pa.array(p)], names=[f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang), pa.array(p), *([pa.array(typical)] if typical_col else [])], names=[f.name for f in schema])
 
     return docs.select(columns).mapInArrow(score, schema)
 
