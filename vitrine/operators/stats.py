@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.operators.hierarchy import closure
@@ -55,10 +57,10 @@ def counters(catalog: Catalog) -> DataFrame:
     return found
 
 
-def counter_deltas(changes: DataFrame, folders: DataFrame) -> DataFrame:
+def counter_deltas(changes: DataFrame, folders: DataFrame, ways: DataFrame | None = None) -> DataFrame:
     """(kind, key, removed, added) that a batch of changes (CHANGES) makes to counters().
 
-    An added image counts as untagged. An update counts only if its folder changed. Folder changes reach all folders above.
+    An added image counts as untagged. An update counts only if its folder changed. Folder changes reach all folders above; `ways` is closure(folders), where it is at hand.
     """
     one, zero = F.lit(1), F.lit(0)
     is_add, is_gone = F.col("op") == "added", F.col("op") == "removed"
@@ -77,7 +79,7 @@ def counter_deltas(changes: DataFrame, folders: DataFrame) -> DataFrame:
     here = added.unionByName(changes.where(moved)).select("folder_id", zero.alias("removed"), one.alias("added"))
     by_folder = away.unionByName(here).where("folder_id IS NOT NULL").groupBy("folder_id").agg(F.sum("removed").alias("removed"), F.sum("added").alias("added"))
     own = part(by_folder, "folder", F.col("folder_id"), F.col("removed"), F.col("added"))
-    ways = closure(folders).select(F.col("id").alias("folder_id"), "ancestor")
+    ways = (closure(folders) if ways is None else ways).select(F.col("id").alias("folder_id"), "ancestor")
     known = by_folder.join(ways, "folder_id", "left").withColumn("ancestor", F.coalesce("ancestor", "folder_id"))
     above = part(known, "folder_recursive", F.col("ancestor"), F.col("removed"), F.col("added"))
     found = total.unionByName(untagged).unionByName(tags).unionByName(own).unionByName(above)
@@ -91,3 +93,54 @@ def apply_deltas(current: DataFrame, deltas: DataFrame) -> DataFrame:
     left = F.coalesce(current["count"], F.lit(0)) - F.coalesce("removed", F.lit(0))
     kept = F.when(kind.isin("total", "untagged"), left).otherwise(F.greatest(left, F.lit(0)))
     return met.select(kind.alias("kind"), key.alias("key"), (kept + F.coalesce("added", F.lit(0))).cast("long").alias("count"))
+
+
+@dataclass(frozen=True)
+class CounterLog:
+    """counters() below the folder `path`, as a base and the deltas of batches after it; they are added up when read.
+
+    A batch writes its deltas alone, however many counters there are, and replaces what it wrote before, so trying it again changes nothing. Sums are kept as they are
+    and stop at zero only when read, so any order of batches and of compactions reads the same. compact() comes to a new base next to the old one; readers take the
+    latest that is whole.
+    """
+
+    spark: SparkSession
+    path: str
+
+    def start(self, counters: DataFrame) -> None:
+        counters.select("kind", "key", "count").write.mode("overwrite").parquet(f"{self.path}/base/upto=-1")
+
+    def append(self, deltas: DataFrame, batch: int) -> None:
+        """The deltas (counter_deltas()) of a batch; batches are numbered from 0, and one that a base has taken in is passed over."""
+        if batch > self._upto():
+            deltas.select("kind", "key", (F.col("added") - F.col("removed")).alias("count")).write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch}")
+
+    def _base(self) -> DataFrame:
+        return self.spark.read.schema("kind string, key long, count long, upto long").parquet(f"{self.path}/base")
+
+    def _upto(self) -> int:
+        return self._base().agg(F.max("upto")).first()[0]
+
+    def _sums(self, last: int | None = None) -> DataFrame:
+        upto = self._upto()
+        rows = self._base().where(F.col("upto") == upto).select("kind", "key", "count")
+        if self.batches():
+            deltas = self.spark.read.schema("kind string, key long, count long, batch long").parquet(f"{self.path}/deltas").where(F.col("batch") > upto)
+            rows = rows.unionByName((deltas if last is None else deltas.where(F.col("batch") <= last)).select("kind", "key", "count"))
+        return rows.groupBy("kind", "key").agg(F.sum("count").alias("count"))
+
+    def batches(self) -> int:
+        """How many batches have deltas here."""
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/deltas")
+        system = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return len(system.listStatus(folder)) if system.exists(folder) else 0
+
+    def compact(self, last: int) -> None:
+        """A base that has all batches up to `last` in it; there must be none missing before it."""
+        if last > self._upto():
+            self._sums(last).write.mode("overwrite").parquet(f"{self.path}/base/upto={last}")
+
+    def read(self) -> DataFrame:
+        """(kind, key, count) as of the last batch; counters by key stop at zero."""
+        kept = F.when(F.col("kind").isin("total", "untagged"), F.col("count")).otherwise(F.greatest("count", F.lit(0)))
+        return self._sums().select("kind", "key", kept.alias("count"))

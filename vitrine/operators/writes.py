@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions.paths import replace_prefix
@@ -82,6 +82,30 @@ def upsert_images(catalog: Catalog, files: DataFrame, on_disk: DataFrame) -> tup
     return catalog.put(images=met.select(columns).unionByName(born)), told
 
 
+def upsert_checked(catalog: Catalog, files: DataFrame, on_disk: DataFrame) -> tuple[Catalog, DataFrame, DataFrame, Observation]:
+    """upsert_images() of the rows of `files` that can be written, and the others aside: (catalog, told, quarantine, observation).
+
+    quarantine has each bad row with the first reason that holds: `no path` (null or empty), `no size` (null or below zero), `no folder` (null, or the
+    catalog hasn't it), `repeated` (another good row has the path and was modified later, or is larger, or comes after it). One pass tells both sides apart; the observation has
+    their numbers, good and bad, once either is computed. No rows, no reasons.
+    """
+    known = catalog.folders.select(F.col("id").alias("folder_id"), F.lit(True).alias("has_folder"))
+    met = files.join(known, "folder_id", "left")
+    reason = (
+        F.when(F.coalesce(F.col("path"), F.lit("")) == "", "no path")
+        .when(F.coalesce(F.col("size"), F.lit(-1)) < 0, "no size")
+        .when(F.col("has_folder").isNull(), "no folder")
+    )
+    judged = met.withColumn("reason", reason).withColumn("own", F.monotonically_increasing_id())
+    # bad rows are each by themselves, so that no task gets all null paths
+    alike = Window.partitionBy("path", F.when(F.col("reason").isNotNull(), F.col("own"))).orderBy(F.desc_nulls_last("modified_at"), F.desc("size"), F.desc("own"))
+    judged = judged.withColumn("reason", F.coalesce("reason", F.when(F.row_number().over(alike) > 1, "repeated"))).select(*files.columns, "reason")
+    seen = Observation("upsert")
+    split = materialize(judged.observe(seen, F.count_if(F.col("reason").isNull()).alias("good"), F.count("reason").alias("bad")), "judged")
+    done, told = upsert_images(catalog, split.where("reason IS NULL").drop("reason"), on_disk)
+    return done, told, split.where("reason IS NOT NULL"), seen
+
+
 def set_rating(catalog: Catalog, image_id: int, rating: int) -> Catalog:
     return catalog.put(images=update(catalog.images, F.col("id") == image_id, {"rating": rating}))
 

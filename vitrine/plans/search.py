@@ -18,6 +18,10 @@ SORTABLE = ("filename", "created_at", "modified_at", "added_at", "size", "format
 PAGE, SORT = 100, ("modified_at", "desc")
 
 
+#: Where a page ends: the values of the sort's keys in its last row.
+Cursor = tuple
+
+
 @dataclass(frozen=True)
 class LibraryQuery:
     """A search. limit and offset page the sorted rows; a negative limit is none, a negative offset is 0. typed_times: see condition()."""
@@ -75,6 +79,48 @@ class LibraryQuery:
             page = page.offset(self.offset)
         return page.limit(self.limit) if self.limit >= 0 else page
 
+    def page_after(self, catalog: Catalog, cursor: Cursor | None = None) -> DataFrame:
+        """The first `limit` rows of the sorted matches that come after `cursor`, the place of an earlier page's last row (see cursor()); without one, the first page.
+
+        The place is a filter on the sort's keys, which reaches the scan, so a later page costs what the first one does; offset plays no part.
+        """
+        found = self.matching(catalog)
+        if cursor is not None:
+            found = found.where(self._beyond(cursor))
+        page = found.select(*RESULT).orderBy(*self.order())
+        return page.limit(self.limit) if self.limit >= 0 else page
+
+    def cursor(self, page: DataFrame) -> Cursor | None:
+        """The place of the last row of `page` (of page_after()), for the next one; None if the page is empty and so the last."""
+        (first, up), *ties = self._keys()
+        turned = [first.desc_nulls_first() if up else first.asc_nulls_first(), *(key.desc_nulls_last() for key, _ in ties)]
+        last = page.orderBy(*turned).select(*(key.alias(f"key_{n}") for n, (key, _) in enumerate(self._keys()))).first()
+        return None if last is None else tuple(last)
+
+    def _keys(self) -> list[tuple[Column, bool]]:
+        """The columns of order(), and whether each goes up."""
+        by = self.sort_by if self.sort_by in SORTABLE else "id"
+        key = ascii_lower(F.col(by)) if by in ("filename", "format") else F.col(by)
+        ties = [] if by == "filename" else [(ascii_lower(F.col("filename")), True)]
+        return [(key, self.sort_order == "asc"), *ties, (F.col("id"), True)]
+
+    def _beyond(self, cursor: Cursor) -> Column:
+        """Whether a row comes after the place: by the first key in which they differ."""
+        beyond = F.lit(False)
+        for n, ((key, up), value) in reversed(list(enumerate(zip(self._keys(), cursor, strict=True)))):
+            # the first key has nulls last, the others, which go up, have them first
+            if value is None:
+                beyond = key.isNull() & beyond if n == 0 else key.isNotNull() | (key.isNull() & beyond)
+            else:
+                later = (key > value) if up else (key < value)
+                beyond = later | (key.isNull() if n == 0 else F.lit(False)) | ((key == value) & beyond)
+        return F.coalesce(beyond, F.lit(False))
+
+    @classmethod
+    def listed(cls, **params: object) -> LibraryQuery:
+        """A search as a library first shows it: sorted by SORT, PAGE rows, unless told otherwise."""
+        return cls(**{"sort_by": SORT[0], "sort_order": SORT[1], "limit": PAGE, **params})
+
     def count(self, catalog: Catalog) -> DataFrame:
         """(count): how many images match."""
         return self.matching(catalog).agg(F.count(F.lit(1)).alias("count"))

@@ -451,7 +451,17 @@ def ag13_masonry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.masonry_layout(images, ["folder_id"], [], container=1200.0, item=220.0, gap=16.0)
 
 
-@query("ag13_justified")
+@query(
+    "ag13_justified",
+    """SELECT folder_id, id, ahead * scale / 1000000::DOUBLE + (nth - 1) * 16::DOUBLE AS x, coalesce(above, 0)::BIGINT / 1000000::DOUBLE AS y, wide * scale / 1000000::DOUBLE AS width, 220::DOUBLE * scale AS height
+        FROM (SELECT *, row_number() OVER w AS nth, coalesce(sum(wide) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead FROM walk WINDOW w AS (PARTITION BY folder_id, line ORDER BY k)) JOIN tops USING (folder_id, line)""",
+    listed="SELECT folder_id, id, CAST(round(220::DOUBLE * coalesce(width / height::DOUBLE, 1) * 1000000) AS BIGINT) AS wide, row_number() OVER (PARTITION BY folder_id ORDER BY id) AS k FROM images",
+    walk="""SELECT folder_id, id, wide, k, 1 AS line, wide AS used FROM listed WHERE k = 1 UNION ALL SELECT l.folder_id, l.id, l.wide, l.k, w.line + (used + l.wide + 16000000 > 1200000000)::INT,
+        CASE WHEN used + l.wide + 16000000 > 1200000000 THEN l.wide ELSE used + l.wide + 16000000 END FROM walk w JOIN listed l ON w.folder_id = l.folder_id AND l.k = w.k + 1""",
+    fills="SELECT folder_id, line, count(*) AS n, sum(wide)::BIGINT AS total, line = max(line) OVER (PARTITION BY folder_id) AS is_last FROM walk GROUP BY folder_id, line",
+    scales="SELECT *, CASE WHEN is_last AND (1200::DOUBLE - (n - 1) * 16::DOUBLE) * 1000000 / total > 1.2::DOUBLE THEN 1::DOUBLE ELSE (1200::DOUBLE - (n - 1) * 16::DOUBLE) * 1000000 / total END AS scale FROM fills",
+    tops="SELECT folder_id, line, scale, sum(CAST(round((220::DOUBLE * scale + 16::DOUBLE) * 1000000) AS BIGINT)) OVER (PARTITION BY folder_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM scales",
+)
 def ag13_justified(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = star_catalog(spark, sf_dir).images.select("folder_id", "id", media.aspect_ratio(F.col("width"), F.col("height")).alias("aspect"))
     return layout.justified_layout(images, ["folder_id"], [], container=1200.0, row_height=220.0, gap=16.0)

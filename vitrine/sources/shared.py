@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
@@ -54,6 +55,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return _write(df, shared_path(df.sparkSession, label))
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let the shuffle files of finished jobs go. They stay as long as the driver's JVM holds their plans, which it only notices when it collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
     """Written tables of one operator, removed when its block ends. What the operator returns must be materialized by then."""
 

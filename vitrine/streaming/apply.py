@@ -26,28 +26,34 @@ class Applied:
 def rename_folders(catalog: Catalog, renames: DataFrame) -> tuple[Catalog, DataFrame]:
     """After all of `renames` (path, to_path) at once, and those whose folder the catalog doesn't have.
 
-    Every path below a renamed folder takes the new head of the closest one above it, by a join on the path's ancestors.
-    Where the new path is a folder already, the two are merged, one rename at a time.
+    Every path below a renamed folder takes the new head of the closest one above it, by a join on the path's ancestors; all renames speak of the paths before
+    any of them, so two folders may change places. Folders that come to one path are merged: the one that was there, or else the smallest id, takes the others' children and images
+    in its place, at any depth. A merged folder keeps its parent. Images that come to one path all stay; violations() tells them. Of several renames of one path the greatest new one counts.
     """
-    known = materialize(renames.join(catalog.folders.select("path"), "path", "left_semi"), "renames")
+    renames = renames.groupBy("path").agg(F.max("to_path").alias("to_path"))
+    known = materialize(renames.join(catalog.folders.select("path"), "path", "left_semi").where("path <> to_path"), "renames")
     unknown = renames.join(catalog.folders.select("path"), "path", "left_anti")
-    taken = known.join(catalog.folders.select(F.col("path").alias("to_path")), "to_path", "left_semi")
-    plain = known.join(taken.select("path"), "path", "left_anti")
-    for r in taken.toLocalIterator():
-        catalog = writes.rename_folder(catalog, r["path"], r["to_path"])
 
     def moved(table: DataFrame) -> DataFrame:
-        heads = plain.select(F.col("path").alias("head"), F.col("to_path").alias("new_head"))
+        heads = known.select(F.col("path").alias("head"), F.col("to_path").alias("new_head"))
         ways = table.select("id", "path", F.explode(ancestors(F.col("path"))).alias("head")).join(heads, "head")
         best = ways.groupBy("id").agg(F.max_by(F.struct("head", "new_head"), F.char_length("head")).alias("m"))
         met = table.join(best, "id", "left")
         path = F.when(F.col("m").isNotNull(), F.concat("m.new_head", F.substr("path", F.char_length("m.head") + 1))).otherwise(F.col("path"))
-        return met.withColumn("path", path).drop("m")
+        return met.withColumn("path", path).withColumn("has_moved", F.col("m").isNotNull()).drop("m")
 
-    folders, images = moved(catalog.folders), moved(catalog.images)
-    own = plain.select(F.col("to_path").alias("path"), F.lit(True).alias("own"))
-    named = folders.join(own, "path", "left").withColumn("name", F.when(F.col("own"), basename(F.col("path"))).otherwise(F.col("name")))
-    return catalog.put(folders=named.select(catalog.folders.columns), images=images.select(catalog.images.columns)), unknown
+    folders, images = materialize(moved(catalog.folders), "folders"), moved(catalog.images)
+    keep = folders.groupBy("path").agg(F.min(F.struct("has_moved", "id")).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("path", F.col("keep.id").alias("kept_id"))
+    merged = materialize(folders.join(keep, "path").where("id <> kept_id").select(F.col("id").alias("gone_id"), "kept_id"), "merged")
+    own = known.select(F.col("to_path").alias("path"), F.lit(True).alias("own")).distinct()
+    named = folders.join(own, "path", "left").withColumn("name", F.when(F.col("own") & F.col("has_moved"), basename(F.col("path"))).otherwise(F.col("name")))
+    left = named.join(merged.select(F.col("gone_id").alias("id")), "id", "left_anti")
+
+    def remapped(table: DataFrame, column: str) -> DataFrame:
+        met = table.join(merged.withColumnRenamed("gone_id", column), column, "left")
+        return met.withColumn(column, F.coalesce("kept_id", column))
+
+    return catalog.put(folders=remapped(left, "parent_id").select(catalog.folders.columns), images=remapped(images, "folder_id").select(catalog.images.columns)), unknown
 
 
 def _with_folders(catalog: Catalog, paths: DataFrame) -> Catalog:

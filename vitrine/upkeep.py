@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterable, Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from vitrine.operators import hierarchy, intervals, writes
-from vitrine.queries import query
+from vitrine.operators import hierarchy, intervals, stats, writes
+from vitrine.plans.search import LibraryQuery
+from vitrine.queries import AFTER, COUNTERS, EVENTS, STEPS, _events, query
 from vitrine.sources.catalog import Catalog, star_catalog
 from vitrine.sources.shared import materialize, shared_path, table
 from vitrine.sources.trigrams import TrigramIndex
+from vitrine.streaming import changes
+from vitrine.streaming.apply import rename_folders
+from vitrine.streaming.ledger import Ledger, feed
+from vitrine.streaming.waits import final_removals, keyed_state, met_halves
 
 # Deep trees: every order hangs on the one before it, but every seventh on the one seven before; each thousand has a root, up to 1,000 levels above its leaves.
 
@@ -91,3 +100,186 @@ def flt8_trigram_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     for more in found[1:]:
         told = told.unionByName(more)
     return told
+
+
+# Streams over whole events. Files arrive in order of time, a part of the events each, and the query is started anew for each part with its checkpoint.
+
+PARTS = 3
+
+
+def _arrivals(spark: SparkSession, events: DataFrame, at: str) -> Iterator[tuple[int, DataFrame]]:
+    """The parts of `events`, of equal stretches of time, one after the other."""
+    events = materialize(events.withColumn("at_us", F.unix_micros(F.col(at).cast("timestamp"))), "events")
+    first, last = events.agg(F.min("at_us"), F.max("at_us")).first()
+    step = (last - first) // PARTS + 1
+    for k in range(PARTS):
+        yield k, events.where((F.col("at_us") >= first + k * step) & (F.col("at_us") < first + (k + 1) * step)).drop("at_us")
+
+
+def _run(spark: SparkSession, parts: Iterable[DataFrame], schema: StructType, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What the stream `build` writes when each part arrives while it isn't running."""
+    source, out, checkpoint = (shared_path(spark, x) for x in ("arrivals", "told", "offsets"))
+    with keyed_state(spark):
+        for part in parts:
+            part.write.mode("append").parquet(source)
+            stream = build(spark.readStream.schema(schema).parquet(source))
+            stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+@query(
+    "st7_tombstones",
+    """SELECT path, ts AS since, event_id AS seq FROM (SELECT *, lead(ts) OVER (PARTITION BY path ORDER BY ts, event_id) AS next FROM
+        (SELECT event_id, ts, '/u/' || user_id AS path, event_type IN ('error', 'view') AS gone FROM events))
+    WHERE gone AND coalesce(next > ts + INTERVAL 2 HOUR, ts + INTERVAL 2 HOUR < (SELECT max(ts) FROM events) - INTERVAL 10 SECOND)""",
+)
+def st7_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removals that stay for two hours, by a stream that keeps what waits in its state over two restarts."""
+    kind = F.when(F.col("event_type").isin("error", "view"), "remove").otherwise("upsert")
+    events = table(spark, sf_dir, "events").select(F.concat(F.lit("/u/"), "user_id").alias("path"), kind.alias("kind"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"))
+    told = _run(spark, (part for _, part in _arrivals(spark, events, "at")), events.schema, lambda s: final_removals(s, grace_seconds=7200))
+    return told.select("path", F.col("since").cast("timestamp_ntz").alias("since"), "seq")
+
+
+HALVES = """SELECT event_id AS tracker, ts AS from_at, CASE WHEN event_type IN ('view', 'click', 'purchase') THEN '/old/' || event_id END AS path,
+    CASE WHEN event_type IN ('click', 'purchase', 'error') THEN '/new/' || event_id END AS to_path, ts + CAST(floor(value * 60) AS BIGINT) * INTERVAL 1 SECOND AS to_at FROM events WHERE event_type <> 'signup'"""
+
+
+@query(
+    "st4_split_renames",
+    """SELECT 'rename' AS op, path, to_path, tracker FROM halves WHERE path IS NOT NULL AND to_path IS NOT NULL AND to_at <= from_at + INTERVAL 20 MINUTE
+    UNION ALL SELECT 'remove', path, NULL, tracker FROM halves WHERE path IS NOT NULL AND (to_path IS NULL OR to_at > from_at + INTERVAL 20 MINUTE)
+    UNION ALL SELECT 'upsert', to_path, NULL, tracker FROM halves WHERE to_path IS NOT NULL AND (path IS NULL OR to_at > from_at + INTERVAL 20 MINUTE)""",
+    halves=HALVES,
+)
+def st4_split_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Halves of renames, the second one up to an hour after the first, that a stream reads in three parts and pairs within 20 minutes."""
+    kind, e = F.col("event_type"), table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    later = F.timestamp_micros(F.unix_micros("ts") + F.floor(F.col("value") * 60).cast("long") * 1_000_000)
+    half = lambda k, path, at: (F.lit("/r").alias("root"), F.lit(k).alias("kind"), F.col("event_id").alias("tracker"), F.concat(F.lit(path), "event_id").alias("path"), at.alias("at"))
+    first = e.where(kind.isin("view", "click", "purchase")).select(*half("rename_from", "/old/", F.col("ts")))
+    second = e.where(kind.isin("click", "purchase", "error")).select(*half("rename_to", "/new/", later))
+    halves = first.unionByName(second)
+    end = spark.createDataFrame([("/end", "rename_from", -1, "/end"), ("/end", "rename_to", -2, "/end")], "root string, kind string, tracker long, path string").withColumn("at", F.lit("2100-01-01 00:00:00").cast("timestamp"))
+    parts = [part for _, part in _arrivals(spark, halves, "at")]
+    told = _run(spark, [*parts, end], halves.schema, lambda s: met_halves(s, wait="20 MINUTES"))
+    return told.select("op", "path", "to_path", "tracker")
+
+
+@query("snk2_feed", "SELECT part, path, CASE WHEN arg_max(kind, seq) = 'remove' THEN 'remove' WHEN arg_max(is_dir, seq) THEN 'add_folder' ELSE 'add' END AS op, arg_max(size, seq) AS size FROM (SELECT *, '/p' || least(floor((ts_us - first) / step), 2)::INT AS part FROM timed, bounds) GROUP BY part, path", feed_events=EVENTS.replace("FROM events", ", epoch_us(ts) AS ts_us FROM events"), timed="SELECT * FROM feed_events", bounds="SELECT min(ts_us) AS first, (max(ts_us) - min(ts_us)) // 3 + 1 AS step FROM feed_events")
+def snk2_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feed of what each trigger of 600 ms comes to; the query is stopped after its first batch and started again."""
+    events = _events(spark, sf_dir).join(table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "ts"), "seq")
+    source, checkpoint = shared_path(spark, "arrivals"), shared_path(spark, "offsets")
+    ledger = Ledger(spark, shared_path(spark, "feed"))
+    for k, part in _arrivals(spark, events, "ts"):
+        part.drop("ts").withColumn("root", F.lit(f"/p{k}")).coalesce(1).write.mode("append").parquet(source)  # a file each, so a trigger each
+    schema = spark.read.parquet(source).schema
+    stream = lambda: feed(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), ledger, checkpoint, changes.coalesce)
+    started = stream()
+    while started.isActive and ledger.committed().isEmpty():
+        time.sleep(0.2)
+    started.stop()
+    started = stream()
+    started.processAllAvailable()
+    started.stop()
+    return ledger.rows("root string, op string, path string, size long").select(F.col("root").alias("part"), "path", "op", "size")
+
+
+# Writes and layouts over whole tables.
+
+REGIONS = {"/ASIA": "/EUROPE", "/AFRICA": "/AMERICA", "/AMERICA": "/AFRICA", "/MIDDLE EAST": "/LEVANT"}
+HEAD = "CASE " + " ".join(f"WHEN path = '{a}' OR starts_with(path, '{a}/') THEN '{b}' || substr(path, {len(a) + 1})" for a, b in REGIONS.items()) + " ELSE path END"
+
+
+@query(
+    "wr9_merge_renames",
+    f"""SELECT f.id, CASE WHEN f.parent_id = 3 THEN 4 ELSE f.parent_id END AS parent_id, CASE WHEN n.path IS NOT NULL THEN '/ORIENT/' || n.name || substr(f.path, length(n.path) + 1) ELSE {HEAD.replace("path", "f.path")} END AS path,
+        coalesce(i.n, 0) AS images FROM folders f LEFT JOIN (SELECT path, name FROM folders WHERE parent_id = 5) n ON f.path = n.path OR starts_with(f.path, n.path || '/')
+        LEFT JOIN (SELECT CASE WHEN folder_id = 3 THEN 4 ELSE folder_id END AS folder_id, count(*) AS n FROM images GROUP BY 1) i ON i.folder_id = f.id WHERE f.id <> 3""",
+)
+def wr9_merge_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A region merged into another, two that change places, one renamed with all its nations going elsewhere: one batch."""
+    c = star_catalog(spark, sf_dir)
+    regions = spark.createDataFrame(list(REGIONS.items()), "path string, to_path string")
+    nations = c.folders.where("parent_id = 5").select("path", F.concat(F.lit("/ORIENT/"), "name").alias("to_path"))
+    done, _ = rename_folders(c, regions.unionByName(nations))
+    held = done.images.groupBy(F.col("folder_id").alias("id")).agg(F.count(F.lit(1)).alias("images"))
+    return done.folders.join(held, "id", "left").select("id", "parent_id", "path", F.coalesce("images", F.lit(0)).alias("images"))
+
+
+BATCH = """SELECT CASE WHEN o_orderpriority <> '1-URGENT' THEN '/orders/' || o_custkey || '/Order_' || CASE WHEN o_orderpriority = '2-HIGH' THEN o_custkey ELSE o_orderkey END END AS path,
+    o_custkey + CASE WHEN o_orderpriority = '5-LOW' THEN 100000000 ELSE 1000 END AS folder_id, CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN CAST(floor(o_totalprice) AS BIGINT) END AS size, o_orderkey, o_orderdate FROM orders"""
+
+
+@query(
+    "snk1_quarantine",
+    """SELECT coalesce(reason, CASE WHEN i.path IS NULL THEN 'new' ELSE 'known' END) AS state, count(*) AS n FROM (
+        SELECT path, CASE WHEN reason IS NULL AND row_number() OVER (PARTITION BY path, reason IS NULL, CASE WHEN reason IS NOT NULL THEN o_orderkey END ORDER BY o_orderdate DESC, size DESC) > 1 THEN 'repeated' ELSE reason END AS reason FROM (
+        SELECT b.*, CASE WHEN b.path IS NULL THEN 'no path' WHEN size IS NULL THEN 'no size' WHEN f.id IS NULL THEN 'no folder' END AS reason FROM batch b LEFT JOIN folders f ON b.folder_id = f.id)) j
+    LEFT JOIN images i ON j.path = i.path GROUP BY 1""",
+    batch=BATCH,
+)
+def snk1_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch with a row for each order, of which some have no path, size or folder, or a path twice; how many come to what. Nothing is gone from disk, so there are no moves."""
+    c = star_catalog(spark, sf_dir)
+    p, k = F.col("o_orderpriority"), F.col("o_custkey")
+    path = F.when(p != "1-URGENT", F.concat(F.lit("/orders/"), k, F.lit("/Order_"), F.when(p == "2-HIGH", k).otherwise(F.col("o_orderkey"))))
+    files = table(spark, sf_dir, "orders").select(
+        path.alias("path"),
+        (k + F.when(p == "5-LOW", 100_000_000).otherwise(1000)).alias("folder_id"),
+        F.lit("n").alias("filename"), *(F.lit(1).alias(c) for c in ("width", "height")),
+        F.when(p != "4-NOT SPECIFIED", F.floor("o_totalprice").cast("long")).alias("size"),
+        F.lit("png").alias("format"), F.col("o_orderdate").alias("modified_at"), F.col("o_orderdate").alias("created_at"),
+    )
+    _, told, bad, _ = writes.upsert_checked(c, files, c.images)
+    states = bad.select(F.col("reason").alias("state")).unionByName(told.select(F.when(F.col("is_new"), "new").otherwise("known").alias("state")))
+    return states.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("srt6_seek_pages", "SELECT id, CAST((row_number() OVER (ORDER BY size ASC NULLS LAST, lower(filename), id) - 1) // ((SELECT count(*) FROM images) // 4 + 1) AS BIGINT) AS page FROM images")
+def srt6_seek_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All images, a page after the other, each from where the one before ended."""
+    c = star_catalog(spark, sf_dir)
+    c = c.put(images=materialize(c.images, "images"))
+    asked = LibraryQuery.listed(sort_by="size", sort_order="asc", limit=c.images.count() // 4 + 1)
+    pages, cursor = [], None
+    while len(pages) == 0 or cursor is not None:
+        page = materialize(asked.page_after(c, cursor), "page")
+        pages.append(page.select("id", F.lit(len(pages)).cast("long").alias("page")))
+        cursor = asked.cursor(page)
+    told = pages[0]
+    for more in pages[1:]:
+        told = told.unionByName(more)
+    return told
+
+
+BY_FORMAT = {"id % 10 = 1": "format = 'jpg'", "id % 10 = 2": "format = 'jpeg'", "id % 10 = 3": "format = 'png'", "image_id % 10 = 1": "image_id IN (SELECT id FROM images WHERE format = 'jpg')"}
+
+
+def _by_format(sql: str) -> str:
+    for a, b in reversed(BY_FORMAT.items()):
+        sql = sql.replace(a, b)
+    return sql
+
+
+@query("ag11_merge_on_read", _by_format(AFTER), before=COUNTERS, steps=_by_format(STEPS))
+def ag11_merge_on_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters after three batches (removed, added and moved images, each of one format), with a batch that comes again and a compaction between them."""
+    c = star_catalog(spark, sf_dir)
+    held = c.image_tags.groupBy("image_id").agg(F.collect_list("tag_id").alias("tag_ids"))
+    i, none = c.images, F.lit(None).cast("long")
+    gone = i.where("format = 'jpg'").select(F.lit("removed").alias("op"), F.col("id").alias("image_id"), "folder_id", none.alias("old_folder_id")).join(held, "image_id", "left")
+    tags = F.lit(None).cast("array<long>").alias("tag_ids")
+    born = i.where("format = 'jpeg'").select(F.lit("added").alias("op"), F.col("id").alias("image_id"), F.lit(1001).cast("long").alias("folder_id"), none.alias("old_folder_id"), tags)
+    moved = i.where("format = 'png'").select(F.lit("updated").alias("op"), F.col("id").alias("image_id"), F.lit(1002).cast("long").alias("folder_id"), F.col("folder_id").alias("old_folder_id"), tags)
+    ways = hierarchy.closure(c.folders)
+    log = stats.CounterLog(spark, shared_path(spark, "counters"))
+    log.start(stats.counters(c))
+    batches = [stats.counter_deltas(b.select("op", "image_id", "folder_id", "old_folder_id", "tag_ids"), c.folders, ways) for b in (moved, born, gone)]
+    for k in (0, 1, 0):
+        log.append(batches[k], k)
+    log.compact(0)
+    for k in (0, 1, 2, 2):
+        log.append(batches[k], k)
+    return log.read()
