@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from vitrine.llm.components import components
 from vitrine.llm.workers import tidy
-from vitrine.sources.shared import Scratch, materialize
+from vitrine.sources.shared import Scratch, materialize, sweep
 
 BITS = 64
 SEED = 42
@@ -641,6 +641,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col
         nodes = work.table(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min_by("text_key", "doc_id").alias("text_key"), *(F.first(c).alias(c) for c in ("n", *words_, *parities_))), "nodes")
         keys = prints.where("doc_id IS NOT NULL").select("node", "n", "first").mapInArrow(keys_of, "run long, node long, n int, at int")
         met = work.table(keys.repartition("run").sortWithinPartitions("run", "n", "node").mapInArrow(met_rows, "run long, node long, n int, at int, next long"), "met")
+        sweep(spark)
         close = hamming_links(nodes.where("least IS NOT NULL").select(F.col("fp0").alias("fp"), "node"), COPY_RADIUS, work=work)
         # of the rows that follow a set under its keys, the most frequent one and one more: two pairs a set, however large its group is
         follows = met.where("next IS NOT NULL").groupBy("node", "next").count().groupBy("node").agg(F.max_by("next", "count").alias("most"), F.min("next").alias("least"))
@@ -648,6 +649,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col
         pairs = next_.select(F.least("node", "next").alias("a"), F.greatest("node", "next").alias("b")).unionByName(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         first = work.table(pairs.distinct(), "pairs")
         links = decided(work.table(likely_pairs(first), "likely"), work)
+        sweep(spark)
         placed = work.table(met.join(components(links, work), "node", "left").select("run", "node", "n", "at", F.coalesce("root", "node").alias("root")), "placed")
         split = placed.groupBy("run").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / bucket_rows).alias("blocks")).where("low < high").select("run", "blocks")
         own, met_ = F.pmod(F.xxhash64("node"), "blocks"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -656,6 +658,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col
         told = nodes.select("node", *words_, *parities_)
         crossed = dealt.select("run", "root", "node", "n", "at", "own", "alone").join(told, "node").repartition("run").sortWithinPartitions("run", "root", "node").mapInArrow(crossing, "a long, b long").distinct()
         more = decided(work.table(crossed.join(first, ["a", "b"], "left_anti"), "pairs"), work)
+        sweep(spark)
         roots = components(links.unionByName(more), work)
         placed = work.table(nodes.join(roots, "node", "left").select("node", "least", "text_key", F.coalesce("root", "node").alias("root")), "roots")
         best = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.min_by("text_key", "least").alias("kept_key"))
