@@ -6,12 +6,14 @@ import struct
 import time
 import zlib
 from collections import defaultdict
+from dataclasses import replace
 
 import xxhash
 from pyspark.sql import functions as F
 
-from vitrine.llm.secrets import RULES, scan_blobs, secret_findings, spans_text
+from vitrine.llm.secrets import RULES, scan_blobs, secret_findings, spans_text, unseen_blobs
 from vitrine.llm.sharding import jump_shards, shard_documents
+from vitrine.sources.shared import materialize
 
 TEXTS = [
     None,
@@ -51,16 +53,23 @@ def test_spans_match_brute_force(spark, docs):
 
 
 def test_ledger_scans_only_what_is_new(spark, none):
-    old = spark.createDataFrame([(1, TEXTS[3]), (2, "plain")], "doc_id long, text string")
-    ledger = scan_blobs(old)
-    marked = ledger.withColumn("spans", F.expr("transform(spans, s -> named_struct('start', 9000 + s.start, 'kind', s.kind, 'end', 9000 + s.end))"))
-    new = spark.createDataFrame([(1, TEXTS[3]), (3, TEXTS[6]), (4, None)], "doc_id long, text string")
-    after = scan_blobs(new, ledger=marked).collect()
-    assert len(after) == 4 and {r.version for r in after} == {"base-1"}
-    spans = {r.blob: r.spans for r in after}
-    assert all(s.start >= 9000 for s in spans[hashlib.sha256(TEXTS[3].encode()).hexdigest()])  # told by the ledger
-    again = scan_blobs(new, ledger=marked, version="base-2").collect()
-    assert len(again) == 5 and sum(r.version == "base-2" for r in again) == 3
+    """Texts that the ledger has aren't scanned again, but by rules that are new or have a new version."""
+    digest = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    old = spark.createDataFrame([(1, TEXTS[3]), (2, "plain"), (5, TEXTS[6])], "doc_id long, text string")
+    ledger = scan_blobs(old, rules=RULES[:2])
+    marked = ledger.withColumn("spans", F.expr("transform(spans, s -> named_struct('start', 9000 + s.start, 'rule', s.rule, 'end', 9000 + s.end))"))
+    new = spark.createDataFrame([(1, TEXTS[3]), (3, TEXTS[6]), (4, None), (6, TEXTS[6])], "doc_id long, text string")
+    assert {r.blob: r.wanted for r in unseen_blobs(new, marked).collect()} == {digest(TEXTS[3]): 4, digest(TEXTS[6]): 4, digest(None): 7}
+    assert unseen_blobs(new, marked, rules=RULES[:2]).count() == 1 and unseen_blobs(old, marked, rules=RULES[:2]).count() == 0
+    after = scan_blobs(new, ledger=marked)
+    rows = {(r.blob, tuple(r.rules)): r.spans for r in after.collect()}
+    names = tuple(r.name for r in RULES)
+    assert set(rows) == {(digest(t), names[:2]) for t in (TEXTS[3], "plain", TEXTS[6])} | {(digest(t), names[2:]) for t in (TEXTS[3], TEXTS[6])} | {(digest(None), names)}
+    told = {r.doc_id: r.spans for r in secret_findings(new, ledger=marked).collect()}
+    assert all(s.start >= 9000 for s in told[1])  # told by the ledger
+    assert told[3] == told[6] and {s.kind for s in told[3]} == {2} and told[4] == []
+    newer = (RULES[0], replace(RULES[1], version="base-2"), RULES[2])
+    assert {r.wanted for r in unseen_blobs(new, materialize(after, "l"), rules=newer).collect()} == {2}
     assert secret_findings(none).count() == 0
 
 
