@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions import media, paths, text
@@ -301,8 +301,8 @@ def src4_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.detect(named, formats.registry(spark), content_col=None).select("id", "format_name", "category", "playback")
 
 
-# Joins and statistics. From here on, remainders of ids make up what has changed (files on disk, events, changes to apply) as the star
-# schema has no such tables; the catalog's tables that they meet are whole.
+# Joins and statistics. From here on, an order's priority (an image's format) and its status (how its filename begins) tell what has changed: files on disk,
+# events, changes to apply. Whole tables go in.
 
 
 @query("jn2_tags_of_images", "SELECT image_id, t.id, name, row_number() OVER (PARTITION BY image_id ORDER BY order_index, name) AS place FROM tags t JOIN image_tags ON t.id = tag_id")
@@ -312,16 +312,23 @@ def jn2_tags_of_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("image_id", F.col("tag_id").alias("id"), "name", F.row_number().over(Window.partitionBy("image_id").orderBy("order_index", "name")).alias("place"))
 
 
-DISK = """SELECT path, CASE WHEN id % 7 = 0 THEN coalesce(size, 0) + 1 ELSE coalesce(size, 0) END AS size,
-    modified_at + INTERVAL {half} * (CASE WHEN id % 5 = 0 THEN 1 ELSE 0 END) + INTERVAL {one} * (CASE WHEN id % 9 = 0 THEN 1 ELSE 0 END) AS modified_at FROM images WHERE id % 10 > 0
-    UNION ALL SELECT path || '_new', coalesce(size, 0), modified_at FROM images WHERE id % 20 = 0"""
+DISK = """SELECT path, CASE WHEN format = 'jpg' THEN coalesce(size, 0) + 1 ELSE coalesce(size, 0) END AS size,
+    modified_at + INTERVAL {half} * (CASE WHEN format IN ('jpeg', 'png') THEN 1 ELSE 0 END) + INTERVAL {one} * (CASE WHEN format IN ('png', 'JPG') THEN 1 ELSE 0 END) AS modified_at FROM images WHERE NOT starts_with(filename, 'part.')
+    UNION ALL SELECT path || '_new', coalesce(size, 0), modified_at FROM images WHERE starts_with(filename, 'part.')"""
+
+
+def _is(*formats: str) -> Column:
+    return F.coalesce(F.col("format").isin(*formats), F.lit(False))
+
+
+PARTIAL = "filename LIKE 'part.%'"
 
 
 def _disk(c: Catalog) -> DataFrame:
     i = c.images.withColumn("size", F.coalesce("size", F.lit(0)))
-    at = F.timestamp_micros(F.unix_micros(F.col("modified_at").cast("timestamp")) + F.when(F.col("id") % 5 == 0, 500_000).otherwise(0) + F.when(F.col("id") % 9 == 0, 1_000_000).otherwise(0))
-    had = i.where("id % 10 > 0").select("path", (F.col("size") + (F.col("id") % 7 == 0).cast("int")).alias("size"), at.alias("modified_at"))
-    return had.unionByName(i.where("id % 20 = 0").select(F.concat("path", F.lit("_new")).alias("path"), "size", F.col("modified_at").cast("timestamp").alias("modified_at")))
+    at = F.timestamp_micros(F.unix_micros(F.col("modified_at").cast("timestamp")) + F.when(_is("jpeg", "png"), 500_000).otherwise(0) + F.when(_is("png", "JPG"), 1_000_000).otherwise(0))
+    had = i.where(f"NOT {PARTIAL}").select("path", (F.col("size") + _is("jpg").cast("int")).alias("size"), at.alias("modified_at"))
+    return had.unionByName(i.where(PARTIAL).select(F.concat("path", F.lit("_new")).alias("path"), "size", F.col("modified_at").cast("timestamp").alias("modified_at")))
 
 
 JN7 = """SELECT d.path, CASE WHEN i.path IS NULL THEN 'new' WHEN coalesce(d.size = i.size AND abs(epoch_us(d.modified_at) - epoch_us(i.modified_at)) < 1000000, false) THEN 'clean' ELSE 'changed' END AS state
@@ -344,21 +351,21 @@ def ag9_scan_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.diff_totals(jn7_snapshot_diff(spark, sf_dir))
 
 
-FOUND = "SELECT '/moved/' || id AS path, size, created_at FROM images WHERE id % 50 = 0 OR id % 7 = 0"
-HERE = "SELECT path FROM images WHERE id % 50 > 0"
+FOUND = "SELECT '/moved/' || id AS path, size, created_at FROM images WHERE starts_with(filename, 'part.') OR format = 'jpeg'"
+HERE = "SELECT path FROM images WHERE NOT starts_with(filename, 'part.')"
 MOVES = """SELECT f.path, l.id, l.folder_id AS had_folder FROM (SELECT *, row_number() OVER (PARTITION BY size, created_at ORDER BY path) AS nth FROM found_files) f
     JOIN (SELECT *, row_number() OVER (PARTITION BY size, created_at ORDER BY id) AS nth FROM images WHERE path NOT IN (SELECT path FROM still_there)) l
     ON f.size = l.size AND f.created_at = l.created_at AND f.nth = l.nth"""
 
 
 def _found(c: Catalog) -> DataFrame:
-    return c.images.where("id % 50 = 0 OR id % 7 = 0").select(F.concat(F.lit("/moved/"), "id").alias("path"), "size", "created_at")
+    return c.images.where(f"{PARTIAL} OR format = 'jpeg'").select(F.concat(F.lit("/moved/"), "id").alias("path"), "size", "created_at")
 
 
 @query("jn8_move_detect", MOVES, found_files=FOUND, still_there=HERE)
 def jn8_move_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = star_catalog(spark, sf_dir)
-    return ingest.match_moves(_found(c), c.images, c.images.where("id % 50 > 0"))
+    return ingest.match_moves(_found(c), c.images, c.images.where(f"NOT {PARTIAL}"))
 
 
 @query("jn10_batch_tag", "SELECT DISTINCT image_id, tag_id FROM (SELECT id AS image_id, t AS tag_id FROM images, (VALUES (1), (2), (3)) v(t) WHERE rating = 5 UNION ALL SELECT image_id, tag_id FROM image_tags)")
@@ -414,23 +421,23 @@ def ag10_cache_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.cache_usage(star_catalog(spark, sf_dir).images)
 
 
-# removed: ids that end in 1; added: as many new ones in folder 1001; updated: those that end in 3 go to folder 1002
+# removed: jpg; added: as many as there are jpeg, in folder 1001; updated: png go to folder 1002
 AFTER = """SELECT kind, key, CAST(CASE WHEN kind IN ('total', 'untagged') THEN n - gone ELSE greatest(n - gone, 0) END + born AS BIGINT) AS count FROM (
     SELECT kind, key, sum(n) AS n, sum(gone) AS gone, sum(born) AS born FROM (
     SELECT kind, key, count AS n, 0 AS gone, 0 AS born FROM before
-    UNION ALL SELECT 'total', NULL, 0, 1, 0 FROM images WHERE id % 10 = 1 UNION ALL SELECT 'total', NULL, 0, 0, 1 FROM images WHERE id % 10 = 2
-    UNION ALL SELECT 'untagged', NULL, 0, 1, 0 FROM images WHERE id % 10 = 1 AND id NOT IN (SELECT image_id FROM image_tags) UNION ALL SELECT 'untagged', NULL, 0, 0, 1 FROM images WHERE id % 10 = 2
-    UNION ALL SELECT 'tag', tag_id, 0, 1, 0 FROM image_tags WHERE image_id % 10 = 1
+    UNION ALL SELECT 'total', NULL, 0, 1, 0 FROM images WHERE format = 'jpg' UNION ALL SELECT 'total', NULL, 0, 0, 1 FROM images WHERE format = 'jpeg'
+    UNION ALL SELECT 'untagged', NULL, 0, 1, 0 FROM images WHERE format = 'jpg' AND id NOT IN (SELECT image_id FROM image_tags) UNION ALL SELECT 'untagged', NULL, 0, 0, 1 FROM images WHERE format = 'jpeg'
+    UNION ALL SELECT 'tag', tag_id, 0, 1, 0 FROM image_tags WHERE image_id IN (SELECT id FROM images WHERE format = 'jpg')
     UNION ALL SELECT 'folder', folder_id, 0, gone, born FROM steps
     UNION ALL SELECT 'folder_recursive', ancestor, 0, gone, born FROM steps JOIN closure c ON c.id = folder_id) GROUP BY kind, key)"""
-STEPS = """SELECT folder_id, 1 AS gone, 0 AS born FROM images WHERE id % 10 = 1 UNION ALL SELECT 1001, 0, 1 FROM images WHERE id % 10 = 2
-    UNION ALL SELECT folder_id, 1, 0 FROM images WHERE id % 10 = 3 AND folder_id <> 1002 UNION ALL SELECT 1002, 0, 1 FROM images WHERE id % 10 = 3 AND folder_id <> 1002"""
+STEPS = """SELECT folder_id, 1 AS gone, 0 AS born FROM images WHERE format = 'jpg' UNION ALL SELECT 1001, 0, 1 FROM images WHERE format = 'jpeg'
+    UNION ALL SELECT folder_id, 1, 0 FROM images WHERE format = 'png' AND folder_id <> 1002 UNION ALL SELECT 1002, 0, 1 FROM images WHERE format = 'png' AND folder_id <> 1002"""
 
 
 def _changes(c: Catalog) -> DataFrame:
-    op = F.element_at(F.array(*(F.lit(x) for x in ("removed", "added", "updated"))), (F.col("id") % 10).cast("int"))
-    held = c.image_tags.where("image_id % 10 = 1").groupBy("image_id").agg(F.collect_list("tag_id").alias("tag_ids"))
-    rows = c.images.where("id % 10 IN (1, 2, 3)").select(op.alias("op"), F.col("id").alias("image_id"), F.when(op == "removed", F.col("folder_id")).when(op == "added", 1001).otherwise(1002).alias("folder_id"), F.when(op == "updated", F.col("folder_id")).alias("old_folder_id"))
+    op = F.when(_is("jpg"), "removed").when(_is("jpeg"), "added").otherwise("updated")
+    rows = c.images.where("format IN ('jpg', 'jpeg', 'png')").select(op.alias("op"), F.col("id").alias("image_id"), F.when(op == "removed", F.col("folder_id")).when(op == "added", 1001).otherwise(1002).alias("folder_id"), F.when(op == "updated", F.col("folder_id")).alias("old_folder_id"))
+    held = c.image_tags.join(rows.where("op = 'removed'").select("image_id"), "image_id", "left_semi").groupBy("image_id").agg(F.collect_list("tag_id").alias("tag_ids"))
     return rows.join(held, "image_id", "left").select("op", "image_id", "folder_id", "old_folder_id", "tag_ids")
 
 
@@ -500,10 +507,10 @@ def srt11_depth_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.tree_rows(star_catalog(spark, sf_dir).tags, ["order_index", "name"])
 
 
-@query("set3_prune", "SELECT id, path FROM folders WHERE (path = '/ASIA' OR starts_with(path, '/ASIA/')) AND id % 3 > 0")
+@query("set3_prune", "SELECT id, path FROM folders WHERE (path = '/ASIA' OR starts_with(path, '/ASIA/')) AND name >= 'J'")
 def set3_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = star_catalog(spark, sf_dir)
-    return ingest.orphaned_folders(c.folders, c.folders.where("id % 3 = 0").select(F.concat("path", F.lit("/")).alias("path")), "/ASIA")
+    return ingest.orphaned_folders(c.folders, c.folders.where("name < 'J'").select(F.concat("path", F.lit("/")).alias("path")), "/ASIA")
 
 
 @query("set4_tag_changes", "SELECT CASE WHEN w THEN 'add' ELSE 'remove' END AS op, tag_id FROM (SELECT tag_id, bool_or(image_id = 42) AS w, bool_or(image_id = 7) AS h FROM image_tags WHERE image_id IN (7, 42) GROUP BY tag_id) WHERE w <> h")
@@ -521,13 +528,13 @@ def set4_tag_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.id IS NULL AND m.id IS NULL AS is_new FROM all_files f LEFT JOIN images k ON f.path = k.path LEFT JOIN ({MOVES}) m ON f.path = m.path""",
     found_files=FOUND,
     still_there=HERE,
-    all_files="SELECT path FROM found_files UNION ALL SELECT path FROM images WHERE id % 50 = 3",
+    all_files="SELECT path FROM found_files UNION ALL SELECT path FROM images WHERE format = 'jpg' AND NOT starts_with(filename, 'part.')",
 )
 def wr1_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = star_catalog(spark, sf_dir)
-    new = c.images.where("id % 50 = 0 OR id % 7 = 0").withColumn("path", F.concat(F.lit("/moved/"), "id"))
-    given = new.unionByName(c.images.where("id % 50 = 3")).withColumn("folder_id", F.lit(1001).cast("long"))
-    told = writes.upsert_images(c, given.select("path", "folder_id", *writes.FILE_COLUMNS, "created_at"), c.images.where("id % 50 > 0"))[1]
+    new = c.images.where(f"{PARTIAL} OR format = 'jpeg'").withColumn("path", F.concat(F.lit("/moved/"), "id"))
+    given = new.unionByName(c.images.where(f"format = 'jpg' AND NOT {PARTIAL}")).withColumn("folder_id", F.lit(1001).cast("long"))
+    told = writes.upsert_images(c, given.select("path", "folder_id", *writes.FILE_COLUMNS, "created_at"), c.images.where(f"NOT {PARTIAL}"))[1]
     return told.withColumn("id", F.when(~F.col("is_new"), F.col("id"))).select("path", "id", "old_folder_id", "is_new")
 
 
@@ -542,17 +549,17 @@ def wr3_thumbnails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writes.thumbnail_failed(c, 9, "bad").images.select("id", "thumbnail_path", "thumbnail_attempts", "thumbnail_last_error")
 
 
-@query("wr4_delete_context", "SELECT path, i.id, folder_id, coalesce(string_agg(CAST(tag_id AS VARCHAR), ',' ORDER BY tag_id), '') AS tag_ids FROM images i LEFT JOIN image_tags ON i.id = image_id WHERE i.id % 100 = 9 GROUP BY path, i.id, folder_id")
+@query("wr4_delete_context", "SELECT path, i.id, folder_id, coalesce(string_agg(CAST(tag_id AS VARCHAR), ',' ORDER BY tag_id), '') AS tag_ids FROM images i LEFT JOIN image_tags ON i.id = image_id WHERE i.format = 'JPG' GROUP BY path, i.id, folder_id")
 def wr4_delete_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = star_catalog(spark, sf_dir)
-    gone = writes.delete_images(c, c.images.where("id % 100 = 9").select("path"))[1]
+    gone = writes.delete_images(c, c.images.where("format = 'JPG'").select("path"))[1]
     return gone.withColumn("tag_ids", F.array_join("tag_ids", ","))
 
 
-@query("wr5_rename_images", "SELECT path || '.moved' AS to, id, nullif(folder_id, 1002) AS old_folder_id FROM images WHERE id % 20 = 4 AND width IS NOT NULL AND height IS NOT NULL AND format IS NOT NULL")
+@query("wr5_rename_images", "SELECT path || '.moved' AS to, id, nullif(folder_id, 1002) AS old_folder_id FROM images WHERE format = 'png' AND width IS NOT NULL AND height IS NOT NULL AND format IS NOT NULL")
 def wr5_rename_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = star_catalog(spark, sf_dir)
-    renames = c.images.where("id % 20 = 4").select(F.col("path").alias("from"), F.concat("path", F.lit(".moved")).alias("to"), F.lit("n").alias("filename"), F.lit(1002).cast("long").alias("folder_id"))
+    renames = c.images.where("format = 'png'").select(F.col("path").alias("from"), F.concat("path", F.lit(".moved")).alias("to"), F.lit("n").alias("filename"), F.lit(1002).cast("long").alias("folder_id"))
     return writes.rename_images(c, renames)[1]
 
 
@@ -767,35 +774,35 @@ def st3_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "st5_rename_pairs",
-    "SELECT g.path, n.path AS to_path FROM (SELECT path, size, created_at, row_number() OVER (PARTITION BY size, created_at ORDER BY path) AS k FROM images WHERE id % 30 = 2) g JOIN (SELECT '/new/' || id AS path, size, created_at, row_number() OVER (PARTITION BY size, created_at ORDER BY '/new/' || id) AS k FROM images WHERE id % 60 = 2) n ON g.size = n.size AND g.created_at = n.created_at AND g.k = n.k",
+    "SELECT g.path, n.path AS to_path FROM (SELECT path, size, created_at, row_number() OVER (PARTITION BY size, created_at ORDER BY path) AS k FROM images WHERE format = 'jpg') g JOIN (SELECT '/new/' || id AS path, size, created_at, row_number() OVER (PARTITION BY size, created_at ORDER BY '/new/' || id) AS k FROM images WHERE format = 'jpg' AND starts_with(filename, 'Open_')) n ON g.size = n.size AND g.created_at = n.created_at AND g.k = n.k",
 )
 def st5_rename_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = star_catalog(spark, sf_dir).images
     none = F.lit(None).cast("string")
     row = ("size", "created_at")
-    gone = images.where("id % 30 = 2").select(F.lit("/r").alias("root"), F.lit("remove").alias("op"), "path", none.alias("to_path"), F.lit(False).alias("is_dir"), *row)
-    new = images.where("id % 60 = 2").select(F.lit("/r").alias("root"), F.lit("add").alias("op"), F.concat(F.lit("/new/"), "id").alias("path"), none.alias("to_path"), F.lit(False).alias("is_dir"), *row)
+    gone = images.where("format = 'jpg'").select(F.lit("/r").alias("root"), F.lit("remove").alias("op"), "path", none.alias("to_path"), F.lit(False).alias("is_dir"), *row)
+    new = images.where("format = 'jpg' AND startswith(filename, 'Open_')").select(F.lit("/r").alias("root"), F.lit("add").alias("op"), F.concat(F.lit("/new/"), "id").alias("path"), none.alias("to_path"), F.lit(False).alias("is_dir"), *row)
     return changes.pair_untracked(gone.unionByName(new), images).where("op = 'rename'").select("path", "to_path")
 
 
 @query(
     "st6_apply_batch",
-    """SELECT 'updated' AS op, id AS image_id, nullif(folder_id, 0) AS old_folder_id FROM images WHERE id % 40 = 1 AND width IS NOT NULL AND height IS NOT NULL AND format IS NOT NULL
-    UNION ALL SELECT 'removed', id, NULL FROM images WHERE id % 40 = 3 UNION ALL SELECT 'updated', id, folder_id FROM images WHERE id % 40 = 5""",
+    """SELECT 'updated' AS op, id AS image_id, nullif(folder_id, 0) AS old_folder_id FROM images WHERE format = 'jpg' AND width IS NOT NULL AND height IS NOT NULL AND format IS NOT NULL
+    UNION ALL SELECT 'removed', id, NULL FROM images WHERE format = 'jpeg' UNION ALL SELECT 'updated', id, folder_id FROM images WHERE format = 'png'""",
 )
 def st6_apply_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Renames, removals and rewritten files of one batch; the folders of the paths are new, so each rewritten or renamed image changes folder."""
     c = star_catalog(spark, sf_dir)
-    kind = F.when(F.col("id") % 40 == 1, "rename").when(F.col("id") % 40 == 3, "remove").otherwise("add")
-    ops = c.images.where("id % 40 IN (1, 3, 5)").select(kind.alias("op"), "path", F.when(kind == "rename", F.concat(F.lit("/renamed/"), "id")).alias("to_path"), F.lit(False).alias("is_dir"))
-    return apply_batch(c, ops, c.images.where("id % 40 = 5"), c.images).changes.select("op", "image_id", "old_folder_id")
+    kind = F.when(_is("jpg"), "rename").when(_is("jpeg"), "remove").otherwise("add")
+    ops = c.images.where("format IN ('jpg', 'jpeg', 'png')").select(kind.alias("op"), "path", F.when(kind == "rename", F.concat(F.lit("/renamed/"), "id")).alias("to_path"), F.lit(False).alias("is_dir"))
+    return apply_batch(c, ops, c.images.where("format = 'png'"), c.images).changes.select("op", "image_id", "old_folder_id")
 
 
-@query("st7_due_removals", "SELECT path FROM images WHERE id % 10 = 1 AND id % 4 > 0")
+@query("st7_due_removals", "SELECT path FROM images WHERE format = 'jpg' AND NOT starts_with(filename, 'Open_')")
 def st7_due_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = star_catalog(spark, sf_dir).images
-    since = F.when(F.col("id") % 4 > 0, F.timestamp_seconds(F.lit(998))).otherwise(F.timestamp_seconds(F.lit(999)))
-    pending = images.where("id % 10 = 1").select("path", since.alias("since"))
+    since = F.when(F.col("filename").startswith("Open_"), F.timestamp_seconds(F.lit(999))).otherwise(F.timestamp_seconds(F.lit(998)))
+    pending = images.where("format = 'jpg'").select("path", since.alias("since"))
     return changes.due_removals(pending, images, F.timestamp_seconds(F.lit(1000)))[0]
 
 

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from vitrine.functions import media
 from vitrine.operators import hierarchy, intervals, stats, writes
+from vitrine.plans import search
 from vitrine.plans.search import LibraryQuery
 from vitrine.queries import AFTER, COUNTERS, EVENTS, STEPS, _events, query
+from vitrine.sources import files, formats
 from vitrine.sources.catalog import Catalog, star_catalog
 from vitrine.sources.shared import materialize, shared_path, table
 from vitrine.sources.trigrams import TrigramIndex
@@ -254,16 +257,7 @@ def srt6_seek_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told
 
 
-BY_FORMAT = {"id % 10 = 1": "format = 'jpg'", "id % 10 = 2": "format = 'jpeg'", "id % 10 = 3": "format = 'png'", "image_id % 10 = 1": "image_id IN (SELECT id FROM images WHERE format = 'jpg')"}
-
-
-def _by_format(sql: str) -> str:
-    for a, b in reversed(BY_FORMAT.items()):
-        sql = sql.replace(a, b)
-    return sql
-
-
-@query("ag11_merge_on_read", _by_format(AFTER), before=COUNTERS, steps=_by_format(STEPS))
+@query("ag11_merge_on_read", AFTER, before=COUNTERS, steps=STEPS)
 def ag11_merge_on_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters after three batches (removed, added and moved images, each of one format), with a batch that comes again and a compaction between them."""
     c = star_catalog(spark, sf_dir)
@@ -283,3 +277,99 @@ def ag11_merge_on_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k in (0, 1, 2, 2):
         log.append(batches[k], k)
     return log.read()
+
+
+# Files made of orders: a header of each kind, by priority and status, that holds an order's width and height behind others of its segments.
+
+SIZES = "SELECT o_orderkey AS id, o_orderkey % 4000 + 1 AS width, o_orderkey % 3000 + 1 AS height, CASE o_orderpriority WHEN '1-URGENT' THEN 'JPEG Image' WHEN '2-HIGH' THEN 'WebP Image' WHEN '3-MEDIUM' THEN 'TIFF Image' WHEN '4-NOT SPECIFIED' THEN 'PNG Image' ELSE 'GIF Image' END AS format_name FROM orders"
+
+
+def made_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, path, head) of a file for each order; names say nothing of the kind."""
+    k = F.col("o_orderkey")
+    w, h = k % 4000 + 1, k % 3000 + 1
+    big = lambda x, n: F.format_string(f"%0{2 * n}X", x)
+    little = lambda x, n: F.concat(*(F.substring(big(x, n), 2 * j + 1, 2) for j in reversed(range(n))))
+    pad = F.col("o_custkey") % 300
+    jpeg = F.concat(F.lit("FFD8FFE000104A46494600010100000100010000FFE1"), big(pad + 2, 2), F.expr("repeat('C0', CAST(o_custkey % 300 AS INT))"), F.lit("FFFFDB0003AAFFC4000411FF"), F.when(F.col("o_orderstatus") == "F", "FFC2").otherwise("FFC0"), F.lit("001108"), big(h, 2), big(w, 2), F.lit("03012200"))
+    lossless = little(F.shiftleft(h - 1, 14) + (w - 1), 4)
+    webp = F.concat(F.lit("52494646AAAAAAAA57454250"), F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("565038580A00000000000000"), little(w - 1, 3), little(h - 1, 3))).when(F.col("o_orderstatus") == "O", F.concat(F.lit("5650384C0A0000002F"), lossless)).otherwise(F.concat(F.lit("565038200A000000AAAAAA9D012A"), little(w, 2), little(h, 2))))
+    tiff = F.when(
+        F.col("o_orderstatus") == "F",
+        F.concat(F.lit("49492A0010000000AAAAAAAAAAAAAAAA0300FE00040001000000000000000001030001000000"), little(w, 2), F.lit("00000101040001000000"), little(h, 4)),
+    ).otherwise(F.concat(F.lit("4D4D002A0000000800020100000400000001"), big(w, 4), F.lit("0101000300000001"), big(h, 2), F.lit("0000")))
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), big(w, 4), big(h, 4))
+    gif = F.concat(F.lit("474946383961"), little(w, 2), little(h, 2))
+    p = F.col("o_orderpriority")
+    code = F.when(p == "1-URGENT", jpeg).when(p == "2-HIGH", webp).when(p == "3-MEDIUM", tiff).when(p == "4-NOT SPECIFIED", png).otherwise(gif)
+    return table(spark, sf_dir, "orders").select(k.alias("id"), F.concat(F.lit("/files/"), k, F.lit(".txt")).alias("path"), F.unhex(code).alias("head"))
+
+
+@query("src2_headers", "SELECT id, width, height FROM sizes", sizes=SIZES)
+def src2_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.header_dimensions(made_files(spark, sf_dir)).select("id", "width", "height")
+
+
+@query("src4_detect_content", "SELECT id, format_name FROM sizes", sizes=SIZES)
+def src4_detect_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formats.detect(made_files(spark, sf_dir), formats.registry(spark), content_col="head").select("id", "format_name")
+
+
+# The rest of what the catalog's checks, thumbnails and waveforms tell, over whole tables.
+
+BROKEN = {
+    "folders_b": "SELECT id, parent_id, CASE WHEN parent_id = 104 THEN '/same' ELSE path END AS path FROM folders WHERE path <> '/ASIA'",
+    "images_b": "SELECT id, CASE WHEN format = 'jpg' THEN folder_id + 100000000 ELSE folder_id END AS folder_id, CASE WHEN format = 'png' THEN '/dup/' || folder_id ELSE path END AS path FROM images WHERE NOT starts_with(filename, 'part.')",
+    "tags_b": "SELECT id, 'T' || order_index AS name FROM tags WHERE order_index <> 3",
+    "links_b": "SELECT * FROM image_tags UNION ALL SELECT l.* FROM image_tags l JOIN tags ON tag_id = id AND order_index = 2",
+}
+
+
+def _twice(rule: str, of: str, key: str) -> str:
+    return f"SELECT '{rule}' AS rule, {key} AS key, count(*) AS n FROM {of} GROUP BY {key} HAVING count(*) > 1"
+
+
+def _lost(rule: str, of: str, column: str, to: str) -> str:
+    return f"SELECT '{rule}' AS rule, CAST({column} AS VARCHAR) AS key, count(*) AS n FROM {of} WHERE {column} IS NOT NULL AND {column} NOT IN (SELECT id FROM {to}) GROUP BY {column}"
+
+
+@query(
+    "ck_all_rules",
+    " UNION ALL ".join(
+        (
+            _twice("folders.path", "folders_b", "path"), _twice("images.path", "images_b", "path"), _twice("tags.name", "tags_b", "name"), _twice("image_tags", "links_b", "image_id || '/' || tag_id"),
+            _lost("folders.parent_id", "folders_b", "parent_id", "folders_b"), _lost("images.folder_id", "images_b", "folder_id", "folders_b"),
+            _lost("image_tags.image_id", "links_b", "image_id", "images_b"), _lost("image_tags.tag_id", "links_b", "tag_id", "tags_b"),
+        )
+    ),
+    **BROKEN,
+)
+def ck_all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog that breaks every rule."""
+    c = star_catalog(spark, sf_dir)
+    folders = c.folders.where("path <> '/ASIA'").withColumn("path", F.when(F.col("parent_id") == 104, "/same").otherwise(F.col("path")))
+    images = c.images.where("filename NOT LIKE 'part.%'").withColumn("path", F.when(F.col("format") == "png", F.concat(F.lit("/dup/"), "folder_id")).otherwise(F.col("path")))
+    images = images.withColumn("folder_id", F.when(F.col("format") == "jpg", F.col("folder_id") + 100_000_000).otherwise(F.col("folder_id")))
+    tags = c.tags.where("order_index <> 3").withColumn("name", F.concat(F.lit("T"), "order_index"))
+    again = c.image_tags.join(c.tags.where("order_index = 2").select(F.col("id").alias("tag_id")), "tag_id", "left_semi").select("image_id", "tag_id")
+    return c.put(folders=folders, images=images, tags=tags, image_tags=c.image_tags.unionByName(again)).violations()
+
+
+@query("flt32_limited", "SELECT least(count(*), 50) AS n, count(*) = 0 AS is_empty FROM images WHERE thumbnail_path IS NULL AND thumbnail_attempts < 3")
+def flt32_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many images without a thumbnail as a batch takes, whichever they are."""
+    n = F.count(F.lit(1))
+    return search.needs_thumbnail(star_catalog(spark, sf_dir).images, limit=50).agg(n.alias("n"), (n == 0).alias("is_empty"))
+
+
+@query(
+    "ag12_peaks",
+    """SELECT user_id, CAST(k - 1 AS BIGINT) AS place, peaks[k] / top AS peak FROM (SELECT *, list_max(peaks) AS top FROM (SELECT user_id, CASE WHEN len(loud) <= 16 THEN loud
+        ELSE list_transform(range(16), lambda p: list_max(loud[p * (len(loud) // 16) + 1 : (p + 1) * (len(loud) // 16)])) END AS peaks FROM sounds)), unnest(range(1, len(peaks) + 1)) u(k)""",
+    sounds="SELECT user_id, list(abs(value - 30) ORDER BY event_id) AS loud FROM events GROUP BY user_id",
+)
+def ag12_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen peaks of what each user's events were worth, as of a sound's samples."""
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", (F.col("value") - 30).alias("value")))).alias("samples"))
+    peaks = rows.select("user_id", F.posexplode(media.waveform(F.transform("samples", lambda x: x["value"]), points=16)).alias("place", "peak"))
+    return peaks.select("user_id", F.col("place").cast("long").alias("place"), "peak")
