@@ -10,6 +10,10 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Most rows of a table of keys that is broadcast: some 64 MB as a hash table of two numbers a row.
+FEW_ROWS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +59,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return _write(df, shared_path(df.sparkSession, label))
 
 
+def few(written: DataFrame, most: int = FEW_ROWS) -> DataFrame:
+    """A written table of a few short columns, to be broadcast where it meets another if it has at most `most` rows; the planner only learns so when it has shuffled the other one."""
+    return F.broadcast(written) if written.count() <= most else written
+
+
 def sweep(spark: SparkSession) -> None:
     """Let the shuffle files of finished jobs go. They stay as long as the driver's JVM holds their plans, which it only notices when it collects garbage."""
     gc.collect()
