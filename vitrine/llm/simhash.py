@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from vitrine.llm.components import components
 from vitrine.llm.workers import tidy
-from vitrine.sources.shared import Scratch, materialize, sweep
+from vitrine.sources.shared import Scratch, few, materialize, sweep
 
 BITS = 64
 SEED = 42
@@ -627,7 +627,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col
         """The pairs that are similar enough by their whole sets, which are made again from the texts of these nodes alone."""
         ends = work.table(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct(), "ends")
         wanted = work.table(nodes.join(ends, "node", "left_semi").select("node", F.col("least").alias("doc_id"), "text_key"), "wanted")
-        texts = work.table(keyed.join(wanted, ["doc_id", "text_key"]).select("node", "text"), "texts")
+        texts = work.table(keyed.join(few(wanted), ["doc_id", "text_key"]).select("node", "text"), "texts")
         if texts.count() > ends.count():  # rows with the same id and text
             texts = work.table(texts.dropDuplicates(["node"]), "texts")
         met = likely.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
