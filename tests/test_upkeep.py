@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.catalogs import small_catalog
+from vitrine.functions import media
 from vitrine.functions.text import trigram_contains
 from vitrine.operators import layout, stats, writes
 from vitrine.plans.search import LibraryQuery
@@ -255,3 +256,8 @@ def test_headers_that_end_early_or_lie(spark):
     assert got == {n: none for n in (*codes, "null")} | {"whole": (20, 10), "tables": (2, 1), "png": (7, 9)}
     scanned = spark.createDataFrame([("a", "png", bytearray.fromhex(codes["png"]), T0), ("b", None, None, T0)], "path string, format string, head binary, modified_at timestamp")
     assert [(r.path, r.width, r.created_at) for r in files.file_metadata(scanned).collect()] == [("a", 7, T0)]
+
+
+def test_thumbnail_names(spark):
+    rows = spark.createDataFrame([("/a/b.png",), ("/a/c.png",), ("/a/b.png",), (None,)], "path string").select(media.thumbnail_name(F.col("path")).alias("n")).collect()
+    assert rows[0] == rows[2] != rows[1] and rows[3].n is None and rows[0].n.endswith(".webp") and len(rows[0].n) == 21

@@ -146,6 +146,11 @@ def cache_key(*parts: Column) -> Column:
     return F.lower(F.lpad(F.hex(F.xxhash64(*parts)), 16, "0"))
 
 
+def thumbnail_name(path: Column) -> Column:
+    """The file that an image's thumbnail is kept in: a digest of its path, so the same for every scan; null for none."""
+    return F.when(path.isNotNull(), F.concat(cache_key(path), F.lit(".webp")))
+
+
 def waveform(samples: Column, points: int = WAVEFORM_POINTS) -> Column:
     """Peaks of at most `points` chunks of `samples` (array of floats), as shares of the highest; silence stays zero.
 

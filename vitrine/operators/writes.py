@@ -7,7 +7,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from vitrine.functions.paths import replace_prefix
+from vitrine.functions.paths import is_under, replace_prefix
 from vitrine.functions.text import equals_nocase
 from vitrine.operators.hierarchy import missing_folders, nearest_ancestor, subtree
 from vitrine.operators.ingest import match_moves
@@ -156,9 +156,10 @@ def rename_images(catalog: Catalog, renames: DataFrame, at: Column | None = None
 # folders
 
 
-def ensure_folders(catalog: Catalog, paths: DataFrame) -> Catalog:
-    """The catalog with every folder on the way to `paths` (path); new ones hang on their parents."""
-    new = materialize(with_ids(missing_folders(paths, catalog.folders), catalog.folders, ["path"]), "folders")
+def ensure_folders(catalog: Catalog, paths: DataFrame, root: str | None = None) -> Catalog:
+    """The catalog with every folder on the way to `paths` (path); new ones hang on their parents. With `root`, a scan's, only those at it or below it: what lies above is not a library's."""
+    missing = missing_folders(paths, catalog.folders)
+    new = materialize(with_ids(missing if root is None else missing.where(is_under(F.col("path"), root)), catalog.folders, ["path"]), "folders")
     either = catalog.folders.select("id", "path").unionByName(new.select("id", "path")).select(F.col("id").alias("above_id"), F.col("path").alias("parent_path"))
     hung = new.join(either, "parent_path", "left").select("id", F.col("above_id").alias("parent_id"), "path", "name", F.lit(False).alias("is_root"))
     return catalog.put(folders=catalog.folders.unionByName(_fit(hung, "folders")))

@@ -133,6 +133,13 @@ def find_folder(folders: DataFrame, path: str) -> DataFrame:
     return near.join(F.broadcast(best), F.col("exact") == F.col("any_exact"), "left_semi").drop("exact")  # best is one row
 
 
+def listed_after(listed: DataFrame, removed: DataFrame, page: DataFrame) -> DataFrame:
+    """A list of images that is shown, without the ids in `removed` (id), and with the rows of a further `page` that it doesn't have yet; a row that the page has too stays as it is listed."""
+    kept = listed.join(removed.select("id"), "id", "left_anti").select(listed.columns)
+    more = page.join(removed.select("id"), "id", "left_anti").join(listed.select("id"), "id", "left_anti")
+    return kept.unionByName(more.select(listed.columns))
+
+
 def suggestions(names: DataFrame, text: str, chosen: DataFrame, name_col: str = "name") -> DataFrame:
     """Names that contain `text` in any case and aren't in `chosen`."""
     return names.where(F.lower(name_col).contains(text.lower())).join(chosen.select(name_col), name_col, "left_anti")

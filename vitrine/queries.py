@@ -281,14 +281,24 @@ VALUES = ", ".join("({}, {}, {}, {}, {})".format(r[0], *(repr(x) if "'" not in x
 REGISTRY = f"SELECT * FROM (VALUES {VALUES}) v(place, name, extensions, category, playback)"
 
 
-@query("src5_registry", "SELECT place, name, len(string_split(extensions, ' ')) AS n_extensions, category, playback FROM known_formats", known_formats=REGISTRY)
+@query(
+    "src5_registry",
+    """SELECT place, name, len(string_split(extensions, ' ')) AS n_extensions, category, playback, count(i.id) AS n_images FROM known_formats
+        LEFT JOIN images i ON list_contains(string_split(extensions, ' '), lower(i.format)) GROUP BY ALL""",
+    known_formats=REGISTRY,
+)
 def src5_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return formats.registry(spark).select("place", "name", F.size("extensions").alias("n_extensions"), "category", "playback")
+    """Every format, with how many images have one of its extensions."""
+    held = star_catalog(spark, sf_dir).images.groupBy(F.lower("format").alias("extension")).count()
+    ways = formats.registry(spark).select("*", F.explode("extensions").alias("extension")).join(held, "extension", "left")
+    return ways.groupBy("place", "name", F.size("extensions").alias("n_extensions"), "category", "playback").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n_images"))
 
 
-@query("src6_extension_map", "SELECT extension, arg_max(name, place) AS name FROM (SELECT unnest(string_split(extensions, ' ')) AS extension, name, place FROM known_formats) GROUP BY extension", known_formats=REGISTRY)
+@query("src6_extension_map", "SELECT extension, arg_max(name, place) AS name, count(DISTINCT i.id) AS n_images FROM (SELECT unnest(string_split(extensions, ' ')) AS extension, name, place FROM known_formats) LEFT JOIN images i ON lower(i.format) = extension GROUP BY extension", known_formats=REGISTRY)
 def src6_extension_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return formats.by_extension(formats.registry(spark), last_wins=True).select("extension", "name")
+    """What each extension stands for, with how many images have it."""
+    held = star_catalog(spark, sf_dir).images.groupBy(F.lower("format").alias("extension")).agg(F.count(F.lit(1)).alias("n_images"))
+    return formats.by_extension(formats.registry(spark), last_wins=True).join(held, "extension", "left").select("extension", "name", F.coalesce("n_images", F.lit(0)).alias("n_images"))
 
 
 @query(

@@ -373,3 +373,23 @@ def ag12_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", (F.col("value") - 30).alias("value")))).alias("samples"))
     peaks = rows.select("user_id", F.posexplode(media.waveform(F.transform("samples", lambda x: x["value"]), points=16)).alias("place", "peak"))
     return peaks.select("user_id", F.col("place").cast("long").alias("place"), "peak")
+
+
+@query(
+    "wr8_scan_folders",
+    "SELECT DISTINCT '/orders/7/Order_' || o_orderkey AS path, '/orders/7' AS parent FROM orders WHERE o_custkey = 7 UNION ALL SELECT '/orders/7', NULL FROM (SELECT 1 FROM orders WHERE o_custkey = 7 LIMIT 1)",
+)
+def wr8_scan_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders for all orders' paths as far as they lie in the scanned one."""
+    c = star_catalog(spark, sf_dir)
+    done = writes.ensure_folders(c, c.images.select("path"), root="/orders/7").folders
+    above = done.select(F.col("id").alias("parent_id"), F.col("path").alias("parent"))
+    return done.where("path LIKE '/orders%'").join(above, "parent_id", "left").select("path", "parent")
+
+
+@query("set6_list_upkeep", "SELECT id, filename FROM images WHERE NOT coalesce(format = 'jpg', false) AND (rating >= 4 OR rating <= 1 OR size > 100000 AND rating = 3)")
+def set6_list_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of the best rated images, after all jpg went and what is large or badly rated came, of which some is there already."""
+    i = star_catalog(spark, sf_dir).images.select("id", "filename", "format", "rating", "size")
+    page = i.where("rating <= 1 OR size > 100000 AND rating >= 3")
+    return search.listed_after(i.where("rating >= 4"), i.where("format = 'jpg'"), page).select("id", "filename")
