@@ -6,9 +6,9 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from catalogs import small_catalog
 from pyspark.sql import functions as F
 
-from tests.catalogs import small_catalog
 from vitrine.functions import media
 from vitrine.functions.text import trigram_contains
 from vitrine.operators import layout, stats, writes
@@ -168,13 +168,13 @@ def test_folders_merge_and_change_places_at_once(spark):
         folders=spark.createDataFrame([(*f, f[2].rsplit("/", 1)[1], f[1] is None) for f in folders], "id long, parent_id long, path string, name string, is_root boolean"),
         images=spark.createDataFrame(images, "id long, folder_id long, path string"),
     )
-    renames = [("/a", "/b"), ("/p", "/q"), ("/q", "/p"), ("/one", "/new"), ("/two", "/new"), ("/none", "/other"), ("/b/x/z", "/b/x/z")]
+    renames = [("/a", "/b"), ("/a/x/y", "/a/x/why"), ("/p", "/q"), ("/q", "/p"), ("/one", "/new"), ("/two", "/new"), ("/none", "/other"), ("/b/x/z", "/b/x/z")]
     done, unknown = rename_folders(c, spark.createDataFrame(renames, "path string, to_path string"))
     assert [r.path for r in unknown.collect()] == ["/none"]
     assert {r.id: (r.parent_id, r.path, r.name) for r in done.folders.collect()} == {
-        4: (None, "/b", "b"), 5: (4, "/b/x", "x"), 3: (5, "/b/x/y", "y"), 6: (5, "/b/x/z", "z"), 7: (None, "/q", "q"), 8: (7, "/q/in", "in"), 9: (None, "/p", "p"), 10: (None, "/new", "new"),
+        4: (None, "/b", "b"), 5: (4, "/b/x", "x"), 3: (5, "/a/x/why", "why"), 6: (5, "/b/x/z", "z"), 7: (None, "/q", "q"), 8: (7, "/q/in", "in"), 9: (None, "/p", "p"), 10: (None, "/new", "new"),
     }
-    assert {r.id: (r.folder_id, r.path) for r in done.images.collect()} == {1: (4, "/b/i1"), 2: (5, "/b/x/i2"), 3: (3, "/b/x/y/i3"), 4: (5, "/b/x/i4"), 5: (8, "/q/in/i5"), 6: (9, "/p/i6"), 7: (10, "/new/i7"), 8: (10, "/new/i8")}
+    assert {r.id: (r.folder_id, r.path) for r in done.images.collect()} == {1: (4, "/b/i1"), 2: (5, "/b/x/i2"), 3: (3, "/a/x/why/i3"), 4: (5, "/b/x/i4"), 5: (8, "/q/in/i5"), 6: (9, "/p/i6"), 7: (10, "/new/i7"), 8: (10, "/new/i8")}
 
 
 def test_counters_are_the_same_in_any_order(spark):

@@ -23,29 +23,22 @@ class Applied:
     refresh: bool
 
 
-def rename_folders(catalog: Catalog, renames: DataFrame) -> tuple[Catalog, DataFrame]:
-    """After all of `renames` (path, to_path) at once, and those whose folder the catalog doesn't have.
-
-    Every path below a renamed folder takes the new head of the closest one above it, by a join on the path's ancestors; all renames speak of the paths before
-    any of them, so two folders may change places. Folders that come to one path are merged: the one that was there, or else the smallest id, takes the others' children and images
-    in its place, at any depth. A merged folder keeps its parent. Images that come to one path all stay; violations() tells them. Of several renames of one path the greatest new one counts.
-    """
-    renames = renames.groupBy("path").agg(F.max("to_path").alias("to_path"))
-    known = materialize(renames.join(catalog.folders.select("path"), "path", "left_semi").where("path <> to_path"), "renames")
-    unknown = renames.join(catalog.folders.select("path"), "path", "left_anti")
-
-    def moved(table: DataFrame) -> DataFrame:
-        heads = known.select(F.col("path").alias("head"), F.col("to_path").alias("new_head"))
-        ways = table.select("id", "path", F.explode(ancestors(F.col("path"))).alias("head")).join(heads, "head")
-        best = ways.groupBy("id").agg(F.max_by(F.struct("head", "new_head"), F.char_length("head")).alias("m"))
-        met = table.join(best, "id", "left")
-        path = F.when(F.col("m").isNotNull(), F.concat("m.new_head", F.substr("path", F.char_length("m.head") + 1))).otherwise(F.col("path"))
-        return met.withColumn("path", path).withColumn("has_moved", F.col("m").isNotNull()).drop("m")
-
-    folders, images = materialize(moved(catalog.folders), "folders"), moved(catalog.images)
+def _moved(table: DataFrame, heads: DataFrame) -> DataFrame:
+    """`table` (id, path, ..) with what is at or below one of `heads` (path, to_path) under its new head, that of the closest one above, and whether it has moved."""
+    named = heads.select(F.col("path").alias("head"), F.col("to_path").alias("new_head"))
+    ways = table.select("id", "path", F.explode(ancestors(F.col("path"))).alias("head")).join(named, "head")
+    best = ways.groupBy("id").agg(F.max_by(F.struct("head", "new_head"), F.char_length("head")).alias("m"))
+    met = table.join(best, "id", "left")
+    path = F.when(F.col("m").isNotNull(), F.concat("m.new_head", F.substr("path", F.char_length("m.head") + 1))).otherwise(F.col("path"))
+    return met.withColumn("path", path).withColumn("has_moved", F.col("m").isNotNull()).drop("m")
+
+
+def _renamed(catalog: Catalog, heads: DataFrame) -> Catalog:
+    """After `heads` (path, to_path) all at once; folders that come to one path are merged into the one that was there, or else the smallest id."""
+    folders, images = materialize(_moved(catalog.folders, heads), "folders"), _moved(catalog.images, heads)
     keep = folders.groupBy("path").agg(F.min(F.struct("has_moved", "id")).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("path", F.col("keep.id").alias("kept_id"))
     merged = materialize(folders.join(keep, "path").where("id <> kept_id").select(F.col("id").alias("gone_id"), "kept_id"), "merged")
-    own = known.select(F.col("to_path").alias("path"), F.lit(True).alias("own")).distinct()
+    own = heads.select(F.col("to_path").alias("path"), F.lit(True).alias("own")).distinct()
     named = folders.join(own, "path", "left").withColumn("name", F.when(F.col("own") & F.col("has_moved"), basename(F.col("path"))).otherwise(F.col("name")))
     left = named.join(merged.select(F.col("gone_id").alias("id")), "id", "left_anti")
 
@@ -53,7 +46,29 @@ def rename_folders(catalog: Catalog, renames: DataFrame) -> tuple[Catalog, DataF
         met = table.join(merged.withColumnRenamed("gone_id", column), column, "left")
         return met.withColumn(column, F.coalesce("kept_id", column))
 
-    return catalog.put(folders=remapped(left, "parent_id").select(catalog.folders.columns), images=remapped(images, "folder_id").select(catalog.images.columns)), unknown
+    return catalog.put(folders=remapped(left, "parent_id").select(catalog.folders.columns), images=remapped(images, "folder_id").select(catalog.images.columns))
+
+
+def rename_folders(catalog: Catalog, renames: DataFrame) -> tuple[Catalog, DataFrame]:
+    """After all of `renames` (path, to_path) at once, and those whose folder the catalog doesn't have.
+
+    Every path below a renamed folder takes the new head of the closest one above it, by a join on the path's ancestors. Where the new path is a folder already, and none that is renamed itself, the two are
+    merged first, so what a merged folder has goes wherever the other goes. Other renames speak of the paths before any of them, so two folders may change places. Folders that come to one path are merged at any
+    depth: the one that was there, or else the smallest id, takes the others' children and images. A folder keeps its parent. Images that come to one path all stay; violations() tells them. Of
+    several renames of one path the greatest new one counts.
+    """
+    renames = renames.groupBy("path").agg(F.max("to_path").alias("to_path"))
+    known = materialize(renames.join(catalog.folders.select("path"), "path", "left_semi").where("path <> to_path"), "renames")
+    unknown = renames.join(catalog.folders.select("path"), "path", "left_anti")
+    there = catalog.folders.select(F.col("path").alias("to_path"))
+    merges = materialize(known.join(there, "to_path", "left_semi").join(known.select(F.col("path").alias("to_path")), "to_path", "left_anti"), "merges")
+    plain = known.join(merges.select("path"), "path", "left_anti").select("path", "to_path")
+    if not merges.isEmpty():
+        merges = merges.select("path", "to_path")
+        catalog = _renamed(catalog, merges)
+        # a renamed folder inside a merged one is where that went by now
+        plain = materialize(_moved(plain.select(F.col("path").alias("id"), "path", "to_path"), merges).select("path", "to_path"), "plain")
+    return _renamed(catalog, plain), unknown
 
 
 def _with_folders(catalog: Catalog, paths: DataFrame) -> Catalog:
