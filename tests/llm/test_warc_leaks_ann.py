@@ -302,6 +302,19 @@ def test_lists_with_little_chance_arent_probed(spark):
     assert index.probes(x[:200], 21)[0].mean() < 0.25
 
 
+def test_the_sample_is_a_share_of_the_table(spark, monkeypatch):
+    """Tables of any size are searched by an index that hasn't seen most of them; only a few hundred vectors give more."""
+    seen = []
+    fit = ann.fit
+    monkeypatch.setattr(ann, "fit", lambda sample, rows, k: seen.append((len(sample), rows)) or fit(sample, rows, k))
+    x = np.random.default_rng(6).normal(size=(3_000, 8))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    search(df, queries_every=500).collect()
+    search(df.where("vec_id < 200"), queries_every=50).collect()
+    search(df, queries_every=500, train_rows=300).collect()
+    assert 600 < seen[0][0] < 900 and 120 < seen[1][0] <= 200 and 200 < seen[2][0] < 420
+
+
 def test_dimensions_must_agree(spark):
     with pytest.raises(ValueError, match="dimensions"):
         search(spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0])], "vec_id long, embedding array<double>"))

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from vitrine.llm.workers import tidy
 from vitrine.sources.shared import Scratch, materialize
 
-#: The index is fitted on a hash sample of about this many distinct vectors, or all if there are fewer.
-TRAIN_ROWS = 20_000
+#: The index is fitted on a hash sample of the distinct vectors: SHARE of them, but about TRAIN_ROWS at most. A sample of under LEAST times the rows that a query wants would say too little, so
+#: tables of a few hundred vectors give more of theirs.
+TRAIN_ROWS, SHARE, LEAST = 20_000, 0.25, 8
 #: Queries of the sample that the probing is calibrated on, and the share of their true neighbours that the probed lists must hold.
 CALIBRATION_QUERIES, COVERAGE = 1_000, 0.96
 #: Dimensions of a product quantiser's part, and centroids of each.
@@ -242,7 +243,8 @@ def search(table: DataFrame, queries_every: int = 20, k: int = 20, id_col: str =
         least = vectors.withColumn("nth", F.row_number().over(by_id)).where(F.col("nth") <= wanted)
         entries = work.table(least.groupBy("vec").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select(F.monotonically_increasing_id().alias("node"), "vec", "ids"), "entries")
         rows = entries.count()
-        thinned = entries if rows <= train_rows else entries.where(F.shiftrightunsigned(F.xxhash64("vec"), 32) < F.lit(int(train_rows / rows * 2**32)))
+        share = min(1.0, max(min(SHARE, train_rows / max(rows, 1)), LEAST * wanted / max(rows, 1)))
+        thinned = entries.where(F.shiftrightunsigned(F.xxhash64("vec"), 32) < F.lit(int(share * 2**32)))
         sample = thinned.select("vec", F.col("ids")[0].alias("vec_id")).toPandas().sort_values(["vec_id", "vec"]).drop_duplicates("vec_id")
         sample = _vectors(sample["vec"], dims)[np.random.default_rng(0).permutation(len(sample))]
         index = spark.sparkContext.broadcast(fit(sample, rows, k))
