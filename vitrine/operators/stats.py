@@ -45,8 +45,7 @@ def counters(catalog: Catalog) -> DataFrame:
     t = totals(catalog)
     none = F.lit(None).cast("long")
     parts = [
-        t.select(F.lit("total").alias("kind"), none.alias("key"), F.col("total_images").alias("count")),
-        t.select(F.lit("untagged").alias("kind"), none.alias("key"), F.col("untagged_images").alias("count")),
+        t.select(F.inline(F.array(*(F.struct(F.lit(kind).alias("kind"), none.alias("key"), F.col(f"{kind}_images").alias("count")) for kind in ("total", "untagged"))))),
         tag_counts(catalog).select(F.lit("tag").alias("kind"), F.col("tag_id").alias("key"), "count"),
         folder_counts(catalog).select(F.lit("folder").alias("kind"), F.col("folder_id").alias("key"), "count"),
         folder_counts_recursive(catalog).select(F.lit("folder_recursive").alias("kind"), F.col("folder_id").alias("key"), "count"),

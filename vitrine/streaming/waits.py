@@ -11,18 +11,21 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from vitrine.streaming.changes import GRACE_SECONDS
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_PROVIDER, _PARTITIONS = "spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions"
 
 
 @contextmanager
-def keyed_state(spark: SparkSession) -> Iterator[None]:
-    """Queries that are started inside keep their state where timers need it; the session's setting comes back after that."""
-    had = spark.conf.get(_PROVIDER)
+def keyed_state(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
+    """Queries that are started inside keep their state where timers need it, in so many parts (a query's parts stay as they were when it first ran); the session's settings come back after that."""
+    had = {name: spark.conf.get(name) for name in (_PROVIDER, _PARTITIONS)}
     spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    if partitions:
+        spark.conf.set(_PARTITIONS, str(partitions))
     try:
         yield
     finally:
-        spark.conf.set(_PROVIDER, had)
+        for name, value in had.items():
+            spark.conf.set(name, value)
 
 
 class _Grace(StatefulProcessor):

@@ -107,7 +107,7 @@ def flt8_trigram_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Streams over whole events. Files arrive in order of time, a part of the events each, and the query is started anew for each part with its checkpoint.
 
-PARTS = 3
+PARTS, STATES = 3, 16
 
 
 def _arrivals(spark: SparkSession, events: DataFrame, at: str) -> Iterator[tuple[int, DataFrame]]:
@@ -122,7 +122,7 @@ def _arrivals(spark: SparkSession, events: DataFrame, at: str) -> Iterator[tuple
 def _run(spark: SparkSession, parts: Iterable[DataFrame], schema: StructType, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """What the stream `build` writes when each part arrives while it isn't running."""
     source, out, checkpoint = (shared_path(spark, x) for x in ("arrivals", "told", "offsets"))
-    with keyed_state(spark):
+    with keyed_state(spark, partitions=STATES):
         for part in parts:
             part.write.mode("append").parquet(source)
             stream = build(spark.readStream.schema(schema).parquet(source))
