@@ -79,12 +79,12 @@ def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets in every document, with a ledger of an earlier pass: English texts, with all rules but one.
+    """Secrets in every document, with a ledger of an earlier pass: French texts, with all rules but one.
 
-    The pass that tells the findings scans other texts with all rules, and the English ones with that one.
+    The pass that tells the findings scans other texts with all rules, and the French ones with that one.
     """
     docs = table(spark, sf_dir, "documents")
-    ledger = materialize(scan_blobs(docs.where("lang = 'en'"), rules=RULES[:2]), "ledger")
+    ledger = materialize(scan_blobs(docs.where("lang = 'fr'"), rules=RULES[:2]), "ledger")
     found = secret_findings(docs, ledger=ledger)
     kinds = F.transform("spans", lambda s: s["kind"])
     counts = [F.size(F.array_compact(F.transform(kinds, _only(k)))).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(RULES)]
