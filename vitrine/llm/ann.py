@@ -16,9 +16,9 @@ from vitrine.sources.shared import Scratch, materialize
 
 #: The index is fitted on a hash sample of the distinct vectors: SHARE of them, but about TRAIN_ROWS at most. A sample of under LEAST times the rows that a query wants would say too little, so
 #: tables of a few hundred vectors give more of theirs.
-TRAIN_ROWS, SHARE, LEAST = 20_000, 0.25, 8
+TRAIN_ROWS, SHARE, LEAST = 20_000, 0.25, 16
 #: Queries of the sample that the probing is calibrated on, and the share of their true neighbours that the probed lists must hold.
-CALIBRATION_QUERIES, COVERAGE = 1_000, 0.96
+CALIBRATION_QUERIES, COVERAGE = 1_000, 0.975
 #: Dimensions of a product quantiser's part, and centroids of each.
 PART_DIMS, PART_CENTROIDS = 4, 256
 #: Lists for the root of the number of vectors, and the most there are.
