@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from vitrine.functions import media
 from vitrine.functions.text import trigram_contains
 from vitrine.operators import layout, stats, writes
+from vitrine.plans import search
 from vitrine.plans.search import LibraryQuery
 from vitrine.sources import files
 from vitrine.sources.shared import materialize, shared_path
@@ -207,6 +208,26 @@ def test_pages_by_key_join_to_the_whole_sort(spark, by, order):
     assert (listed.sort_by, listed.sort_order, listed.limit, listed.folder_id) == ("modified_at", "desc", 100, 2)
 
 
+@pytest.mark.parametrize(("by", "order"), [("size", "asc"), ("size", "desc"), ("format", "asc"), ("filename", "desc"), ("added_at", "desc")])
+def test_large_pages_pass_through_no_single_task(spark, monkeypatch, by, order):
+    c = small_catalog(spark)
+    whole = [r.id for r in LibraryQuery(sort_by=by, sort_order=order).to_df(c).collect()]
+    large = LibraryQuery(sort_by=by, sort_order=order, limit=2_000)
+    for page in (large.to_df(c), large.page_after(c), LibraryQuery(sort_by=by, sort_order=order, offset=3).to_df(c)):
+        plan = page._jdf.queryExecution().executedPlan().toString()
+        assert "TakeOrderedAndProject" not in plan and "Limit" not in plan and "Offset" not in plan
+    monkeypatch.setattr(search, "ONE_TASK", 0)
+    for offset, limit in ((0, 3), (2, 4), (5, 9), (7, -1), (99, 2), (99, -1), (2, 0)):
+        want = whole[offset:] if limit < 0 else whole[offset : offset + limit]
+        assert [r.id for r in LibraryQuery(sort_by=by, sort_order=order, limit=limit, offset=offset).to_df(c).collect()] == want
+    asked, got, cursor = LibraryQuery(sort_by=by, sort_order=order, limit=3), [], None
+    for _ in range(4):
+        page = asked.page_after(c, cursor)
+        got += [r.id for r in page.collect()]
+        cursor = asked.cursor(page)
+    assert got == whole and cursor is None
+
+
 def plain_rows(widths, container, height, gap, stretch=1.2):
     rows, used = [], 0
     for k, w in enumerate(widths):

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.sources.shared import fresh, materialize
 
 
-def numbered(rows: DataFrame, order: list[str], name: str = "place") -> DataFrame:
-    """`rows` with their number, from 0, in the order of the columns `order` (ascending, nulls first; rows alike in all of them in any order).
+def numbered(rows: DataFrame, order: list[str] | list[Column], name: str = "place") -> DataFrame:
+    """`rows` with their number, from 0, in the order of the columns `order` (names: ascending, nulls first; columns: as they say; rows alike in all of them in any order).
 
     Ranges of the order are sorted and written on their own; a row's number is its range's start, from the ranges' counts, and its place in the range.
     """

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vitrine.functions.text import ascii_lower, equals_nocase, like_nocase
 from vitrine.operators.hierarchy import subtree
+from vitrine.operators.numbering import numbered
 from vitrine.plans.predicate import condition, parse
 from vitrine.sources.catalog import RESULT, Catalog
 
@@ -16,6 +17,8 @@ from vitrine.sources.catalog import RESULT, Catalog
 SORTABLE = ("filename", "created_at", "modified_at", "added_at", "size", "format", "rating")
 #: Rows of a page, and how the first one is sorted.
 PAGE, SORT = 100, ("modified_at", "desc")
+#: Pages that end within so many rows are sorted as the best rows of each task, which meet in one; others are told by the places of their ends.
+ONE_TASK = 1_000
 
 
 #: Where a page ends: the values of the sort's keys in its last row.
@@ -74,10 +77,28 @@ class LibraryQuery:
 
     def to_df(self, catalog: Catalog) -> DataFrame:
         """The page of matching images, sorted, with a search's columns."""
-        page = self.matching(catalog).select(*RESULT).orderBy(*self.order())
-        if self.offset > 0:
-            page = page.offset(self.offset)
-        return page.limit(self.limit) if self.limit >= 0 else page
+        return self._cut(self.matching(catalog), max(self.offset, 0))
+
+    def _cut(self, found: DataFrame, skip: int) -> DataFrame:
+        """Of the sorted rows of `found` the first `limit` after `skip`, with a search's columns.
+
+        A page that ends far from the start, or has no end, would pass through one task. There the keys alone are sorted in ranges and numbered, and the page is the rows between its ends' places. Ids must differ.
+        """
+        end = skip + self.limit
+        if self.limit < 0 and skip == 0 or self.limit >= 0 and end <= ONE_TASK:
+            page = found.select(*RESULT).orderBy(*self.order())
+            page = page.offset(skip) if skip else page
+            return page.limit(self.limit) if self.limit >= 0 else page
+        keys = [f"key_{n}" for n in range(len(self._keys()))]
+        first, *ties = keys
+        order = [F.col(first).asc_nulls_last() if self.sort_order == "asc" else F.col(first).desc_nulls_last(), *(F.col(key).asc() for key in ties)]
+        placed = numbered(found.select(*(key.alias(name) for name, (key, _) in zip(keys, self._keys(), strict=True))), order)
+        ends = {place: tuple(key) for *key, place in placed.where(F.col("place").isin(skip - 1, end - 1)).select(*keys, "place").collect()}  # two rows at most
+        if skip:
+            found = found.where(self._beyond(ends[skip - 1]) if skip - 1 in ends else F.lit(False))
+        if self.limit >= 0 and end - 1 in ends:
+            found = found.where(~self._beyond(ends[end - 1]))
+        return found.select(*RESULT).orderBy(*self.order())
 
     def page_after(self, catalog: Catalog, cursor: Cursor | None = None) -> DataFrame:
         """The first `limit` rows of the sorted matches that come after `cursor`, the place of an earlier page's last row (see cursor()); without one, the first page.
@@ -87,8 +108,7 @@ class LibraryQuery:
         found = self.matching(catalog)
         if cursor is not None:
             found = found.where(self._beyond(cursor))
-        page = found.select(*RESULT).orderBy(*self.order())
-        return page.limit(self.limit) if self.limit >= 0 else page
+        return self._cut(found, 0)
 
     def cursor(self, page: DataFrame) -> Cursor | None:
         """The place of the last row of `page` (of page_after()), for the next one; None if the page is empty and so the last."""
