@@ -64,6 +64,11 @@ def test_index_follows_updates_and_compaction(spark):
     assert spark.read.parquet(f"{small.path}/postings").where("id = 0 AND gram = 'zeb'").isEmpty()
 
 
+def test_texts_are_not_cut_by_patterns(spark):
+    plan = spark.range(1).select(grams_of(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and "zip_with" not in plan and "ArrowEvalPython" in plan
+
+
 def test_a_search_reads_few_slices(spark):
     rows = [(k, f"document {k} has words" + (" and a needle" if k in (17, 512) else "")) for k in range(2000)]
     index = TrigramIndex(spark, shared_path(spark, "t")).build(spark.createDataFrame(rows, "id long, text string"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,12 +22,16 @@ SLICES = 64
 GRAMS = 4
 
 
+def _distinct_grams(low: pa.Array) -> pa.Array:
+    """Per text its distinct runs of three characters."""
+    found = [pa.array({t[k : k + 3] for k in range(len(t) - 2)}, pa.string()) for t in (text.as_py() or "" for text in low)]
+    ends = np.cumsum([0, *map(len, found)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(found) if found else pa.array([], pa.string()))
+
+
 def grams_of(text: Column) -> Column:
     """The distinct trigrams of `text` with all letters' case folded, as an array; none for null and for less than 3 characters."""
-    first = F.regexp_extract_all(F.lower(text), F.lit("(?s)."), F.lit(0))
-    second, third = (F.slice(first, k, F.greatest(F.size(first), F.lit(1))) for k in (2, 3))
-    pairs = F.zip_with(first, second, lambda x, y: F.concat(x, y))  # null beyond the last
-    return F.coalesce(F.array_distinct(F.array_compact(F.zip_with(pairs, third, lambda x, y: F.concat(x, y)))), F.array().cast("array<string>"))
+    return F.arrow_udf(_distinct_grams, "array<string>")(F.lower(text))
 
 
 def pattern_grams(pattern: str) -> list[str]:
