@@ -9,6 +9,7 @@ import pytest
 from catalogs import small_catalog
 from pyspark.sql import functions as F
 
+from vitrine import upkeep
 from vitrine.functions import media
 from vitrine.functions.text import trigram_contains
 from vitrine.operators import layout, stats, writes
@@ -196,6 +197,18 @@ def test_counters_are_the_same_in_any_order(spark):
         assert {tuple(r) for r in log.read().collect()} == want
 
 
+def test_a_batch_that_comes_again_is_not_told_again(spark, monkeypatch):
+    plans, append = [], stats.CounterLog.append
+
+    def seen(log, deltas, batch):
+        plans.append(deltas._jdf.queryExecution().optimizedPlan().toString())
+        append(log, deltas, batch)
+
+    monkeypatch.setattr(stats.CounterLog, "append", seen)
+    assert not upkeep.ag11_merge_on_read(spark, "/root/testdata/sf0.001").isEmpty()
+    assert len(plans) == 7 and not any("Join" in p or "Aggregate" in p for p in plans)
+
+
 @pytest.mark.parametrize(("by", "order"), [("size", "asc"), ("size", "desc"), ("format", "asc"), ("filename", "desc"), ("added_at", "desc"), ("rating", "asc"), (None, None)])
 def test_pages_by_key_join_to_the_whole_sort(spark, by, order):
     c = small_catalog(spark)

@@ -270,7 +270,8 @@ def ag11_merge_on_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     ways = hierarchy.closure(c.folders)
     log = stats.CounterLog(spark, shared_path(spark, "counters"))
     log.start(stats.counters(c))
-    batches = [stats.counter_deltas(b.select("op", "image_id", "folder_id", "old_folder_id", "tag_ids"), c.folders, ways) for b in (moved, born, gone)]
+    # a batch that comes again is not told again
+    batches = [materialize(stats.counter_deltas(b.select("op", "image_id", "folder_id", "old_folder_id", "tag_ids"), c.folders, ways), "deltas") for b in (moved, born, gone)]
     for k in (0, 1, 0):
         log.append(batches[k], k)
     log.compact(0)
