@@ -62,6 +62,12 @@ def test_a_batch_keeps_catalog_and_counters(spark):
     assert rows(told, "kind", "key", "count") == rows(stats.counters(after).where("count > 0"), "kind", "key", "count")
 
 
+def test_no_renamed_folder_moves_nothing(spark):
+    c = small_catalog(spark)
+    done, unknown = rename_folders(c, spark.createDataFrame([("/nowhere", "/b"), ("/a/b", "/a/b")], "path string, to_path string"))
+    assert done is c and [tuple(r) for r in unknown.select("path", "to_path").collect()] == [("/nowhere", "/b")]
+
+
 def test_removed_folders_go_with_all_below(spark):
     c = small_catalog(spark)
     due = spark.createDataFrame([("/a/b",), ("/a/Dragon.png",), ("/A/empty",)], "path string")

@@ -60,6 +60,8 @@ def rename_folders(catalog: Catalog, renames: DataFrame) -> tuple[Catalog, DataF
     renames = renames.groupBy("path").agg(F.max("to_path").alias("to_path"))
     known = materialize(renames.join(catalog.folders.select("path"), "path", "left_semi").where("path <> to_path"), "renames")
     unknown = renames.join(catalog.folders.select("path"), "path", "left_anti")
+    if known.isEmpty():
+        return catalog, unknown  # no path changes, so none is walked
     there = catalog.folders.select(F.col("path").alias("to_path"))
     merges = materialize(known.join(there, "to_path", "left_semi").join(known.select(F.col("path").alias("to_path")), "to_path", "left_anti"), "merges")
     plain = known.join(merges.select("path"), "path", "left_anti").select("path", "to_path")
