@@ -101,3 +101,54 @@ def test_running_sum_keeps_columns_of_its_own_names(spark):
     found = sorted(running_sum(rows, ["id"], "v").collect())
     assert [r["before"] for r in found] == [sum(k % 3 for k in range(n)) for n in range(50)]
     assert all((r["part"], r["own"], r["start"]) == (1, 2, 3) for r in found)
+
+
+def walked(rows: list[tuple]) -> dict:
+    """(place, first, last, depth) by id of rows (id, parent_id, name), by a walk; loops are cut above their smallest id."""
+    parent, name = {i: p for i, p, _ in rows}, {i: n for i, _, n in rows}
+    loops = {}
+    for i in parent:
+        seen, at = [], i
+        while at in parent and at not in seen:
+            seen.append(at)
+            at = parent[at]
+        if at == i:
+            loops[i] = min(seen)
+    above = {i: p if p in parent and loops.get(i) != i else None for i, p in parent.items()}
+    key = lambda i: (name[i] is not None, name[i] or "", i)
+    children: dict = {}
+    for i in sorted(parent, key=key):
+        children.setdefault(above[i], []).append(i)
+    found, todo = {}, [(i, 0) for i in reversed(children.get(None, []))]
+    while todo:
+        i, depth = todo.pop()
+        found[i] = [len(found), len(found), None, depth]
+        todo += [(c, depth + 1) for c in reversed(children.get(i, []))]
+    for i, told in found.items():
+        told[2] = told[0] + len(below([(c, p) for c, p in above.items()], i)) - 1
+    return {i: tuple(t if i not in loops else (t[0], *found[loops[i]][1:3], t[3])) for i, t in found.items()}
+
+
+@pytest.mark.parametrize("block", [7, intervals.BLOCK])
+def test_trees_that_cross_blocks(spark, block):
+    rng = random.Random(block)
+    ids = rng.sample(range(1000), 150)
+    rows = [(i, ids[rng.randrange(max(0, k - 5), k)] if k % 40 else rng.choice([None, 5000]), rng.choice([None, "a", "b"])) for k, i in enumerate(ids)]
+    rows += [(2000 + k, 2000 + (k * 13 + 1) % 20, "z") for k in range(20)] + [(2100, 2005, "c"), (2101, 2100, None), (-5, 2101, "c"), (-7, -7, "d"), (2200, -7, "e")]
+    rng.shuffle(rows)
+    spans = intervals.intervals(spark.createDataFrame(rows, NODES + ", name string"), ["name"], block)
+    assert {r["id"]: (r["place"], r["first"], r["last"], r["depth"]) for r in spans.collect()} == walked(rows)
+
+
+def test_rounds_write_only_what_leads_from_block_to_block(spark, monkeypatch):
+    written = []
+
+    def counting(df, label):
+        told = materialize(df, label)
+        written.append((label, told.count()))
+        return told
+
+    monkeypatch.setattr(intervals, "materialize", counting)
+    spans = intervals.intervals(spark.createDataFrame([(k, k - 1 if k else None) for k in range(1000)], NODES))
+    assert [r["depth"] for r in spans.orderBy("id").collect()] == list(range(1000))
+    assert sum(n for label, n in written if label in ("up", "sizes", "numbers")) <= 20, written

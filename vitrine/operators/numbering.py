@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from vitrine.sources.shared import fresh, materialize
 
@@ -24,13 +29,20 @@ def numbered(rows: DataFrame, order: list[str] | list[Column], name: str = "plac
 def running_sum(rows: DataFrame, order: list[str], value: str, name: str = "before") -> DataFrame:
     """`rows` with the sum of `value` (a whole number, not null) over all rows before them in the order of the columns `order`, as numbered() sorts.
 
-    Sums run inside each range of the sorted table; a range starts from what the ones before it add up to.
+    Sums run inside each range as it is sorted and written; a range starts from what the ones before it add up to.
     """
-    at, part, start, own = (fresh(rows.columns, c) for c in ("at", "part", "start", "own"))
-    ranged = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()), "ranged")
-    parted = ranged.withColumn(part, F.shiftright(at, 33))
-    earlier = (Window.unboundedPreceding, -1)
-    starts = parted.groupBy(part).agg(F.sum(value).alias(start)).select(part, F.coalesce(F.sum(start).over(Window.orderBy(part).rowsBetween(*earlier)), F.lit(0)).alias(start))
-    summed = F.coalesce(F.sum(value).over(Window.partitionBy(part).orderBy(at).rowsBetween(*earlier)), F.lit(0))
-    met = parted.withColumn(own, summed).join(F.broadcast(starts), part)  # a row for each partition
-    return met.withColumn(name, F.col(start) + F.col(own)).drop(part, at, start, own)
+    part, start, own = (fresh(rows.columns, c) for c in ("part", "start", "own"))
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for batch in batches:
+            values = batch.column(value).to_numpy().astype(np.int64)
+            sums = total + np.cumsum(values)
+            yield batch.append_column(own, pa.array(sums - values))
+            total = sums[-1] if len(sums) else total
+
+    parted = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(part, F.spark_partition_id())
+    ranged = materialize(parted.mapInArrow(told, StructType([*parted.schema.fields, StructField(own, LongType())])), "ranged")
+    starts = ranged.groupBy(part).agg(F.sum(value).alias(start)).select(part, F.coalesce(F.sum(start).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(start))
+    met = ranged.join(F.broadcast(starts), part)  # a row for each partition
+    return met.withColumn(name, F.col(start) + F.col(own)).drop(part, start, own)
