@@ -152,3 +152,24 @@ def test_rounds_write_only_what_leads_from_block_to_block(spark, monkeypatch):
     spans = intervals.intervals(spark.createDataFrame([(k, k - 1 if k else None) for k in range(1000)], NODES))
     assert [r["depth"] for r in spans.orderBy("id").collect()] == list(range(1000))
     assert sum(n for label, n in written if label in ("up", "sizes", "numbers")) <= 20, written
+
+
+@pytest.mark.parametrize("block", [4, intervals.BLOCK])
+def test_counts_below_across_blocks_and_loops(spark, block):
+    rng = random.Random(5)
+    rows = [(k, rng.randrange(max(0, k - 9), k) if k % 30 else None) for k in range(90)] + [(200, 201), (201, 202), (202, 200), (203, 202), (204, 203), (300, 300), (301, 300)]
+    counts = [(k, k * k) for k, _ in rows if k % 3]
+    spans = intervals.intervals(spark.createDataFrame(rows, NODES))
+    found = dict(intervals.counts_below(spans, spark.createDataFrame(counts, "id long, count long"), block).collect())
+    assert found == {k: sum(n for i, n in counts if i in below(rows, k)) for k, _ in rows}
+
+
+def test_counts_below_look_up_ends_without_a_shuffle(spark):
+    spans = spark.range(3000).select("id", F.col("id").alias("place"), F.col("id").alias("first"), F.lit(2999).cast("long").alias("last"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for tables that are too large
+    try:
+        counts = intervals.counts_below(materialize(spans, "spans"), spark.range(3000).select("id", F.lit(1).cast("long").alias("count")))
+        assert "hashpartitioning" not in counts._jdf.queryExecution().toString()
+        assert {r["id"]: r["count"] for r in counts.collect()} == {k: 3000 - k for k in range(3000)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -90,6 +90,21 @@ def _below(up: np.ndarray, own: np.ndarray) -> np.ndarray:
     return total[:-1]
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.Table]:
+    """Tables of `block` rows, and one of what is left."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        while batch.num_rows:
+            room = block - sum(b.num_rows for b in held)
+            held.append(batch.slice(0, room))
+            batch = batch.slice(room)
+            if batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _in_blocks(nodes: DataFrame, block: int) -> DataFrame:
     """`nodes` with the columns `block` and `head`: ranges of ids, of at most `block` rows, each named by its first id, and the topmost node that a walk up from each one reaches in its range.
 
@@ -97,23 +112,10 @@ def _in_blocks(nodes: DataFrame, block: int) -> DataFrame:
     """
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            while batch.num_rows:
-                room = block - sum(b.num_rows for b in held)
-                held.append(batch.slice(0, room))
-                batch = batch.slice(room)
-                if batch.num_rows:
-                    yield from headed(held)
-                    held = []
-        if held:
-            yield from headed(held)
-
-    def headed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(held)
-        ids = rows["id"].combine_chunks()
-        heads = ids.take(pa.array(_heads(_parents(rows["id"], rows["parent_id"]))))
-        yield from rows.append_column("block", pa.repeat(ids[0], len(ids))).append_column("head", heads).to_batches()
+        for rows in _gathered(batches, block):
+            ids = rows["id"].combine_chunks()
+            heads = ids.take(pa.array(_heads(_parents(rows["id"], rows["parent_id"]))))
+            yield from rows.append_column("block", pa.repeat(ids[0], len(ids))).append_column("head", heads).to_batches()
 
     kind = nodes.schema["id"].dataType
     ranged = nodes.where("id IS NOT NULL").repartitionByRange("id").sortWithinPartitions("id")
@@ -235,13 +237,25 @@ def placed(rows: DataFrame, spans: DataFrame, node_col: str, place_col: str) ->
     return met.repartitionByRange(place_col).sortWithinPartitions(place_col).select(*rows.columns, place_col)
 
 
-def counts_below(spans: DataFrame, counts: DataFrame) -> DataFrame:
+def counts_below(spans: DataFrame, counts: DataFrame, block: int = BLOCK) -> DataFrame:
     """(id, count) of every node: the sum of `counts` (id, count) over it and all below it.
 
-    Counts are summed along the numbers; a subtree's sum is what has been summed at its end less what there was before it. Rows are one a node, however deep it lies.
+    Counts are summed along the numbers; a subtree's sum is what has been summed at its end less what there was before it. Both are looked up among the up to `block` rows, in order of
+    their numbers, that a task holds; what isn't there is joined. Rows are one a node, however deep it lies.
     """
     own = spans.join(counts.select("id", F.col("count").alias("own")), "id", "left").select("id", "place", "first", "last", F.coalesce("own", F.lit(0)).alias("own"))
     summed = materialize(running_sum(own, ["place"], "own", "before"), "sums")
-    start = summed.select(F.col("place").alias("first"), F.col("before").alias("start"))
-    end = summed.select(F.col("place").alias("last"), (F.col("before") + F.col("own")).alias("end"))
-    return summed.select("id", "first", "last").join(start, "first").join(end, "last").select("id", (F.col("end") - F.col("start")).alias("count"))
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _gathered(batches, block):
+            places = rows["place"].combine_chunks()
+            start = pc.take(rows["before"], pc.index_in(rows["first"], value_set=places))
+            end = pc.take(pc.add(rows["before"], rows["own"]), pc.index_in(rows["last"], value_set=places))
+            yield from rows.select(["id", "first", "last"]).append_column("start", start).append_column("end", end).to_batches()
+
+    of = summed.schema
+    met = materialize(summed.mapInArrow(told, StructType([of["id"], of["first"], of["last"], StructField("start", LongType()), StructField("end", LongType())])), "met")
+    asked = met.where("start IS NULL").select(F.col("first").alias("place")).unionByName(met.where("end IS NULL").select(F.col("last").alias("place")))
+    far = few(materialize(summed.join(few(materialize(asked.distinct(), "asked")), "place").select("place", "before", (F.col("before") + F.col("own")).alias("after")), "far"))
+    met = met.join(far.select(F.col("place").alias("first"), "before"), "first", "left").join(far.select(F.col("place").alias("last"), "after"), "last", "left")
+    return met.select("id", (F.coalesce("end", "after") - F.coalesce("start", "before")).alias("count"))
