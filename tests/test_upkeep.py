@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from vitrine import upkeep
 from vitrine.functions import media
 from vitrine.functions.text import trigram_contains
-from vitrine.operators import layout, stats, writes
+from vitrine.operators import hierarchy, intervals, layout, stats, writes
 from vitrine.plans import search
 from vitrine.plans.search import LibraryQuery
-from vitrine.sources import files
+from vitrine.sources import files, shared
 from vitrine.sources.shared import materialize, shared_path
 from vitrine.sources.trigrams import TrigramIndex, grams_of, pattern_grams
 from vitrine.streaming.apply import rename_folders
@@ -209,6 +209,29 @@ def test_a_batch_that_comes_again_is_not_told_again(spark, monkeypatch):
     assert len(plans) == 7 and not any("Join" in p or "Aggregate" in p for p in plans)
 
 
+def test_tables_of_many_ids_are_merged_however_small_their_files(spark, monkeypatch):
+    """The planner would broadcast them: it takes the size of compressed files for that of rows."""
+    folders = small_catalog(spark).folders.where("id < 7")
+    changes = spark.createDataFrame([("added", 1, 5, None, None), ("removed", 2, 4, None, [7]), ("updated", 3, 6, 2, None), ("added", 4, 42, None, None)], stats.CHANGES)
+    plans = {}
+
+    def seen(df, label):
+        plans.setdefault(label, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, label)
+
+    monkeypatch.setattr(shared, "FEW_ROWS", -1)
+    for module in (hierarchy, intervals):
+        monkeypatch.setattr(module, "materialize", seen)
+    assert sorted((r.id, r.ancestor) for r in hierarchy.closure(folders).where("distance > 1").collect()) == [(4, 1), (5, 1), (5, 2)]
+    assert sorted(r.id for r in hierarchy.subtree(folders, 2).collect()) == [2, 4, 5]
+    told = {(r.kind, r.key): (r.removed, r.added) for r in seen(stats.counter_deltas(changes, folders), "deltas").where("kind LIKE 'folder%'").collect()}
+    assert told["folder", 42] == told["folder_recursive", 42] == (0, 1) and told["folder_recursive", 1] == (2, 1) and told["folder_recursive", 5] == (0, 1)
+    assert sorted((r.id, r.place, r.last) for r in intervals.intervals(folders, block=2).collect()) == [(1, 0, 4), (2, 1, 3), (3, 4, 4), (4, 2, 3), (5, 3, 3), (6, 5, 5)]
+    joined = ("reach", "up", "way", "deltas", "links", "marks", "above", "further")
+    assert not [label for label in joined if any("Broadcast" in p for p in plans.get(label, []))]
+    assert all(any("SortMergeJoin" in p for p in plans[label]) for label in joined)
+
+
 @pytest.mark.parametrize(("by", "order"), [("size", "asc"), ("size", "desc"), ("format", "asc"), ("filename", "desc"), ("added_at", "desc"), ("rating", "asc"), (None, None)])
 def test_pages_by_key_join_to_the_whole_sort(spark, by, order):
     c = small_catalog(spark)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vitrine.functions.paths import ancestors, basename, is_under, parent
 from vitrine.operators.numbering import numbered
-from vitrine.sources.shared import materialize
+from vitrine.sources.shared import few, materialize
 
 #: Levels below a folder that a search criterion follows; other recursion has no limit.
 DEPTH = 50
@@ -28,7 +28,7 @@ def subtree(nodes: DataFrame, root: int, depth: int | None = None) -> DataFrame:
     step = 1
     while step < most and not way.where("to IS NOT NULL").isEmpty():
         above = way.select(F.col("id").alias("to"), F.col("to").alias("next"), (F.col("distance") + step).alias("far"))
-        jumped = way.where("to IS NOT NULL").join(above, "to", "left")
+        jumped = way.where("to IS NOT NULL").join(few(above), "to", "left")
         moved = jumped.select("id", F.when(F.col("far").isNull(), F.col("next")).alias("to"), F.col("far").alias("distance"))
         way = materialize(way.where("to IS NULL").unionByName(moved), "way")
         step *= 2
@@ -39,18 +39,21 @@ def closure(nodes: DataFrame) -> DataFrame:
     """(id, ancestor, distance): every node with itself and all above it, by doubling.
 
     Round k joins each node's place 2^k levels up with what that place reaches, so n rounds follow 2^n - 1 levels; when no node has one so
-    far up, or the levels are as many as the nodes, all is found. Rounds are written to the shared folder. A loop of parents gives each pair with its least distance. Parents that aren't rows end a way.
+    far up, or the levels are as many as the nodes, all is found. Only places that some node has are looked up, so a wide tree's round is told by few rows. Rounds are written to the shared folder. A loop of parents gives each pair with its least distance. Parents that aren't rows end a way.
     """
     nodes = materialize(nodes.select("id", "parent_id"), "nodes")
-    up = nodes.join(nodes.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("id", F.col("parent_id").alias("to"))
+    up = nodes.where("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("to"))
     reach = nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance"))
     for k in range(nodes.count().bit_length()):
-        if up.isEmpty():
+        places = materialize(up.select("to").distinct(), "places")
+        if places.isEmpty():
             break
-        above = reach.select(F.col("id").alias("to"), "ancestor", (F.col("distance") + 2**k).alias("distance"))
+        asked = few(places)
+        above = few(materialize(reach.select(F.col("id").alias("to"), "ancestor", (F.col("distance") + 2**k).alias("distance")).join(asked, "to", "left_semi"), "above"))
         more = reach.unionByName(up.join(above, "to").select("id", "ancestor", "distance"))
         reach = materialize(more.groupBy("id", "ancestor").agg(F.min("distance").alias("distance")), "reach")  # a loop would come again each round
-        up = materialize(up.join(up.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to")).distinct(), "up")
+        further = few(materialize(up.select(F.col("id").alias("to"), F.col("to").alias("next")).join(asked, "to", "left_semi"), "further"))
+        up = materialize(up.join(further, "to").select("id", F.col("next").alias("to")).distinct(), "up")
     return reach
 
 

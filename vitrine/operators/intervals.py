@@ -29,7 +29,7 @@ def _jumps(links: DataFrame, n: int) -> tuple[list[DataFrame], bool]:
         jumps.append(up)
         if 1 << (len(jumps) - 1) >= n:
             return jumps, True
-        up = materialize(up.join(up.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to")), "up")
+        up = materialize(up.join(few(up.select(F.col("id").alias("to"), F.col("to").alias("next"))), "to").select("id", F.col("next").alias("to")), "up")
     return jumps, False
 
 
@@ -38,8 +38,8 @@ def _leaders(jumps: list[DataFrame]) -> DataFrame:
     least = jumps[0].select("id", F.least("id", "to").alias("leader"))
     for up in jumps[1:]:
         far = least.select(F.col("id").alias("to"), F.col("leader").alias("far"))
-        least = materialize(least.join(up.join(far, "to").select("id", "far"), "id", "left").select("id", F.least("leader", "far").alias("leader")), "leaders")
-    inside = jumps[-1].select(F.col("to").alias("id")).distinct()
+        least = materialize(least.join(up.join(few(far), "to").select("id", "far"), "id", "left").select("id", F.least("leader", "far").alias("leader")), "leaders")
+    inside = few(materialize(jumps[-1].select(F.col("to").alias("id")).distinct(), "inside"))
     return materialize(least.join(inside, "id", "left_semi"), "leaders")
 
 
@@ -164,7 +164,7 @@ def _summed_below(own: DataFrame, jumps: list[DataFrame]) -> DataFrame:
     """(id, size): `own` (id, size) summed over each node and all below it, by doubling."""
     sizes = materialize(own, "sizes")
     for up in jumps:
-        more = up.join(sizes, "id").groupBy(F.col("to").alias("id")).agg(F.sum("size").alias("more"))
+        more = up.join(few(sizes), "id").groupBy(F.col("to").alias("id")).agg(F.sum("size").alias("more"))
         sizes = materialize(sizes.join(more, "id", "left").select("id", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), "sizes")
     return sizes
 
@@ -173,7 +173,7 @@ def _summed_above(own: DataFrame, jumps: list[DataFrame]) -> DataFrame:
     """(id, place, depth): `own` (id, place, depth) summed over each node and all above it, by doubling."""
     numbers = materialize(own, "numbers")
     for up in jumps:
-        above = up.join(numbers.select(F.col("id").alias("to"), F.col("place").alias("more"), F.col("depth").alias("deeper")), "to").select("id", "more", "deeper")
+        above = up.join(few(numbers.select(F.col("id").alias("to"), F.col("place").alias("more"), F.col("depth").alias("deeper"))), "to").select("id", "more", "deeper")
         numbers = materialize(numbers.join(above, "id", "left").select("id", (F.col("place") + F.coalesce("more", F.lit(0))).alias("place"), (F.col("depth") + F.coalesce("deeper", F.lit(0))).alias("depth")), "numbers")
     return numbers
 
@@ -184,7 +184,7 @@ def _numbers(held: DataFrame, links: DataFrame, jumps: list[DataFrame], order: l
     A node's size is summed over its descendants and its number over its ancestors: inside blocks by the task that has the block, from head to head by doubling.
     """
     sizes = _summed_below(held.groupBy(F.col("head").alias("id")).agg(F.count(F.lit(1)).alias("size")), jumps)
-    hung = links.join(sizes, "id").select(F.col("parent").alias("id"), F.lit(False).alias("met"), F.col("size").alias("hung"))
+    hung = links.join(few(sizes), "id").select(F.col("parent").alias("id"), F.lit(False).alias("met"), F.col("size").alias("hung"))
     marks = hung.unionByName(links.select("id", F.lit(True).alias("met"), F.lit(0).cast("long").alias("hung")))
     marks = materialize(marks.groupBy("id").agg(F.max("met").alias("met"), F.sum("hung").alias("hung")), "marks")
     summed = running_sum(_sizes(held, few(marks), order), ["parent", *order, "id"], "size", "before").drop(*order)
@@ -215,10 +215,10 @@ def intervals(nodes: DataFrame, order: list[str] | None = None, block: int = BLO
     jumps, loops = _jumps(links.select("id", "to"), links.count() + 1)
     if not loops:
         return _numbers(held, links, jumps, list(named))
-    caught = held.join(jumps[-1].select(F.col("id").alias("head")), "head", "left_semi").select("id", F.col("parent_id").alias("to"))  # in loops or below them
+    caught = held.join(few(jumps[-1].select(F.col("id").alias("head"))), "head", "left_semi").select("id", F.col("parent_id").alias("to"))  # in loops or below them
     leaders = _leaders(_jumps(caught, caught.count() + 1)[0])
     first = leaders.where("id = leader").select("id", F.lit(True).alias("cut"))
-    cut = held.join(first, "id", "left").select("id", F.when(F.col("cut").isNull(), F.col("parent_id")).alias("parent_id"), *named)
+    cut = held.join(few(first), "id", "left").select("id", F.when(F.col("cut").isNull(), F.col("parent_id")).alias("parent_id"), *named)
     told = intervals(cut, list(named), block)
     whole = leaders.where("id <> leader").join(told.select(F.col("id").alias("leader"), F.col("first").alias("whole_first"), F.col("last").alias("whole_last")), "leader").drop("leader")
     met = told.join(whole, "id", "left")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vitrine.operators.hierarchy import closure
 from vitrine.operators.intervals import counts_below, intervals
 from vitrine.sources.catalog import Catalog
+from vitrine.sources.shared import few
 
 CHANGES = "op string, image_id long, folder_id long, old_folder_id long, tag_ids array<long>"
 
@@ -79,7 +80,7 @@ def counter_deltas(changes: DataFrame, folders: DataFrame, ways: DataFrame | Non
     by_folder = away.unionByName(here).where("folder_id IS NOT NULL").groupBy("folder_id").agg(F.sum("removed").alias("removed"), F.sum("added").alias("added"))
     own = part(by_folder, "folder", F.col("folder_id"), F.col("removed"), F.col("added"))
     ways = (closure(folders) if ways is None else ways).select(F.col("id").alias("folder_id"), "ancestor")
-    known = by_folder.join(ways, "folder_id", "left").withColumn("ancestor", F.coalesce("ancestor", "folder_id"))
+    known = by_folder.join(few(ways), "folder_id", "left").withColumn("ancestor", F.coalesce("ancestor", "folder_id"))
     above = part(known, "folder_recursive", F.col("ancestor"), F.col("removed"), F.col("added"))
     found = total.unionByName(untagged).unionByName(tags).unionByName(own).unionByName(above)
     return found.groupBy("kind", "key").agg(F.sum("removed").alias("removed"), F.sum("added").alias("added"))

@@ -82,9 +82,9 @@ def star_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     """The star schema's tables seen as a catalog: orders are assets in a tree of regions, nations and customers, tagged by suppliers."""
     region, nation, customer, orders, supplier, lineitem = (table(spark, sf_dir, t) for t in ("region", "nation", "customer", "orders", "supplier", "lineitem"))
     regions = region.selectExpr("CAST(r_regionkey + 1 AS LONG) AS id", "CAST(NULL AS LONG) AS parent_id", "'/' || r_name AS path", "r_name AS name", "true AS is_root")
-    nations = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).selectExpr("CAST(n_nationkey + 100 AS LONG) AS id", "CAST(n_regionkey + 1 AS LONG) AS parent_id", "'/' || r_name || '/' || n_name AS path", "n_name AS name", "false AS is_root")
+    nations = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).selectExpr("CAST(n_nationkey + 100 AS LONG) AS id", "CAST(n_regionkey + 1 AS LONG) AS parent_id", "'/' || r_name || '/' || n_name AS path", "n_name AS name", "false AS is_root")
     n = nations.select(F.col("id").alias("nation_id"), F.col("path").alias("nation_path"))
-    customers = customer.join(n, F.col("c_nationkey") + 100 == F.col("nation_id")).selectExpr("c_custkey + 1000 AS id", "nation_id AS parent_id", "nation_path || '/' || c_name AS path", "c_name AS name", "false AS is_root")
+    customers = customer.join(F.broadcast(n), F.col("c_nationkey") + 100 == F.col("nation_id")).selectExpr("c_custkey + 1000 AS id", "nation_id AS parent_id", "nation_path || '/' || c_name AS path", "c_name AS name", "false AS is_root")
     images = orders.selectExpr(
         "o_orderkey AS id",
         "o_custkey + 1000 AS folder_id",

@@ -12,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most rows of a table of keys that is broadcast: some 64 MB as a hash table of two numbers a row.
+#: Most rows of a table of keys that is broadcast: some 64 MB as a hash table of two numbers a row, which the driver holds too.
 FEW_ROWS = 1 << 20
 
 
@@ -59,9 +59,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return _write(df, shared_path(df.sparkSession, label))
 
 
-def few(written: DataFrame, most: int = FEW_ROWS) -> DataFrame:
-    """A written table of a few short columns, to be broadcast where it meets another if it has at most `most` rows; the planner only learns so when it has shuffled the other one."""
-    return F.broadcast(written) if written.count() <= most else written
+def few(written: DataFrame, most: int | None = None) -> DataFrame:
+    """A written table of a few short columns, to be broadcast where it meets another if it has at most `most` rows (FEW_ROWS), and else to be sorted and merged with it.
+
+    The planner goes by the files' size: it only learns of few rows when it has shuffled the other table, and takes millions of numbers, which compress to a byte or two each, for a small table.
+    """
+    return F.broadcast(written) if written.count() <= (FEW_ROWS if most is None else most) else written.hint("merge")
 
 
 def sweep(spark: SparkSession) -> None:

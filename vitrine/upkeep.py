@@ -16,7 +16,7 @@ from vitrine.plans.search import LibraryQuery
 from vitrine.queries import AFTER, COUNTERS, EVENTS, STEPS, _events, query
 from vitrine.sources import files, formats
 from vitrine.sources.catalog import Catalog, star_catalog
-from vitrine.sources.shared import materialize, shared_path, table
+from vitrine.sources.shared import few, materialize, shared_path, table
 from vitrine.sources.trigrams import TrigramIndex
 from vitrine.streaming import changes
 from vitrine.streaming.apply import rename_folders
@@ -81,7 +81,7 @@ def flt3_place_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The images of a subtree, from a table kept in order of their folders' numbers, by one range of them."""
     c = star_catalog(spark, sf_dir)
     spans = materialize(intervals.intervals(c.folders, ["name"]), "spans")
-    kept = materialize(intervals.placed(c.images.select("id", "folder_id"), spans, "folder_id", "folder_place"), "placed")
+    kept = materialize(intervals.placed(c.images.select("id", "folder_id"), few(spans), "folder_id", "folder_place"), "placed")
     return kept.where(intervals.inside(spans, 104, "folder_place")).select("id", "folder_id")
 
 
